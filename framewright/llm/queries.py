@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from framewright.llm import token_files
+from framewright.llm import decontaminate, language_id, quality_rules, sharding, token_files
 
 QUERIES = {
     "op4_token_files": token_files.op4_token_files,
+    "op5_fm_index_decontamination": decontaminate.op5_fm_index_decontamination,
+    "op6_rank_order_language": language_id.op6_rank_order_language,
+    "op7_hash_tree": sharding.op7_hash_tree,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
+}
+ORACLES: dict[str, str] = {
+    "op5_fm_index_decontamination": decontaminate.OP5_SQL,
+    "op10_quality_rules": quality_rules.OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
