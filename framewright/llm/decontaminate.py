@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -245,7 +246,7 @@ def _one_pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
             for text in batch.column(at):
                 found = words_of(text.as_py())
                 n_words.append(len(found))
-                held.append(np.fromiter((number(w, 0) for w in found), np.int64, len(found)))
+                held.append(np.fromiter(map(number, found, repeat(0)), np.int64, len(found)))
                 words += len(found)
                 if words >= shard_words:
                     close()

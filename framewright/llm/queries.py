@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from framewright.llm import decontaminate, language_id, quality_rules, sharding, token_files
+from framewright.llm import decontaminate, html_text, language_id, mixing, quality_rules, sharding, token_files
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op4_token_files": token_files.op4_token_files,
     "op5_fm_index_decontamination": decontaminate.op5_fm_index_decontamination,
     "op6_rank_order_language": language_id.op6_rank_order_language,
     "op7_hash_tree": sharding.op7_hash_tree,
+    "op8_temperature_mixture": mixing.op8_temperature_mixture,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op5_fm_index_decontamination": decontaminate.OP5_SQL,
+    "op8_temperature_mixture": mixing.OP8_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }

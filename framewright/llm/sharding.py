@@ -117,3 +117,16 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: dict[int, float]
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards."""
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def _sql_shard(shards: int) -> str:
+    """The leaf of least draw: a tree's descent ends there, whatever its levels."""
+    draws = ", ".join(f"-ln((('0x' || substr(md5(k || '|{s}'), 1, 12))::BIGINT + 1) / {float(1 << 48)})" for s in range(shards))
+    return f"(list_position([{draws}], list_min([{draws}])) - 1)::INTEGER"
+
+
+#: DuckDB has no crc32: that column is left to the tests.
+OP7_KEY_SQL = f"""
+WITH d AS (SELECT doc_id, strlen(text) AS bytes, coalesce(doc_id::VARCHAR, '') AS k FROM documents)
+SELECT doc_id, (coalesce(bytes, 0) + 8)::BIGINT AS size, 'key' AS law, {_sql_shard(24)} AS shard, {_sql_shard(25)} AS grown_shard FROM d
+"""
