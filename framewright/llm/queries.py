@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewright.llm import decontaminate, html_text, language_id, mixing, quality_rules, sharding, token_files
+from framewright.llm import decontaminate, html_text, jaccard_join, language_id, mixing, quality_rules, sharding, token_files
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -11,10 +11,12 @@ QUERIES = {
     "op6_rank_order_language": language_id.op6_rank_order_language,
     "op7_hash_tree": sharding.op7_hash_tree,
     "op8_temperature_mixture": mixing.op8_temperature_mixture,
+    "op9_jaccard_components": jaccard_join.op9_jaccard_components,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op5_fm_index_decontamination": decontaminate.OP5_SQL,
     "op8_temperature_mixture": mixing.OP8_SQL,
+    "op9_jaccard_components": jaccard_join.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
