@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from framewright.llm import decontaminate, html_text, jaccard_join, language_id, mixing, quality_rules, sharding, token_files
+from framewright.llm import decontaminate, html_text, jaccard_join, language_id, mixing, quality_rules, sharding, suffix_dedup, token_files
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
+    "op3_run_index": suffix_dedup.op3_run_index,
     "op4_token_files": token_files.op4_token_files,
     "op5_fm_index_decontamination": decontaminate.op5_fm_index_decontamination,
     "op6_rank_order_language": language_id.op6_rank_order_language,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op3_run_index": suffix_dedup.OP3_SQL,
     "op5_fm_index_decontamination": decontaminate.OP5_SQL,
     "op8_temperature_mixture": mixing.OP8_SQL,
     "op9_jaccard_components": jaccard_join.OP9_SQL,
