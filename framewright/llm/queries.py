@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from framewright.llm import decontaminate, html_text, jaccard_join, language_id, mixing, quality_rules, sharding, suffix_dedup, token_files
+from framewright.llm import decontaminate, html_text, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, suffix_dedup, token_files
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
+    "op2_line_chunks": line_dedup.op2_line_chunks,
     "op3_run_index": suffix_dedup.op3_run_index,
     "op4_token_files": token_files.op4_token_files,
     "op5_fm_index_decontamination": decontaminate.op5_fm_index_decontamination,
