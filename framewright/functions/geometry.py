@@ -42,6 +42,11 @@ def apply_pose(m: Column, xyz: Column) -> Column:
     return F.array(*(_at(m, 4 * r) * _at(xyz, 0) + _at(m, 4 * r + 1) * _at(xyz, 1) + _at(m, 4 * r + 2) * _at(xyz, 2) + _at(m, 4 * r + 3) for r in range(3)))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def compose(a: Column, b: Column) -> Column:
     """The product of two poses."""
     return F.array(*(sum((_at(a, 4 * r + k) * _at(b, 4 * k + c) for k in range(1, 4)), _at(a, 4 * r) * _at(b, c)) for r in range(4) for c in range(4)))

@@ -75,7 +75,7 @@ def nearest_match(targets: DataFrame, sources: DataFrame, by: str, key: str, val
 def to_camera_frame(poses: DataFrame, cameras: DataFrame) -> DataFrame:
     """poses(episode_id, frame_idx, joint, m) in the frame of cameras(episode_id, frame_idx, ext); null where a camera is singular."""
     both = poses.join(cameras.select("episode_id", "frame_idx", "ext"), ["episode_id", "frame_idx"])
-    return both.withColumn("m", geometry.compose(geometry.affine_inverse(F.col("ext")), F.col("m"))).drop("ext")
+    return both.withColumn("m", geometry.let(geometry.affine_inverse(F.col("ext")), lambda inverse: geometry.compose(inverse, F.col("m")))).drop("ext")
 
 
 def uniform_resample(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
@@ -166,4 +166,4 @@ def camera_per_frame(cameras: DataFrame, lengths: DataFrame, by: str, n: int, st
     if static is not None:
         alone = static.join(count, by, "left_anti").select(by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"), "ext")
         out = out.unionByName(alone)
-    return out.withColumn("ext", geometry.affine_inverse(geometry.as_4x4(F.col("ext"))))
+    return out.withColumn("ext", geometry.let(geometry.as_4x4(F.col("ext")), geometry.affine_inverse))

@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from framewright.plans import query_joins, query_metrics, query_paths, query_sequences  # noqa: F401  they register themselves
+from framewright.plans.registry import ORACLES, QUERIES
 
 _ROOT = Path(__file__).resolve().parents[2]
 
@@ -29,4 +29,5 @@ def ship(spark: SparkSession) -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """How far off the next 32 samples are if every user's signal holds its last observed value."""
+    return QUERIES["flagship_persistence"](spark, sf_dir)
