@@ -6,11 +6,14 @@ token under each of several orders before their sets are compared. In all
 orders the heaviest tokens come last, so that what many documents share is
 looked up only where a document has little else.
 
-Equal sets are one class from the start. Classes that meet in a prefix token
-are first compared to one of them, the token's centre, and joined to
-components; then only classes of different components are paired, so a large
-group of near copies costs about its size and not its square, and no link
-between components is lost.
+Equal sets are one class from the start. The classes that share a prefix
+token have one of them as its centre, and all that have the same centre are a
+group; any two that share a token are in one. First each class is compared to
+its centres and linked ones are joined to components; then pairs of different
+components are looked for inside the groups, block by block, so that most of a
+large group of near copies is never paired and no link between components is
+lost. Sizes and sketches rule out most pairs; the rest are compared where the
+sets of a block are at hand, so a set is sent for a block and not for a pair.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from framewright.llm.common import stored, table
 
 #: Tokens that all orders put last, and how often one has to be among the first of a document to count.
 HEAVY_TOKENS, HEAVY_FROM = 100_000, 32
-#: Classes in a block of a token's group; larger groups are paired block by block.
+#: Classes in a block of a centre's group; larger groups are paired block by block.
 BLOCK = 512
+#: Documents up to which their ids are broadcast to pick their texts; beyond, texts are shuffled.
+BROADCAST_IDS = 1 << 20
 #: Classes of tokens in a sketch.
-SKETCH = 64
+SKETCH = 128
 #: Distinct words, or sets seen, that a worker remembers; then it starts again.
 REMEMBERED = 1 << 20
 
@@ -91,15 +96,30 @@ def prefix(tokens: np.ndarray, order: int, heavy: np.ndarray, length: int) -> np
     return tokens[np.argpartition(key, length - 1)[:length]]
 
 
-def _members(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the set, null if it is empty)."""
+def _sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens are in each of SKETCH classes, up to 255."""
+    return np.minimum(np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and sketches of sets allow the similarity: sets differ in at least as many tokens as their sketches do."""
+    apart = np.abs(x.astype(np.int16) - y).sum(1)
+    # Overlap is num * (n + m) / (num + den) or more, so what is in one set only is (den - num) * (n + m) / (num + den) or less.
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * apart <= (den - num) * (n + m))
+
+
+def _members(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, cls (a digest of the set, null if it is empty), sketch, and the least tokens, twice a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "cls"])
+            low = [s[: 2 * prefix_length(len(s), num, den)] for s in sets]
+            ends = np.append(0, np.cumsum([len(x) for x in low])).astype(np.int32)
+            lows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *low]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) for s in sets], pa.binary()), lows], ["doc_id", "n_shingles", "cls", "sketch", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, sketch binary, low array<bigint>")
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[bytes, np.ndarray]]]:
@@ -118,64 +138,68 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[lis
         yield out
 
 
-def _heavy_tokens(docs: DataFrame, size: int, num: int, den: int) -> np.ndarray:
-    """Up to HEAVY_TOKENS tokens that stand most often among the first of a document by hash, twice its prefix. Any set of them gives valid orders."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _distinct_sets(batches, size):
-            if sets:
-                found, n = np.unique(np.concatenate([s[: 2 * prefix_length(len(s), num, den)] for _, s in sets]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], ["token", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_FROM)
+def _heavy_tokens(members: DataFrame) -> np.ndarray:
+    """Up to HEAVY_TOKENS tokens that stand most often among the least of a document, twice its prefix. Any set of them gives valid orders."""
+    counts = members.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= HEAVY_FROM)
     rows = counts.orderBy(F.desc("n"), "token").select("token").limit(HEAVY_TOKENS).collect()
     return np.array(sorted(r[0] for r in rows), np.uint64)
 
 
 def _prefix_rows(docs: DataFrame, size: int, num: int, den: int, heavy) -> DataFrame:
-    """token, cls, n for each token of a set's prefix under the first order."""
+    """token, cls for each token of a set's prefix under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches, size):
             if sets:
                 found = [prefix(s, 0, heavy.value, prefix_length(len(s), num, den)) for _, s in sets]
-                each = [len(f) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(np.array([c for c, _ in sets], object), each), pa.binary()), pa.array(np.repeat([len(s) for _, s in sets], each), pa.int32())], ["token", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(np.array([c for c, _ in sets], object), [len(f) for f in found]), pa.binary())], ["token", "cls"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls binary, n int")
+    return docs.select("text").mapInArrow(run, "token long, cls binary")
 
 
-def _sets_of(docs: DataFrame, size: int, num: int, den: int, heavy) -> DataFrame:
-    """cls, n, tokens, sketch and the prefixes under the second and third order, once for each set."""
+def _sets_of(docs: DataFrame, size: int) -> DataFrame:
+    """cls, tokens of each set, once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _distinct_sets(batches, size):
-            cut = [[prefix(s, o, heavy.value, prefix_length(len(s), num, den)).tobytes() for _, s in sets] for o in (1, 2)]
-            sketch = [np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype("<u4").tobytes() for _, s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.binary()), pa.array([len(s) for _, s in sets], pa.int32()), pa.array([s.tobytes() for _, s in sets], pa.binary()), pa.array(sketch, pa.binary()), *(pa.array(x, pa.binary()) for x in cut)], ["cls", "n", "tokens", "sketch", "second", "third"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.binary()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["cls", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, n int, tokens binary, sketch binary, second binary, third binary")
+    return docs.select("text").mapInArrow(run, "cls binary, tokens binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under the second and the third order too and whose sets are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, heavy) -> DataFrame:
+    """The pairs (a, b) of ``pairs(centre, i, j, a, b)`` that share a prefix token under the second and the third order too and are similar enough."""
+    key = ["centre", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, cut = None, {}, {}
+
+        def prefix_of(cls: bytes, order: int) -> np.ndarray:
+            if (cls, order) not in cut:
+                cut[cls, order] = prefix(held[cls], order, heavy.value, prefix_length(len(held[cls]), num, den))
+            return cut[cls, order]
+
+        def linked(a: bytes, b: bytes) -> bool:
+            if not all(len(np.intersect1d(prefix_of(a, o), prefix_of(b, o), True)) for o in (1, 2)):
+                return False
+            both = len(np.intersect1d(held[a], held[b], True))
+            return den * both >= num * (len(held[a]) + len(held[b]) - both)
+
         for batch in batches:
-            a, b, x, y, x2, y2, x3, y3 = (batch.column(i).to_pylist() for i in range(8))
-            keep = []
-            for k in range(len(a)):
-                if not all(len(np.intersect1d(np.frombuffer(p[k], np.uint64), np.frombuffer(q[k], np.uint64), True)) for p, q in ((x2, y2), (x3, y3))):
-                    continue
-                s, t = np.frombuffer(x[k], np.uint64), np.frombuffer(y[k], np.uint64)
-                both = len(np.intersect1d(s, t, True))
-                if den * both >= num * (len(s) + len(t) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.binary()), pa.array([b[k] for k in keep], pa.binary())], ["a", "b"])
-
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"), F.col("second").alias("x2"), F.col("third").alias("x3"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"), F.col("second").alias("y2"), F.col("third").alias("y3"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "x2", "y2", "x3", "y3").mapInArrow(run, "a binary, b binary")
+            out = []
+            for *group, a, b, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != group:
+                    at, held, cut = group, {}, {}
+                if b is None:
+                    held[a] = np.frombuffer(tokens, np.uint64)
+                elif linked(a, b):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    needed = pairs.select(*key, F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+    rows = needed.select(*key, F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "tokens").unionByName(pairs.select(*key, "a", "b", F.lit(None).cast("binary").alias("tokens")))
+    rows = rows.repartition(*key).sortWithinPartitions(*key, F.col("b").asc_nulls_first())
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,58 +220,71 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _block(cls: str) -> F.Column:
+    """The block of a class in a group of ``m`` blocks."""
+    return F.pmod(F.xxhash64(cls), F.col("m")).cast("int")
+
+
+def _starred(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """centre, i, j, a, b: each class and a centre of it that sizes and sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (3, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 6))
+            keep = pa.array(_may_link(n, m, x, y, num, den))
+            centre, cls, i = (batch.column(k).filter(keep) for k in (0, 1, 2))
+            yield pa.RecordBatch.from_arrays([centre, i, i, cls, centre], ["centre", "i", "j", "a", "b"])
+
+    centres = info.select(F.col("cls").alias("centre"), F.col("n").alias("c_n"), F.col("sketch").alias("c_sketch"))
+    rows = groups.filter("cls != centre").join(info, "cls").join(centres, "centre")
+    return rows.select("centre", "cls", _block("cls").alias("i"), "n", "sketch", "c_n", "c_sketch").mapInArrow(run, "centre binary, i int, j int, a binary, b binary")
+
+
 def _pairs_across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of different labels that share a token and whose sizes and sketches allow the similarity.
+    """centre, i, j, a, b: pairs of different labels in a centre's group that sizes and sketches allow.
 
-    ``rows(token, cls, n, label, sketch)``. A token's rows are cut into blocks
-    by a hash of cls, and each pair of blocks is a group of its own. Sketches
-    count tokens by class: their summed difference is at most that of the sets.
+    ``rows(centre, m, cls, n, label, sketch)``. A group is cut into ``m``
+    blocks by a hash of cls, and each pair of blocks is a group of its own.
     """
-    at = Window.partitionBy("token")
-    rows = rows.withColumn("m", F.ceil(F.count("*").over(at) / F.lit(BLOCK)).cast("int"))
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("token", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") > F.col("j")).alias("right"), "cls", "n", "label", "sketch")
+    rows = rows.withColumn("i", _block("cls")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.select("centre", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") > F.col("j")).alias("right"), "cls", "n", "label", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of_group(g: dict) -> tuple[list[bytes], list[bytes]]:
-            same = g["key"][1] == g["key"][2]
-            cls, label, right = np.array(g["cls"], object), np.array(g["label"], object), np.array(g["right"])
-            n, sketch = np.array(g["n"], np.int64), np.frombuffer(b"".join(g["sketch"]), "<u4").reshape(-1, SKETCH).astype(np.int32)
-            out_a, out_b = [], []
-            every = np.arange(len(cls))
-            low = every if same else every[~right]
-            for i in low:
+        def of_group(key: list, g: list[tuple]) -> list[tuple]:
+            right, cls, n, label, sketch = zip(*g, strict=True)
+            right, cls, n = np.array(right), np.array(cls, object), np.array(n, np.int64)
+            label = np.unique(np.array(label, object), return_inverse=True)[1].reshape(-1)
+            sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH)
+            same, every, out = key[1] == key[2], np.arange(len(cls)), []
+            for i in every if same else every[~right]:
                 others = every[i + 1 :] if same else every[right]
-                others = others[(den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])) & (label[others] != label[i])]
-                total = n[others] + n[i]
-                apart = np.abs(sketch[others] - sketch[i]).sum(1)
-                # similar enough: overlap >= num * total / (num + den), so the difference is at most (den - num) * total / (num + den)
-                for j in others[(num + den) * apart <= (den - num) * total]:
-                    a, b = sorted((cls[i], cls[j]))
-                    out_a.append(a), out_b.append(b)
-            return out_a, out_b
-
-        def fresh(key: tuple) -> dict:
-            return {"key": key, "cls": [], "n": [], "label": [], "sketch": [], "right": []}
-
-        group = fresh(())
+                others = others[(label[others] != label[i]) & (den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i]))]
+                if len(others):
+                    others = others[_may_link(n[others], n[i], sketch[others], sketch[i], num, den)]
+                out += [(*key, cls[i], cls[k]) for k in others]
+            return out
+
+        at, group = None, []
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["centre", "i", "j", "a", "b"])
+
         for batch in batches:
-            out = ([], [])
-            for token, i, j, right, cls, n, label, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group["key"] != (token, i, j):
-                    if len(group["cls"]) > 1:
-                        for o, x in zip(out, of_group(group), strict=True):
-                            o.extend(x)
-                    group = fresh((token, i, j))
-                for name, v in (("cls", cls), ("n", n), ("label", label), ("sketch", sketch), ("right", right)):
-                    group[name].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.binary()) for o in out], ["a", "b"])
-        if len(group["cls"]) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.binary()) for o in of_group(group)], ["a", "b"])
-
-    key = ["token", "i", "j"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a binary, b binary").distinct()
+            out = []
+            for *key, right, cls, n, label, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != at:
+                    if len(group) > 1:
+                        out += of_group(at, group)
+                    at, group = key, []
+                group.append((right, cls, n, label, sketch))
+            yield batch_of(out)
+        if len(group) > 1:
+            yield batch_of(of_group(at, group))
+
+    key = ["centre", "i", "j"]
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "centre binary, i int, j int, a binary, b binary")
 
 
 def link_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -259,21 +296,28 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     the same doc_id are each a set of their own. Other columns are left out.
     """
     spark = docs.sparkSession
-    members = stored(_members(docs, size), "members")
-    heavy = spark.sparkContext.broadcast(_heavy_tokens(docs, size, num, den))
-    at = Window.partitionBy("token")
-    rows = _prefix_rows(docs, size, num, den, heavy).withColumn("centre", F.min(F.struct("cls", "n")).over(at)).withColumn("most", F.max("cls").over(at))
-    shared = stored(rows.filter(F.col("centre.cls") != F.col("most")).drop("most").distinct(), "prefixes")
-    met = shared.select("cls").distinct()
-    reps = members.join(met, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = stored(_sets_of(docs.select("doc_id", "text").join(reps, "doc_id", "left_semi"), size, num, den, heavy), "sets").dropDuplicates(["cls"])
-    starred = shared.select(F.col("cls").alias("a"), F.col("centre.cls").alias("b"), "n", F.col("centre.n").alias("m")).filter("a != b").filter(den * F.least("n", "m") >= num * F.greatest("n", "m")).select("a", "b").distinct()
-    edges = stored(_verified(starred, sets, num, den), "links")
+    members = stored(_members(docs, size, num, den), "members")
+    heavy = spark.sparkContext.broadcast(_heavy_tokens(members))
+    by_token = Window.partitionBy("token")
+    rows = _prefix_rows(docs, size, num, den, heavy).withColumns({"centre": F.min("cls").over(by_token), "most": F.max("cls").over(by_token)})
+    met = rows.filter("centre != most").select("centre", "cls").distinct()
+    sizes = Window.partitionBy("centre")
+    groups = stored(met.withColumn("m", F.ceil(F.count("*").over(sizes) / F.lit(BLOCK)).cast("int")), "groups")
+    info = members.join(groups.select("cls").distinct(), "cls").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    info = stored(info, "classes")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        reps = stored(info.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select("doc_id").distinct(), "ids")
+        reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+        return stored(_sets_of(docs.select("doc_id", "text").join(reps, "doc_id", "left_semi"), size), "sets").dropDuplicates(["cls"])
+
+    starred = stored(_starred(groups, info.drop("doc_id"), num, den), "pairs")
+    edges = stored(_verified(starred, sets_of(starred), num, den, heavy), "links")
     labels = components(edges)
-    labelled = shared.drop("centre").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = labelled.withColumns({"low": F.min("label").over(at), "high": F.max("label").over(at)}).filter("low != high").drop("low", "high")
-    across = _pairs_across(labelled.join(sets.select("cls", "sketch"), "cls").select("token", "cls", "n", "label", "sketch"), num, den)
-    more = stored(_verified(across, sets, num, den), "links")
+    labelled = groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled = labelled.withColumns({"low": F.min("label").over(sizes), "high": F.max("label").over(sizes)}).filter("low != high").drop("low", "high")
+    across = stored(_pairs_across(labelled.join(info.drop("doc_id"), "cls").select("centre", "m", "cls", "n", "label", "sketch"), num, den), "pairs")
+    more = stored(_verified(across, sets_of(across), num, den, heavy), "links")
     final = components(edges.union(more)) if not more.isEmpty() else labels
     named = members.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = stored(named.select("doc_id", "n_shingles", "label"), "named")
