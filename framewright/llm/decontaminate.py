@@ -239,7 +239,7 @@ def _one_pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
                 nonlocal words
                 s, i = find(held, known)
                 spans.extend(s)
-                items.extend(sorted(known.items[k] for k in x) for x in i)
+                items.extend(sorted({known.items[k] for k in x}) for x in i)
                 held.clear()
                 words = 0
 
