@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from framewright.llm import decontaminate, html_text, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, suffix_dedup, token_files
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_temperature_mixture": mixing.op8_temperature_mixture,
     "op9_jaccard_components": jaccard_join.op9_jaccard_components,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_run_index": suffix_dedup.OP3_SQL,
