@@ -27,11 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingles at 0.8: the one whose doc_id names it.
 
-    Of rows with that same doc_id the one with the least text stays.
+    Of rows with that same doc_id the one with the least text stays. Rows
+    without a doc_id can't be named by a component and all stay.
     """
     kept = jaccard_join.link_components(docs, 5, 4, 5).filter("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("__nth", first).filter("__nth = 1").select(docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", first).filter("__nth = 1").select(docs.columns)
+    return named.unionByName(docs.filter("doc_id is null"))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
