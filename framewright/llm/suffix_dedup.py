@@ -215,10 +215,9 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
             sent = np.zeros(len(h), bool)
             sent[group] = True
             # Shared ones go to their document straight away; the first of each also stands for the batch.
-            where = np.concatenate([h[sent], key[shared]])
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.concatenate([h[sent], h[shared]])), pa.array(np.concatenate([key[sent], key[shared]])), pa.array(np.append(np.zeros(sent.sum(), bool), np.ones(shared.sum(), bool)))], ["at", "anchor", "key", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[sent], h[shared]])), pa.array(np.concatenate([key[sent], key[shared]])), pa.array(np.append(np.zeros(sent.sum(), bool), np.ones(shared.sum(), bool)))], ["anchor", "key", "known"])
 
-    return keyed.select("key", "text").mapInArrow(run, "at long, anchor long, key long, known boolean")
+    return keyed.select("key", "text").mapInArrow(run, "anchor long, key long, known boolean")
 
 
 def _shared_anchors(rows: DataFrame) -> DataFrame:
@@ -246,7 +245,7 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
             yield close(h[:cut], key[:cut])
         yield close(*kept)
 
-    parts = rows.repartition(width(rows.sparkSession), "at").sortWithinPartitions("known", "anchor").select("anchor", "key", "known")
+    parts = rows.repartition(width(rows.sparkSession), F.when(F.col("known"), F.col("key")).otherwise(F.col("anchor"))).sortWithinPartitions("known", "anchor")
     return parts.mapInArrow(run, "key long, anchor long")
 
 
@@ -315,25 +314,35 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     name = f"texts_{uuid.uuid4().hex}"
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"))
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     keyed.write.bucketBy(width(spark), "key").sortBy("key").option("compression", "zstd").saveAsTable(name)
     keyed = spark.table(name)
-    shared = _shared_anchors(_anchor_rows(keyed, length)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    marked = _marked(_segments(keyed.join(shared, "key"), length), length)
+    # A whole copy of a document with a smaller doc_id goes whole, and adds no string to what that one has.
+    firsts = keyed.groupBy("digest").agg(F.min("key").alias("first"))
+    copies = keyed.select("key", "digest").join(firsts, "digest").filter("key > first").groupBy("key").agg(F.collect_set("digest").alias("copied"))
+    copies = stored(copies, "copies")
+    is_copy = F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False))
+    own = keyed.join(copies, "key", "left").filter(~is_copy).select("key", "text")
+    shared = _shared_anchors(_anchor_rows(own, length)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    marked = _marked(_segments(own.join(shared, "key"), length), length)
     spans = stored(marked, "spans").groupBy("key").agg(F.collect_list(F.struct("check", "span")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for text, found, copy in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = _bytes(text.as_py())
                 check = zlib.crc32(data)
-                rows.append((data, *_cut(data, np.array([x["span"] for x in found or () if x["check"] == check], np.int64))))
+                if copy and len(data) >= length:
+                    rows.append((data, b"", [(0, len(data))]))
+                else:
+                    rows.append((data, *_cut(data, np.array([] if copy else [x["span"] for x in found or () if x["check"] == check], np.int64))))
             lists = lambda k: [[r[k] for r in row[2]] for row in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(lists(0), pa.list_(pa.int64())), pa.array(lists(1), pa.list_(pa.int64()))], ["doc_id", "n_bytes", "kept", "run_starts", "run_ends"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, kept binary, run_starts array<bigint>, run_ends array<bigint>")
+    rows = keyed.join(spans, "key", "left").join(copies, "key", "left").select("doc_id", "text", "spans", is_copy.alias("copy"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, kept binary, run_starts array<bigint>, run_ends array<bigint>")
 
 
 def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
