@@ -62,7 +62,7 @@ def suffix_order(text: np.ndarray, bits: int) -> np.ndarray:
             return order
         rows = order[tied]
         key = rank[rows] << 31 | rank[rows + known]
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         order[tied], key = rows[again], key[again]
         starts[tied[1:]] |= key[1:] != key[:-1]
         known *= 2
