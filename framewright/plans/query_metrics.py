@@ -83,10 +83,10 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").groupBy("label").agg(r6(metrics.masked_mean(x)).alias("plain"), r6(metrics.masked_mean(x, F.col("vec_id") % 3 == 0)).alias("masked"), metrics.masked_mean(x, F.lit(False)).alias("none"))
 
 
-@query("D11_pair_features", "SELECT b.vec_id, 256 AS width, round(abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE), 5) AS difference, round(a.embedding[1]::DOUBLE * b.embedding[1]::DOUBLE, 5) AS product FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("D11_pair_features", "SELECT b.vec_id, 256 AS width, round(abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE), 5) AS difference, round(a.embedding[1]::DOUBLE * b.embedding[1]::DOUBLE, 5) + 0.0::DOUBLE AS product FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def d11(spark: SparkSession, d: str) -> DataFrame:
     f = arrays.pair_features(arrays._double(F.col("pred")), arrays._double(F.col("truth")))
-    return _pairs(spark, d).select("vec_id", F.size(f).alias("width"), F.round(f[128], 5).alias("difference"), F.round(f[192], 5).alias("product"))
+    return _pairs(spark, d).select("vec_id", F.size(f).alias("width"), F.round(f[128], 5).alias("difference"), (F.round(f[192], 5) + 0.0).alias("product"))
 
 
 @query("D12_infer_width", "SELECT 64 AS width FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)")
