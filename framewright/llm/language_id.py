@@ -22,6 +22,8 @@ from framewright.llm.common import table
 RANKS = 300
 #: Training takes about so many documents of a language at most, chosen by a hash of doc_id; all of them where there are fewer.
 SAMPLE = 8000
+#: N-grams that are counted at a time.
+HELD = 1 << 22
 UNKNOWN = "und"
 #: Stands for what is between words.
 _GAP = 1
@@ -71,11 +73,15 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> dict
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held = 0
+            for k, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 by.setdefault(lang, []).append(grams(text.as_py()))
-            for lang, codes in by.items():
-                found, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "code", "n"])
+                held += len(by[lang][-1])
+                if held >= HELD or k == batch.num_rows - 1:
+                    for name, codes in by.items():
+                        found, n = np.unique(np.concatenate(codes), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "code", "n"])
+                    by, held = {}, 0
 
     counts = taken.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))

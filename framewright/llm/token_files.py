@@ -24,7 +24,7 @@ from framewright.llm.common import shared_path, table, width
 
 BLOCK_IDS = 1 << 16
 #: Distinct words whose ids a worker remembers; then it starts again.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 BLOCKS = "shard int, block int, bits int, first long, n_ids long, payload binary, doc_ids array<bigint>, doc_starts array<bigint>, doc_ends array<bigint>"
 
 
