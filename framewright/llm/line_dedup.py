@@ -17,10 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import table
+from framewright.llm.common import stored, table
 
 #: Lines under the rolling hash, and about how many there are in a chunk.
 ROLLED, MEAN = 2, 4
+#: Repeated hashes up to which they are broadcast; beyond, chunks are shuffled to them.
+BROADCAST_HASHES = 1 << 20
 #: Lines from which a chunk can be removed.
 LINES = 2
 
@@ -44,7 +46,7 @@ def chunks(data: bytes, rolled: int = ROLLED, mean: int = MEAN) -> list[tuple[by
 
 
 def _chunk_rows(keyed: DataFrame, least_lines: int) -> DataFrame:
-    """h, chunk, key, again for chunks of several lines; again: an equal one is before it in the same text."""
+    """h, chunk, key for chunks of several lines: each of a batch once, with the least key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,15 +83,16 @@ def remove_repeated_chunks(docs: DataFrame, least_lines: int = LINES) -> DataFra
     from pyspark.sql.types import LongType, StructType
 
     docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    # A batch sends a chunk once, and equal bytes are one group: the least document that has them.
-    owners = _chunk_rows(keyed, least_lines).groupBy("h", "chunk").agg(F.min("key").alias("first"))
-    owners = owners.select("h", "chunk", "first")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.select(key.alias("key"), "text")
     hashes = _places(keyed, least_lines)
-    several = hashes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h")
-    repeated = owners.join(several, "h", "left_semi")
+    several = stored(hashes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "hashes")
+    known = F.broadcast(several) if several.count() <= BROADCAST_HASHES else several
+    # Only chunks whose hash is repeated are sent, once for a batch, and equal bytes are one group: the least document that has them.
+    repeated = _chunk_rows(keyed, least_lines).join(known, "h", "left_semi").groupBy("h", "chunk").agg(F.min("key").alias("first"))
     after = hashes.join(repeated, "h").filter("first < key").groupBy("key").agg(F.collect_set("chunk").alias("gone"))
-    rows = keyed.withColumnRenamed("key", "__key").join(after.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    after = after.withColumnsRenamed({"key": "__key", "gone": "__gone"})
+    rows = docs.withColumn("__key", key).join(after, "__key", "left").drop("__key")
     at, last = rows.columns.index("text"), len(rows.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
