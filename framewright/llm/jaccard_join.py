@@ -37,7 +37,7 @@ BROADCAST_IDS = 1 << 20
 #: Classes of tokens in a sketch.
 SKETCH = 128
 #: Distinct words, or sets seen, that a worker remembers; then it starts again.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TOP = np.uint64(1 << 63)
@@ -236,8 +236,11 @@ def _starred(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFram
             centre, cls, i = (batch.column(k).filter(keep) for k in (0, 1, 2))
             yield pa.RecordBatch.from_arrays([centre, i, i, cls, centre], ["centre", "i", "j", "a", "b"])
 
-    centres = info.select(F.col("cls").alias("centre"), F.col("n").alias("c_n"), F.col("sketch").alias("c_sketch"))
-    rows = groups.filter("cls != centre").join(info, "cls").join(centres, "centre")
+    at_centre = lambda c: info.select(F.col("cls").alias("centre"), F.col(c).alias(f"c_{c}"))
+    # Sizes are narrow and rule out most; sketches are looked up for the rest.
+    rows = groups.filter("cls != centre").join(info.select("cls", "n"), "cls").join(at_centre("n"), "centre")
+    rows = rows.filter(den * F.least("n", "c_n") >= num * F.greatest("n", "c_n"))
+    rows = rows.join(info.select("cls", "sketch"), "cls").join(at_centre("sketch"), "centre")
     return rows.select("centre", "cls", _block("cls").alias("i"), "n", "sketch", "c_n", "c_sketch").mapInArrow(run, "centre binary, i int, j int, a binary, b binary")
 
 
@@ -316,7 +319,11 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     labels = components(edges)
     labelled = groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = labelled.withColumns({"low": F.min("label").over(sizes), "high": F.max("label").over(sizes)}).filter("low != high").drop("low", "high")
-    across = stored(_pairs_across(labelled.join(info.drop("doc_id"), "cls").select("centre", "m", "cls", "n", "label", "sketch"), num, den), "pairs")
+    # A set has one of a possible size in its group only if the next smaller or larger one is.
+    by_size = sizes.orderBy("n")
+    near = labelled.join(info.select("cls", "n"), "cls").withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    near = near.filter((den * F.col("less") >= num * F.col("n")) | (den * F.col("n") >= num * F.col("more")))
+    across = stored(_pairs_across(near.join(info.select("cls", "sketch"), "cls").select("centre", "m", "cls", "n", "label", "sketch"), num, den), "pairs")
     more = stored(_verified(across, sets_of(across), num, den, heavy), "links")
     final = components(edges.union(more)) if not more.isEmpty() else labels
     named = members.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
