@@ -196,6 +196,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, heavy) -> D
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
+    # A pair that several groups found is compared in one of them.
+    once = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct(*key)).alias("at"))
+    pairs = once.select("at.*", "a", "b")
     needed = pairs.select(*key, F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
     rows = needed.select(*key, F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "tokens").unionByName(pairs.select(*key, "a", "b", F.lit(None).cast("binary").alias("tokens")))
     rows = rows.repartition(*key).sortWithinPartitions(*key, F.col("b").asc_nulls_first())
