@@ -1,10 +1,14 @@
-"""Removal of repeated line chunks with content-defined boundaries.
+"""Removal of repeated runs of lines by a rolling hash over line hashes.
 
-A rolling hash over the hashes of the last few lines ends a chunk where it
-meets a mask, so an insertion moves the boundaries near it and no others. Of
-chunks of several lines that are repeated anywhere the first stays: the one
-in the smallest doc_id, and in it the first. Hashes only bring chunks
-together; their bytes decide.
+``remove_repeated_lines`` rolls over every line: windows of a few lines meet by
+their hash, and what windows with equal bytes cover goes, so every repeated run
+of so many lines or more goes whole, wherever it begins. Of windows that are
+repeated anywhere the first stays: the one in the smallest doc_id, and in it
+the first. Hashes only bring windows together; their bytes decide.
+
+``remove_repeated_chunks`` compares chunks only, which end where the rolling
+hash meets a mask. It misses what lies around a repeated passage's outer
+boundaries, and most passages of a few lines; the query doesn't use it.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from framewright.llm.common import stored, table
 ROLLED, MEAN = 2, 4
 #: Repeated hashes up to which they are broadcast; beyond, chunks are shuffled to them.
 BROADCAST_HASHES = 1 << 20
-#: Lines from which a chunk can be removed.
+#: Bits of the largest bitmap of repeated hashes, as a power of two.
+BITMAP = 27
+#: Lines from which a chunk or a run can be removed.
 LINES = 2
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +81,8 @@ def remove_repeated_chunks(docs: DataFrame, least_lines: int = LINES) -> DataFra
     """``docs(doc_id, text, ...)`` with the text left of each row, and n_lines, n_removed_lines, n_removed_chunks.
 
     A chunk of at least ``least_lines`` lines is removed if an equal one is in
-    a document with a smaller doc_id, or before it in the same text. A null
+    a document with a smaller doc_id, or before it in the same text; repeated
+    lines that don't fill a chunk stay (``remove_repeated_lines`` takes them). A null
     text stays null and counts no lines; an empty one has one empty line. Rows
     with the same doc_id take nothing from each other; a null doc_id is smaller
     than any other. Columns of these names are replaced, all others stay.
@@ -122,7 +129,129 @@ def remove_repeated_chunks(docs: DataFrame, least_lines: int = LINES) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
+def windows(data: bytes, n: int, bits: int = 63) -> tuple[list[bytes], np.ndarray]:
+    """A text's lines, and a hash of the ``n`` lines from each line on that has so many."""
+    lines = data.split(b"\n")
+    h = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
+    each = max(0, len(lines) - n + 1)
+    roll = h[:each].copy()
+    for k in range(1, n):
+        roll = (roll ^ (roll >> np.uint64(29))) * _FACTOR + h[k : each + k]
+    roll = (roll ^ (roll >> np.uint64(32))) * _FACTOR
+    return lines, (roll >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _window_rows(keyed: DataFrame, n: int, bits: int) -> DataFrame:
+    """h, key once for each window hash of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(windows(t.as_py().encode(), n, bits)[1]) if t.is_valid else np.empty(0, np.int64) for t in batch.column(1)]
+            key = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(key, pa.int64())], ["h", "key"])
+
+    return keyed.select("key", "text").mapInArrow(run, "h long, key long")
+
+
+def _bitmap(hashes: DataFrame, n: int, bits: int) -> tuple[int, np.ndarray]:
+    """Width, and bits of ``n`` hashes by their upper bits, about 16 bits for each up to BITMAP in all: what isn't set is none of them."""
+    width = min(BITMAP, bits, max(16, int(16 * n).bit_length()))
+    at = hashes.select(F.shiftright("h", bits - width).alias("at"))
+    words = at.selectExpr("shiftright(at, 5) AS word", "shiftleft(1L, cast(at & 31 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("set"))
+    out = np.zeros(max(1, 1 << width >> 5), np.uint32)
+    found = words.toArrow()
+    out[found["word"].to_numpy()] = found["set"].to_numpy()
+    return width, out
+
+
+def _window_bytes(keyed: DataFrame, n: int, bits: int, sent) -> DataFrame:
+    """h, lines, key for the windows whose hash the bitmap ``sent`` has: each of a batch once, with the least key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, bitmap = sent.value
+        for batch in batches:
+            rows: dict[tuple[int, bytes], int] = {}
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not text.is_valid:
+                    continue
+                lines, h = windows(text.as_py().encode(), n, bits)
+                at = h >> (bits - width)
+                for i in np.flatnonzero(bitmap[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).tolist():
+                    window = int(h[i]), b"\n".join(lines[i : i + n])
+                    rows[window] = min(key, rows.get(window, key))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary()), pa.array(list(rows.values()), pa.int64())], ["h", "lines", "key"])
+
+    return keyed.select("key", "text").mapInArrow(run, "h long, lines binary, key long")
+
+
+def _repeated(lines: list[bytes], h: np.ndarray, n: int, gone: np.ndarray, known: set[bytes]) -> np.ndarray:
+    """Which lines a repeated window covers: one whose hash is in ``gone``, whose bytes are in ``known``, or that is before it in the text without a common line."""
+    hit = np.isin(h, gone)
+    first: dict[bytes, int] = {}
+    several = np.isin(h, np.sort(h)[1:][np.diff(np.sort(h)) == 0])
+    for i in np.flatnonzero(~hit & (several | bool(known))).tolist():
+        window = b"\n".join(lines[i : i + n])
+        hit[i] = window in known or first.setdefault(window, i) <= i - n
+    covered = np.zeros(len(lines), bool)
+    for k in range(n if len(h) else 0):
+        covered[k : k + len(h)] |= hit
+    return covered
+
+
+def remove_repeated_lines(docs: DataFrame, least_lines: int = LINES, bits: int = 63) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with the text left of each row, and n_lines, n_removed_lines, n_removed_chunks (maximal removed runs).
+
+    Removed is every line of a run of ``least_lines`` lines or more whose equal
+    is in a document with a smaller doc_id, or before it in the same text
+    without a line in common. Empty lines count as lines; a single repeated
+    line stays. Texts are judged on the input. A null text stays null and
+    counts no lines; an empty one has one empty line. Rows with the same doc_id
+    take nothing from each other; a null doc_id is smaller than any other.
+    Columns of these names are replaced, all others stay. Hashes have ``bits``
+    bits; with fewer, more bytes are sent and the result is the same.
+    """
+    from pyspark.sql.types import LongType, StructType
+
+    docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.select(key.alias("key"), "text")
+    hashes = stored(_window_rows(keyed, least_lines, bits), "hashes")
+    several = stored(hashes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "several")
+    n = several.count()
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(several, n, bits))
+    # The bytes of windows whose hash is repeated, once for a batch; the least document that has them.
+    found = _window_bytes(keyed, least_lines, bits, bitmap).groupBy("h", "lines").agg(F.min("key").alias("first"))
+    # Where all windows of a hash are equal the hash stands for them from here on; the others are named by their bytes.
+    each = F.collect_list(F.struct("lines", "first"))
+    found = stored(found.groupBy("h").agg(F.min("first").alias("first"), each.alias("all")).select("h", "first", F.when(F.size("all") > 1, F.col("all")).alias("clash")), "found")
+    known = F.broadcast(found) if n <= BROADCAST_HASHES else found
+    less = F.transform(F.filter("clash", lambda x: x["first"] < F.col("key")), lambda x: x["lines"])
+    after = hashes.join(known, "h").filter("first < key").select("key", F.when(F.col("clash").isNull(), F.col("h")).alias("h"), less.alias("lines"))
+    after = after.groupBy("key").agg(F.collect_list("h").alias("__gone"), F.flatten(F.collect_list("lines")).alias("__known"))
+    rows = docs.withColumn("__key", key).join(after.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    at, last = rows.columns.index("text"), len(rows.columns) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for text, gone, known in zip(batch.column(at), batch.column(last), batch.column(last + 1).to_pylist(), strict=True):
+                if not text.is_valid:
+                    texts.append(None)
+                    counts.append((0, 0, 0))
+                    continue
+                lines, h = windows(text.as_py().encode(), least_lines, bits)
+                covered = _repeated(lines, h, least_lines, gone.values.to_numpy() if gone.is_valid else np.empty(0, np.int64), set(known or ()))
+                texts.append(b"\n".join(x for x, c in zip(lines, covered, strict=True) if not c).decode())
+                counts.append((len(lines), int(covered.sum()), int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())))
+            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:last])), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], [*batch.schema.names[:last], "n_lines", "n_removed_lines", "n_removed_chunks"])
+
+    schema = StructType(list(rows.schema.fields[:last]))
+    for name in ("n_lines", "n_removed_lines", "n_removed_chunks"):
+        schema = schema.add(name, LongType())
+    return rows.mapInArrow(run, schema)
+
+
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole document without the line chunks of several lines that a document before it has."""
-    found = remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every whole document without the runs of several lines that a document before it has."""
+    found = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("text", 256).alias("kept_sha256"), "text")

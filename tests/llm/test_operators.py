@@ -86,6 +86,49 @@ def test_line_chunks(docs, empty):
     assert line_dedup.remove_repeated_chunks(empty).count() == 0
 
 
+def brute_lines(rows, n=2):
+    """(doc_id, lines, removed lines, removed runs, text left): what runs of n equal lines in a smaller doc_id, or before in the text, cover."""
+    key = lambda i: -math.inf if i is None else i
+    lines = [t.split("\n") if t is not None else [] for _, t in rows]
+    of = [[tuple(x[k : k + n]) for k in range(len(x) - n + 1)] for x in lines]
+    first: dict[tuple, float] = {}
+    for (i, _), w in zip(rows, of, strict=True):
+        for x in w:
+            first[x] = min(key(i), first.get(x, math.inf))
+    out = []
+    for (i, t), x, w in zip(rows, lines, of, strict=True):
+        gone = {k + o for k, y in enumerate(w) if first[y] < key(i) or y in w[: max(0, k - n + 1)] for o in range(n)}
+        out.append((i, len(x), len(gone), sum(k - 1 not in gone for k in gone), "\n".join(y for k, y in enumerate(x) if k not in gone) if t is not None else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("bits", [63, 3])
+def test_repeated_lines(spark, docs, empty, bits):
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(6))
+    passages = [[line() for _ in range(n)] for n in (2, 2, 3, 3, 4, 5, 9)]
+    rows = [(i, t) for i, t, *_ in corpus()]
+    for i in range(40):
+        new = [[line() for _ in range(rng.randrange(4))] for _ in range(3)]
+        rows.append((300 + i, "\n".join([*new[0], *rng.choice(passages), *new[1], *rng.choice(passages), *new[2]])))
+    rows += [(400, "a\na\na"), (401, "b\nb\nb\nb\nb"), (402, "c\n\n\nc\n\n"), (403, "one"), (404, "one"), (None, "\n".join(passages[0]))]
+    out = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bits=bits)
+    got = rows_of(out, "doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text")
+    assert got == brute_lines(rows)
+    assert line_dedup.remove_repeated_lines(empty, bits=bits).count() == 0
+    assert set(docs.columns) <= set(line_dedup.remove_repeated_lines(docs.limit(3)).columns)
+
+
+def test_line_query_takes_short_passages(spark, tmp_path):
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(6))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 8)]
+    rows = [(i, "\n".join([line(), *passages[i % 4], line()])) for i in range(16)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(line_dedup.op2_line_chunks(spark, str(tmp_path)), "doc_id", "n_removed_lines")
+    assert got == sorted([(i, 0 if i < 4 else len(passages[i % 4])) for i in range(16)], key=repr)
+
+
 # 3
 
 
