@@ -3,8 +3,10 @@
 The standard library's parser streams its events into lines, one for each
 block of the page. A line's ratio is its characters over its tags. The ratios
 are smoothed by a Gaussian along the page and lines above a threshold form
-clusters; the element that holds the clusters' text is the content region,
-and its blocks, short ones too, are the main text. What is a menu, header,
+clusters; the element that holds most of the clusters' text is where the
+content region begins. It grows to the article or main element around it, and
+to elements around it that hold further clusters or headings; all its blocks,
+short ones too, are the main text. What is a menu, header,
 footer, sidebar, notice, advert, form, script, style or comment by its element
 or its names is never text.
 """
@@ -38,6 +40,11 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: Elements that names don't drop.
 NAMED_FREELY = frozenset("article body h1 h2 h3 h4 h5 h6 html main p".split())
 
+#: Elements that the content region takes in whole if they are around it.
+WHOLE = frozenset("article main".split())
+#: Elements of a heading.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
 SIGMA = 1.5
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -45,11 +52,13 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 @dataclass
 class Line:
-    """A block of a page: its text, the tags since the line before, and the open regions around it."""
+    """A block of a page: its text, the tags since the line before, the open regions around it with their elements, and whether it is in a heading."""
 
     text: str
     tags: int
     regions: tuple[int, ...]
+    kinds: tuple[str, ...]
+    heading: bool
 
 
 @dataclass
@@ -77,7 +86,8 @@ class Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            self.found.append(Line(text, self.tags, tuple(x.region for x in self.open if x.region is not None)))
+            around = [x for x in self.open if x.region is not None]
+            self.found.append(Line(text, self.tags, tuple(x.region for x in around), tuple(x.tag for x in around), any(x.tag in HEADINGS for x in self.open)))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -143,10 +153,12 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[middle] / np.convolve(np.ones(len(ratios)), kernel)[middle]
 
 
-def clusters(lines: list[Line]) -> np.ndarray:
-    """Which lines are above the threshold: the smoothed ratios' standard deviation, or their mean if that is less."""
-    ratios = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]))
-    return ratios >= min(ratios.std() or ratios.mean(), ratios.mean())
+def clusters(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are above the threshold, and which are by their own ratio too: the smoothed ratios' standard deviation, or their mean if that is less."""
+    own = np.array([len(x.text) / max(1, x.tags) for x in lines])
+    ratios = smoothed(own)
+    chosen = ratios >= (least := min(ratios.std() or ratios.mean(), ratios.mean()))
+    return chosen, chosen & (own >= least)
 
 
 def main_text(html: str | None) -> str:
@@ -154,17 +166,24 @@ def main_text(html: str | None) -> str:
     lines = lines_of(html) if html else []
     if not lines:
         return ""
-    chosen = clusters(lines)
+    chosen, strong = clusters(lines)
     weight: dict[int, int] = {}
     for line, take in zip(lines, chosen, strict=True):
         for r in line.regions if take else ():
             weight[r] = weight.get(r, 0) + len(line.text)
-    if not weight:
-        return "\n\n".join(x.text for x in lines)
-    # The innermost region that holds more than half of the clusters' text; regions are numbered from outside in.
+    # The innermost region that holds more than half of the clusters' text; regions are numbered from outside in, the page is -1.
     half = sum(len(x.text) for x, take in zip(lines, chosen, strict=True) if take) / 2
-    region = max((r for r, w in weight.items() if w > half), default=max(weight, key=lambda r: (weight[r], -r)))
-    return "\n\n".join(x.text for x in lines if region in x.regions)
+    region = max((r for r, w in weight.items() if w > half), default=-1)
+    if region >= 0:
+        around = next(x for x in lines if region in x.regions)
+        at = around.regions.index(region)
+        # The outermost article or main around it, then what holds further headings or lines that are above the threshold themselves.
+        at = next((k for k in range(at) if around.kinds[k] in WHOLE), at)
+        region = around.regions[at]
+        for outer in (*reversed(around.regions[:at]), -1):
+            if any((take or x.heading) and region not in x.regions for x, take in zip(lines, strong, strict=True) if outer < 0 or outer in x.regions):
+                region = outer
+    return "\n\n".join(x.text for x in lines if region < 0 or region in x.regions)
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

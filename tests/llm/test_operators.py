@@ -56,6 +56,22 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+LONG, LESS = "A sentence of the long part that goes on. " * 9, "A sentence of the other part. " * 8
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<body><article><h1>T</h1><div class=content><p>{LONG}</p></div></article></body>", ["T", LONG]),
+    (f"<body><article><h1>T</h1><section><p>{LONG}</p></section><section><p>{LESS}</p></section></article></body>", ["T", LONG, LESS]),
+    (f"<body><article><p>a</p><div><div><table><tr><td>{LONG}{LONG}</td><td>x</td></tr></table></div><p>b</p></div></article><div>c</div></body>", ["a", LONG + LONG, "x", "b"]),
+    (f"<body><main><h1>T</h1><nav>menu</nav><article><div><p>{LONG}</p></div></article></main></body>", ["T", LONG]),
+    (f"<body><div><h1>T</h1><div><p>{LONG}</p></div></div><div><a>x</a><a>y</a></div></body>", ["T", LONG]),
+    (f"<body><div><div><div><p>{LONG}</p></div></div></div><div><div><p>{LESS}</p></div></div></body>", [LONG, LESS]),
+    (f"<section>{LONG}</section><section>{LONG}</section>", [LONG, LONG]),
+])
+def test_main_text_is_whole(html, want):
+    assert html_text.main_text(html) == "\n\n".join(x.strip() for x in want)
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "old"), (1, "u", None, "old"), (2, "v", "<p>é</p>", "old")], "page_id long, url string, html string, text string")
     assert rows_of(html_text.extract(pages), "page_id", "text", "n_chars") == [(1, "", 0), (1, "", 0), (2, "é", 1)]
