@@ -108,8 +108,13 @@ def _may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: i
     return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * apart <= (den - num) * (n + m))
 
 
+def _unnamed() -> F.Column:
+    """What picks a text whose doc_id is null: a hash of it. Other texts that have it do no harm, since sets are known by their digest."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
 def _members(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the set, null if it is empty), sketch, and the least tokens, twice a prefix."""
+    """doc_id, unnamed, n_shingles, cls (a digest of the set, null if it is empty), sketch, and the least tokens, twice a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +122,9 @@ def _members(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             low = [s[: 2 * prefix_length(len(s), num, den)] for s in sets]
             ends = np.append(0, np.cumsum([len(x) for x in low])).astype(np.int32)
             lows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *low]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) for s in sets], pa.binary()), lows], ["doc_id", "n_shingles", "cls", "sketch", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) for s in sets], pa.binary()), lows], ["doc_id", "unnamed", "n_shingles", "cls", "sketch", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, sketch binary, low array<bigint>")
+    return docs.select("doc_id", "text", _unnamed().alias("unnamed")).mapInArrow(run, "doc_id long, unnamed long, n_shingles long, cls binary, sketch binary, low array<bigint>")
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[bytes, np.ndarray]]]:
@@ -299,7 +304,8 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     component_id is the smallest doc_id that links reach, itself included. A
     null text, and one without words, has no shingle and is alone; a text of
     fewer than ``size`` words is one shingle. A-Z count as small. Rows with
-    the same doc_id are each a set of their own. Other columns are left out.
+    the same doc_id, or without one, are each a set of their own; a null doc_id
+    links like any other and names a component only if no row has an id. Other columns are left out.
     """
     spark = docs.sparkSession
     members = stored(_members(docs, size, num, den), "members")
@@ -309,15 +315,18 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     met = rows.filter("centre != most").select("centre", "cls").distinct()
     sizes = Window.partitionBy("centre")
     groups = stored(met.withColumn("m", F.ceil(F.count("*").over(sizes) / F.lit(BLOCK)).cast("int")), "groups")
-    info = members.join(groups.select("cls").distinct(), "cls").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
+    info = members.join(groups.select("cls").distinct(), "cls").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"), F.min("unnamed").alias("unnamed"))
     info = stored(info, "classes")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        reps = stored(info.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select("doc_id").distinct(), "ids")
+        reps = info.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+        # A class is read by a doc_id, or, if none of its rows has one, by the hash of a text.
+        reps = stored(reps.select(F.coalesce("doc_id", "unnamed").alias("at"), F.col("doc_id").isNull().alias("hashed")).distinct(), "ids")
         reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-        return stored(_sets_of(docs.select("doc_id", "text").join(reps, "doc_id", "left_semi"), size), "sets").dropDuplicates(["cls"])
+        texts = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), _unnamed()).alias("at"), F.col("doc_id").isNull().alias("hashed"))
+        return stored(_sets_of(texts.join(reps, ["at", "hashed"], "left_semi"), size), "sets").dropDuplicates(["cls"])
 
-    starred = stored(_starred(groups, info.drop("doc_id"), num, den), "pairs")
+    starred = stored(_starred(groups, info.drop("doc_id", "unnamed"), num, den), "pairs")
     edges = stored(_verified(starred, sets_of(starred), num, den, heavy), "links")
     labels = components(edges)
     labelled = groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))

@@ -359,6 +359,15 @@ def test_components(spark, docs, size, num, den):
     assert jaccard_join.link_components(df.limit(0), size, num, den).count() == 0
 
 
+def test_components_of_rows_without_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = lambda k, base=words: " ".join([*base[:-1], f"edit{k}"])
+    other, third = ([f"{c}{k}" for k in range(60)] for c in "xy")
+    rows = [(1, near(1)), (None, near(2)), (None, near(3, other)), (None, near(4, other)), (None, near(4, other)), (7, near(5, third)), (7, near(6, third)), (None, near(7, third)), (None, None), (9, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard_join.link_components(df, 3, 9, 10), "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 9, 10)
+
+
 # 10
 
 
