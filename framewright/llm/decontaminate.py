@@ -208,10 +208,14 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _lists(rows: Iterator[list[int]]) -> pa.ListArray:
+def _sorted_ids(ids: set[int | None]) -> list[int | None]:
+    return sorted(ids, key=lambda i: (i is None, i))
+
+
+def _lists(rows: Iterator[list[int | None]]) -> pa.ListArray:
     rows = list(rows)
-    flat = np.array([v for x in rows for v in x], np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)), pa.array(flat))
+    flat = pa.array([v for x in rows for v in x], pa.int64())
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)), flat)
 
 
 #: Columns that locate adds.
@@ -239,7 +243,7 @@ def _one_pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
                 nonlocal words
                 s, i = find(held, known)
                 spans.extend(s)
-                items.extend(sorted({known.items[k] for k in x}) for x in i)
+                items.extend(_sorted_ids({known.items[k] for k in x}) for x in i)
                 held.clear()
                 words = 0
 
@@ -255,7 +259,7 @@ def _one_pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
                 starts, stops = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("span_starts", "span_ends"))
                 spans = [_merged(list(zip(a, b, strict=True)), s) for a, b, s in zip(starts, stops, spans, strict=True)]
                 before = batch.column(batch.schema.get_field_index("item_ids")).to_pylist()
-                items = [sorted({*b, *i}) for b, i in zip(before, items, strict=True)]
+                items = [_sorted_ids({*b, *i}) for b, i in zip(before, items, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in base), pa.array(n_words, pa.int64()), _lists([a for a, _ in x] for x in spans), _lists([b for _, b in x] for x in spans), _lists(items)], [*(f.name for f in base), *FOUND])
 
     schema = StructType(list(base))
@@ -271,10 +275,11 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
     in as many blocks as ``block_bytes`` asks for, one after another; documents
     are never shuffled. A null or empty text has no words and no span, and so
     has every text if the benchmark is empty. Items with the same item_id are
-    searched each and named once. Repeated documents are searched each. Columns
+    searched each and named once; so are items without an item_id, as a null at
+    the end of item_ids. Repeated documents are searched each. Columns
     of these names in ``docs`` are replaced; all others stay.
     """
-    items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     out = docs.drop(*FOUND)

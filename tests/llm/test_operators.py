@@ -244,6 +244,22 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.locate(empty, bench).count() == 0
 
 
+def test_items_without_id_are_searched(spark, tmp_path):
+    import duckdb
+
+    long = " ".join(f"w{k}" for k in range(20))
+    texts = [f"a b {long} c", "thing here", f"other {long} and thing", "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, long), (None, long + " more"), (3, "thing"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(con.execute(decontaminate.OP5_SQL).fetchall())
+    assert sorted(map(tuple, decontaminate.op5_fm_index_decontamination(spark, str(tmp_path)).collect())) == want
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "benchmark"))
+    assert rows_of(decontaminate.locate(docs, bench, block_bytes=60), "doc_id", "item_ids") == [(0, [None]), (1, [3]), (2, [3, None]), (3, []), (4, [])]
+
+
 # 6
 
 
