@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) a new local folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and
+    driver and executors are one process (tests) a new local folder is made and
+    set; on a cluster that would lose what other machines write.
     """
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -31,11 +35,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+    return _written(df, shared_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one run, deleted together once what was made of them is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = shared_path(spark, name)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex}")
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """Stored outside, so that it stays."""
+        return stored(df, name)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,77 +1,166 @@
 """N-gram Jaccard join by multiple global orders.
 
 If two sets are similar enough, then under any total order of all tokens their
-first few tokens, their prefixes, share one. Candidates must share a prefix
-token under each of several orders before their sets are compared. In all
-orders the heaviest tokens come last, so that what many documents share is
-looked up only where a document has little else.
-
-Equal sets are one class from the start. The classes that share a prefix
-token have one of them as its centre, and all that have the same centre are a
-group; any two that share a token are in one. First each class is compared to
-its centres and linked ones are joined to components; then pairs of different
-components are looked for inside the groups, block by block, so that most of a
-large group of near copies is never paired and no link between components is
-lost. Sizes and sketches rule out most pairs; the rest are compared where the
-sets of a block are at hand, so a set is sent for a block and not for a pair.
+first few tokens, their prefixes, share one. So candidates must share a prefix
+token under each of three orders. All orders put rare tokens first, by how
+often a token is repeated in the corpus, and break ties by a hash of their own.
+
+Prefixes meet by token under the first order. Classes (equal sets are one
+class) that meet nobody are done; the others' prefixes meet under the second
+and the third order, and a class that meets nobody there is done too. What is
+left are, for each class, the tokens it shares with others under each order.
+All classes that share a token of the first order are a group with one of them
+as its centre. First each class is compared to one centre; linked classes are
+joined to components. Then pairs of different components are looked for inside
+the groups, those outside a group's largest component against all others, cut
+into blocks. A pair has to share a token under the other two orders as well;
+sizes and sketches rule out most of the rest before any set is sent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import stored, table
+from framewright.llm.common import Scratch, table
 
-#: Tokens that all orders put last, and how often one has to be among the first of a document to count.
-HEAVY_TOKENS, HEAVY_FROM = 100_000, 32
-#: Classes in a block of a centre's group; larger groups are paired block by block.
+#: Tokens whose frequency the orders know, and tokens of documents in which repeats are counted at a time.
+HEAVY_TOKENS, COUNTED = 1 << 20, 1 << 22
+#: Repeats from which a token's group is salted, a salt for each so many.
+HOT = 1 << 13
+#: Classes in a block of a group; larger groups are paired block by block.
 BLOCK = 512
-#: Documents up to which their ids are broadcast to pick their texts; beyond, texts are shuffled.
+#: Documents up to which their keys are broadcast to pick texts; beyond, texts are shuffled.
 BROADCAST_IDS = 1 << 20
 #: Classes of tokens in a sketch.
 SKETCH = 128
-#: Distinct words, or sets seen, that a worker remembers; then it starts again.
+#: Sets seen that a worker remembers; then it starts again.
 REMEMBERED = 1 << 17
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 20
+#: Bits of a token's slot in the table that rules out rare tokens.
+SLOT_BITS = 24
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_TOP = np.uint64(1 << 63)
-#: Odd multipliers of the token hash and of the second and third order.
+_ONE, _SHIFT = np.uint64(1), np.uint64(58)
+#: Odd multipliers of the token hash and of the orders.
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-
-
 def _mixed(h: np.ndarray, by: np.uint64) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * by
     return h ^ (h >> np.uint64(29))
 
 
+_BYTES = np.arange(256)
+#: A value for each byte, A-Z as a-z; which bytes are between words; powers of an odd number by position, and of its inverse.
+_VALUES = _mixed(np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint64) * _MIX[1] + _MIX[2], _MIX[0])
+_BETWEEN = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        base, inverse = int(_MIX[1]), pow(int(_MIX[1]), -1, 1 << 64)
+        _POWERS[:] = [np.cumprod(np.append(_ONE, np.full(max(n, 2 * CHUNK), x, np.uint64))) for x in (base, inverse)]
+    return _POWERS
+
+
+def _words_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of texts that follow each other; ``begins``: where texts begin."""
+    apart = _BETWEEN[data]
+    opens, closes = ~apart, ~apart
+    opens[1:] &= apart[:-1]
+    closes[:-1] &= apart[1:]
+    inside = begins[(begins > 0) & (begins < len(data))]
+    opens[inside] = ~apart[inside]
+    closes[inside - 1] = ~apart[inside - 1]
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes)
+    power, inverse = _powers(len(data))
+    total = np.cumsum(_VALUES[data] * power[: len(data)])
+    before = np.where(start > 0, total[start - 1], np.uint64(0))
+    return _mixed((total[end] - before) * inverse[start], _MIX[0]), start
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """Word hashes of one long text, piece by piece; pieces end between words."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and not _BETWEEN[data[end - 1 : end + CHUNK]].any():
+            end += CHUNK
+        if end < len(data):
+            end += int(np.argmax(_BETWEEN[data[end - 1 : end + CHUNK]]))
+        out.append(_words_of(data[at:end], np.empty(0, np.int64))[0])
+        at = end
+    return np.concatenate(out)
+
+
+def _shingled(h: np.ndarray, counts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct tokens of each text, from the hashes of all texts' words."""
+    first = np.cumsum(counts) - counts
+    token = lambda x, k: _mixed(x + np.uint64(k), _MIX[0]) >> _ONE
+    whole, runs = np.zeros(len(counts), np.uint64), h
+    for k in range(1, size):
+        fewer = counts == k
+        whole[fewer] = token(runs[first[fewer]], k)
+        runs = _mixed(runs[:-1], _MIX[0]) + h[k:]
+    runs = token(runs, size)
+    for n, a, w in zip(counts.tolist(), first.tolist(), whole, strict=True):
+        if n < size:
+            yield np.array([w] if n else [], np.uint64)
+        else:
+            s = np.sort(runs[a : a + n - size + 1])
+            yield s if len(s) == 1 else s[np.append(True, s[1:] != s[:-1])]
+
+
+def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes (63 bits) of its distinct ``size``-word shingles; of fewer words the whole sequence; none without words."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        cuts = offsets[at : upto + 1]
+        part = data[cuts[0] : cuts[-1]]
+        if len(part) > 2 * CHUNK:
+            h = _long_words(part)
+            counts = np.array([len(h)])
+        else:
+            h, start = _words_of(part, cuts[:-1] - cuts[0])
+            counts = np.diff(np.searchsorted(start, cuts - cuts[0]))
+        counts[null[at:upto]] = 0
+        yield from _shingled(h, counts, size)
+        at = upto
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted hashes (63 bits) of the distinct ``size``-word shingles; of fewer words the whole sequence; none without words."""
-    words = text.encode().translate(_LOWER).split() if text else []
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if not len(h):
-        return h
-    span = min(size, len(h))
-    out = h[: len(h) - span + 1].copy()
-    for k in range(1, span):
-        out = _mixed(out, _MIX[0]) + h[k : len(h) - span + 1 + k]
-    return np.unique(_mixed(out + np.uint64(span), _MIX[0]) >> np.uint64(1))
+    """The same for one text."""
+    return next(sets_of(pa.array([text], pa.string()), size))
+
+
+def _class_of(tokens: np.ndarray) -> int | None:
+    """A signed 64-bit digest of a set; none if it is empty."""
+    return xxhash.xxh3_64_intdigest(tokens) - (1 << 63) if len(tokens) else None
+
+
+class _Seen(set):
+    """What a worker has seen, as far as it remembers."""
+
+    def new(self, x: int | None) -> bool:
+        if x is None or x in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(x)
+        return True
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -79,21 +168,45 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _ordered(tokens: np.ndarray, order: int, heavy: np.ndarray) -> np.ndarray:
-    """Sort keys of tokens in an order: heavy ones last, else by a hash of their own for each order."""
-    key = tokens if order == 0 else _mixed(tokens, _MIX[order]) >> np.uint64(1)
-    if not len(heavy):
-        return key
-    at = np.searchsorted(heavy, tokens)
-    at[at == len(heavy)] = 0
-    return np.where(heavy[at] == tokens, key | _TOP, key)
-
-
-def prefix(tokens: np.ndarray, order: int, heavy: np.ndarray, length: int) -> np.ndarray:
-    key = _ordered(tokens, order, heavy)
-    if length >= len(key):
-        return tokens
-    return tokens[np.argpartition(key, length - 1)[:length]]
+@dataclass
+class Orders:
+    """Three total orders of all tokens: by class of frequency, rare first, then by a hash of each order's own."""
+
+    tokens: np.ndarray
+    times: np.ndarray
+    slots: np.ndarray | None = field(default=None, repr=False)
+
+    def known(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``tokens`` are known to be repeated, and where they stand."""
+        if self.slots is None:
+            self.slots = np.zeros(1 << SLOT_BITS, bool)
+            self.slots[self.tokens & np.uint64((1 << SLOT_BITS) - 1)] = True
+        maybe = np.flatnonzero(self.slots[tokens & np.uint64((1 << SLOT_BITS) - 1)])
+        at = np.searchsorted(self.tokens, tokens[maybe])
+        at[at == len(self.tokens)] = 0
+        hit = self.tokens[at] == tokens[maybe] if len(self.tokens) else np.zeros(len(maybe), bool)
+        return maybe[hit], at[hit]
+
+    def prefixes(self, tokens: np.ndarray, length: int, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Order, tokens of the prefix, and how often each is known to be repeated."""
+        where, at = self.known(tokens)
+        times = np.zeros(len(tokens), np.int64)
+        times[where] = self.times[at]
+        weight = np.zeros(len(tokens), np.uint64)
+        weight[where] = np.log2(self.times[at]).astype(np.uint64) + _ONE << _SHIFT
+        for order in orders:
+            if length < len(tokens):
+                key = (tokens if order == 0 else _mixed(tokens, _MIX[order]) >> _ONE) >> np.uint64(6) | weight
+                pick = np.argpartition(key, length - 1)[:length]
+                yield order, tokens[pick], times[pick]
+            else:
+                yield order, tokens, times
+
+
+def _repeats(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that several sets have, and how many have them."""
+    found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    return found[n > 1], n[n > 1]
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
@@ -101,201 +214,270 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def _may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sizes and sketches of sets allow the similarity: sets differ in at least as many tokens as their sketches do."""
-    apart = np.abs(x.astype(np.int16) - y).sum(1)
-    # Overlap is num * (n + m) / (num + den) or more, so what is in one set only is (den - num) * (n + m) / (num + den) or less.
-    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * apart <= (den - num) * (n + m))
-
+def text_key() -> Column:
+    """What picks a text: a hash of it. Others that have the same do no harm, since sets are known by their digest."""
+    return F.xxhash64("text")
 
-def _unnamed() -> F.Column:
-    """What picks a text whose doc_id is null: a hash of it. Other texts that have it do no harm, since sets are known by their digest."""
-    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
 
-
-def _members(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, unnamed, n_shingles, cls (a digest of the set, null if it is empty), sketch, and the least tokens, twice a prefix."""
+def _measured(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, at (the text's key), n_shingles and cls (null for an empty set) of every row; and rows with token and times alone: tokens repeated among the sets of a task."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "at", "n_shingles", "cls", "token", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
-            low = [s[: 2 * prefix_length(len(s), num, den)] for s in sets]
-            ends = np.append(0, np.cumsum([len(x) for x in low])).astype(np.int32)
-            lows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *low]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([_sketch(s) for s in sets], pa.binary()), lows], ["doc_id", "unnamed", "n_shingles", "cls", "sketch", "low"])
+        held, count, seen = [], 0, _Seen()
 
-    return docs.select("doc_id", "text", _unnamed().alias("unnamed")).mapInArrow(run, "doc_id long, unnamed long, n_shingles long, cls binary, sketch binary, low array<bigint>")
+        def counted() -> pa.RecordBatch:
+            found, n = _repeats(held)
+            held.clear()
+            none = [pa.nulls(len(n), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names)
 
+        for batch in batches:
+            id_type = batch.column(0).type
+            n, cls = [], []
+            for s in sets_of(batch.column(2), size):
+                n.append(len(s))
+                cls.append(_class_of(s))
+                if seen.new(cls[-1]):
+                    held.append(s)
+                    count += len(s)
+                    if count >= COUNTED:
+                        yield counted()
+                        count = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names)
+        if held:
+            yield counted()
+
+    return docs.select("doc_id", text_key().alias("at"), "text").mapInArrow(run, f"doc_id {kind}, at long, n_shingles long, cls long, token long, times long")
+
+
+def _orders(measured: DataFrame, scratch: Scratch) -> Orders:
+    """The orders, from the repeats of all tasks: up to HEAVY_TOKENS of the most repeated tokens. Any set of them gives valid orders."""
+    repeats = measured.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
+    repeats = scratch.stored(repeats.withColumn("level", F.floor(8 * F.log2("times")).cast("int")), "repeats")
+    room, least = HEAVY_TOKENS, None
+    for level, n in repeats.groupBy("level").count().orderBy(F.desc("level")).collect():  # 504 rows at most
+        if n > room:
+            break
+        room, least = room - n, level
+    if least is None:
+        return Orders(np.empty(0, np.uint64), np.empty(0, np.int64))
+    found = repeats.filter(F.col("level") >= least).select("token", "times").toArrow()
+    tokens, times = (found.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(tokens)
+    return Orders(tokens[order].astype(np.uint64), times[order])
+
+
+def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which: tuple[int, ...]) -> DataFrame:
+    """rank (the order), token, salt, cls for each token of a set's prefix, each set once for a task. salt is -1, or for a hot token one of several."""
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[bytes, np.ndarray]]]:
-    """Sets and their digests batch by batch, each set once for a task as far as it remembers."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        out = []
-        for text in batch.column(0):
-            tokens = shingles(text.as_py(), size)
-            cls = xxhash.xxh3_128_digest(tokens.tobytes())
-            if len(tokens) and cls not in seen:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(cls)
-                out.append((cls, tokens))
-        yield out
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = orders.value, _Seen()
+        for batch in batches:
+            rows: list[tuple] = []
+            for s in sets_of(batch.column(0), size):
+                cls = _class_of(s)
+                if seen.new(cls):
+                    for rank, tokens, times in known.prefixes(s, prefix_length(len(s), num, den), which):
+                        rows.append((rank, tokens, np.where(times >= HOT, cls % (times // HOT + 1), -1), cls))
+            if rows:
+                n = [len(r[1]) for r in rows]
+                rank, cls = (np.repeat(np.array([r[k] for r in rows], t), n) for k, t in ((0, np.int8), (3, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.concatenate([r[1] for r in rows]).astype(np.int64)), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)), pa.array(cls)], ["rank", "token", "salt", "cls"])
 
-def _heavy_tokens(members: DataFrame) -> np.ndarray:
-    """Up to HEAVY_TOKENS tokens that stand most often among the least of a document, twice its prefix. Any set of them gives valid orders."""
-    counts = members.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= HEAVY_FROM)
-    rows = counts.orderBy(F.desc("n"), "token").select("token").limit(HEAVY_TOKENS).collect()
-    return np.array(sorted(r[0] for r in rows), np.uint64)
+    return texts.select("text").mapInArrow(run, "rank byte, token long, salt int, cls long")
 
 
-def _prefix_rows(docs: DataFrame, size: int, num: int, den: int, heavy) -> DataFrame:
-    """token, cls for each token of a set's prefix under the first order."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose token several classes have, with ``first``, the least class that has it; of a hot token all rows are kept."""
+    group = Window.partitionBy("rank", "token", "salt")
+    rows = rows.withColumns({"first": F.min("cls").over(group), "last": F.max("cls").over(group)})
+    return rows.filter("salt >= 0 or first <> last").drop("last")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _distinct_sets(batches, size):
-            if sets:
-                found = [prefix(s, 0, heavy.value, prefix_length(len(s), num, den)) for _, s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(np.array([c for c, _ in sets], object), [len(f) for f in found]), pa.binary())], ["token", "cls"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls binary")
+def _texts_of(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """The texts with the keys of ``at(at)``, which is stored."""
+    few = F.broadcast(at) if at.count() <= BROADCAST_IDS else at
+    return docs.select("text", text_key().alias("at")).join(few, "at", "left_semi").select("text")
 
 
-def _sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """cls, tokens of each set, once for a task."""
+def _sets(texts: DataFrame, size: int, sketched: bool) -> DataFrame:
+    """cls and tokens (array) or sketch of each set, once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in _distinct_sets(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.binary()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["cls", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "cls binary, tokens binary")
+        seen = _Seen()
+        for batch in batches:
+            found = [(c, s) for s in sets_of(batch.column(0), size) if seen.new(c := _class_of(s))]
+            cls = pa.array([c for c, _ in found], pa.int64())
+            if sketched:
+                yield pa.RecordBatch.from_arrays([cls, pa.array([_sketch(s) for _, s in found], pa.binary())], ["cls", "sketch"])
+            elif found:
+                ends = np.cumsum([0, *(len(s) for _, s in found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([cls, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in found]).astype(np.int64)))], ["cls", "tokens"])
 
+    return texts.mapInArrow(run, "cls long, sketch binary" if sketched else "cls long, tokens array<bigint>").dropDuplicates(["cls"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, heavy) -> DataFrame:
-    """The pairs (a, b) of ``pairs(centre, i, j, a, b)`` that share a prefix token under the second and the third order too and are similar enough."""
-    key = ["centre", "i", "j"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, cut = None, {}, {}
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    of = lambda side: sets.select(F.col("cls").alias(side), F.col("tokens").alias(f"{side}_tokens"))
+    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    either = F.size("a_tokens") + F.size("b_tokens") - both
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(den * both >= num * either).select("a", "b")
 
-        def prefix_of(cls: bytes, order: int) -> np.ndarray:
-            if (cls, order) not in cut:
-                cut[cls, order] = prefix(held[cls], order, heavy.value, prefix_length(len(held[cls]), num, den))
-            return cut[cls, order]
 
-        def linked(a: bytes, b: bytes) -> bool:
-            if not all(len(np.intersect1d(prefix_of(a, o), prefix_of(b, o), True)) for o in (1, 2)):
-                return False
-            both = len(np.intersect1d(held[a], held[b], True))
-            return den * both >= num * (len(held[a]) + len(held[b]) - both)
-
-        for batch in batches:
-            out = []
-            for *group, a, b, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != group:
-                    at, held, cut = group, {}, {}
-                if b is None:
-                    held[a] = np.frombuffer(tokens, np.uint64)
-                elif linked(a, b):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    # A pair that several groups found is compared in one of them.
-    once = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct(*key)).alias("at"))
-    pairs = once.select("at.*", "a", "b")
-    needed = pairs.select(*key, F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
-    rows = needed.select(*key, F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "tokens").unionByName(pairs.select(*key, "a", "b", F.lit(None).cast("binary").alias("tokens")))
-    rows = rows.repartition(*key).sortWithinPartitions(*key, F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (the least node it is connected to) for each node of ``edges(a, b)``.
 
     Least labels go to neighbours and along labels in turn until none changes;
     each round is written to the shared folder.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
+    both = scratch.stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        following = stored(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        following = scratch.stored(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
         labels = following.select("node", "label")
         if following.filter("label != old").isEmpty():
             return labels
 
 
-def _block(cls: str) -> F.Column:
-    """The block of a class in a group of ``m`` blocks."""
-    return F.pmod(F.xxhash64(cls), F.col("m")).cast("int")
+def agreeing(pairs: DataFrame, num: int, den: int, ranks: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """The pairs with columns n, m (sizes) and p1, q1, p2, q2 (shared tokens of both) that sizes allow and that share a token under each order."""
+    pairs = pairs.filter(den * F.least("n", "m") >= num * F.greatest("n", "m"))
+    for rank in ranks:
+        pairs = pairs.filter(F.arrays_overlap(f"p{rank}", f"q{rank}"))
+    return pairs
 
 
-def _starred(groups: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """centre, i, j, a, b: each class and a centre of it that sizes and sketches allow."""
+def _level(num: int, den: int) -> Column:
+    """A size's level: sizes that allow a link are at most one level apart."""
+    return F.floor(F.log("n") / F.lit(1.0001 * float(np.log(den / num)))).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(i).to_numpy() for i in (3, 5))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (4, 6))
-            keep = pa.array(_may_link(n, m, x, y, num, den))
-            centre, cls, i = (batch.column(k).filter(keep) for k in (0, 1, 2))
-            yield pa.RecordBatch.from_arrays([centre, i, i, cls, centre], ["centre", "i", "j", "a", "b"])
-
-    at_centre = lambda c: info.select(F.col("cls").alias("centre"), F.col(c).alias(f"c_{c}"))
-    # Sizes are narrow and rule out most; sketches are looked up for the rest.
-    rows = groups.filter("cls != centre").join(info.select("cls", "n"), "cls").join(at_centre("n"), "centre")
-    rows = rows.filter(den * F.least("n", "c_n") >= num * F.greatest("n", "c_n"))
-    rows = rows.join(info.select("cls", "sketch"), "cls").join(at_centre("sketch"), "centre")
-    return rows.select("centre", "cls", _block("cls").alias("i"), "n", "sketch", "c_n", "c_sketch").mapInArrow(run, "centre binary, i int, j int, a binary, b binary")
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows(centre, level, cls, label, own)`` of groups with several labels, each for every pair of blocks (i, j) that it belongs to.
 
-def _pairs_across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """centre, i, j, a, b: pairs of different labels in a centre's group that sizes and sketches allow.
-
-    ``rows(centre, m, cls, n, label, sketch)``. A group is cut into ``m``
-    blocks by a hash of cls, and each pair of blocks is a group of its own.
+    A group's rows outside its largest label are in the blocks from 0 on, the
+    others in those after them; each of the first is paired with itself and
+    with all that follow.
     """
-    rows = rows.withColumn("i", _block("cls")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("centre", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.col("i") > F.col("j")).alias("right"), "cls", "n", "label", "sketch")
+    group = ["centre", "level"]
+    labels = rows.groupBy(*group, "label").count().groupBy(*group).agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels"))
+    labels = labels.filter("labels > 1").select(*group, F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).cast("int").alias("minor"), F.ceil(F.col("top.count") / BLOCK).cast("int").alias("major"))
+    rows = rows.join(labels, group)
+    spread = F.xxhash64("cls")
+    block = F.when(F.col("label") == F.col("top"), F.col("minor") + F.pmod(spread, F.col("major"))).otherwise(F.pmod(spread, F.col("minor"))).cast("int")
+    rows = rows.withColumn("block", block)
+    last = F.when(F.col("block") < F.col("minor"), F.col("minor") + F.col("major")).otherwise(F.col("minor")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select(*group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"), "cls", "label", "own")
+
+
+def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of different labels in a pair of blocks that sizes, both other orders and sketches allow."""
+    key = ["centre", "level", "i", "j"]
+    columns = [*key, "right", "cls", "label", "own", "n", "p1", "p2", "sketch"]
+
+    def of_group(g: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        right, cls, label, own, n = (g.column(k).to_numpy(zero_copy_only=False) for k in range(4, 9))
+        right, own, every = right.astype(bool), own.astype(bool), np.arange(len(cls))
+        within = g.column(2)[0].as_py() == g.column(3)[0].as_py()
+        flat = []
+        for k in (9, 10):
+            ends = g.column(k).offsets.to_numpy() - g.column(k).offsets[0].as_py()
+            flat.append((np.unique(g.column(k).flatten().to_numpy(), return_inverse=True)[1], ends))
+        sketch = None
+        for i in every[:-1] if within else every[~right]:
+            others = every[i + 1 :] if within else every[right]
+            others = others[(label[others] != label[i]) & (own[others] | own[i]) & (den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i]))]
+            for ids, ends in flat if len(others) else ():
+                mine = np.zeros(ids.max() + 1, bool)
+                mine[ids[ends[i] : ends[i + 1]]] = True
+                others = others[np.logical_or.reduceat(mine[ids], ends[:-1])[others]]
+            if len(others):
+                if sketch is None:
+                    sketch = np.frombuffer(b"".join(g.column(11).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+                # Overlap is num * (n + m) / (num + den) or more, so what is in one set only is (den - num) * (n + m) / (num + den) or less.
+                apart = np.abs(sketch[others] - sketch[i]).sum(1)
+                others = others[(num + den) * apart <= (den - num) * (n[others] + n[i])]
+                yield np.minimum(cls[others], cls[i]), np.maximum(cls[others], cls[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of_group(key: list, g: list[tuple]) -> list[tuple]:
-            right, cls, n, label, sketch = zip(*g, strict=True)
-            right, cls, n = np.array(right), np.array(cls, object), np.array(n, np.int64)
-            label = np.unique(np.array(label, object), return_inverse=True)[1].reshape(-1)
-            sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH)
-            same, every, out = key[1] == key[2], np.arange(len(cls)), []
-            for i in every if same else every[~right]:
-                others = every[i + 1 :] if same else every[right]
-                others = others[(label[others] != label[i]) & (den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i]))]
-                if len(others):
-                    others = others[_may_link(n[others], n[i], sketch[others], sketch[i], num, den)]
-                out += [(*key, cls[i], cls[k]) for k in others]
-            return out
-
-        at, group = None, []
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["centre", "i", "j", "a", "b"])
-
-        for batch in batches:
-            out = []
-            for *key, right, cls, n, label, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != at:
-                    if len(group) > 1:
-                        out += of_group(at, group)
-                    at, group = key, []
-                group.append((right, cls, n, label, sketch))
-            yield batch_of(out)
-        if len(group) > 1:
-            yield batch_of(of_group(at, group))
-
-    key = ["centre", "i", "j"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "centre binary, i int, j int, a binary, b binary")
+        left = None
+        for batch in (*batches, None):
+            whole = left if batch is None else batch if left is None else pa.concat_batches([left, batch])
+            if whole is None or not len(whole):
+                continue
+            keys = [whole.column(k).to_numpy() for k in range(4)]
+            cuts = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+            ends = np.append(cuts[1:], len(whole))
+            if batch is not None:
+                left, cuts, ends = whole.slice(int(cuts[-1])), cuts[:-1], ends[:-1]
+            found = [x for a, b in zip(cuts.tolist(), ends.tolist(), strict=True) if b > a + 1 for x in of_group(whole.slice(a, b - a))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(x[k] for x in found)])) for k in (0, 1)], ["a", "b"])
+
+    return rows.select(*columns).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """doc_id, at (the text's key), n_shingles, label of every row; equal labels are one component, null is an empty set."""
+    spark = docs.sparkSession
+    measured = scratch.stored(_measured(docs, size), "measured")
+    orders = spark.sparkContext.broadcast(_orders(measured, scratch))
+    members = measured.filter("token is null").drop("token", "times")
+    classes = members.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"), F.min("at").alias("at"))
+
+    met = scratch.stored(_shared(_prefix_rows(docs, size, num, den, orders, (0,))).select("rank", "token", "salt", "cls"), "met")
+    some = classes.join(met.select("cls").distinct(), "cls")
+    texts = _texts_of(docs, scratch.stored(some.select("at").distinct(), "keys"))
+    other = _shared(_prefix_rows(texts, size, num, den, orders, (1, 2)))
+    # A class has as many tokens as its prefix at most.
+    shared = other.groupBy("cls").agg(*(F.collect_set(F.when(F.col("rank") == k, F.pmod("token", F.lit((1 << 31) - 1)).cast("int"))).alias(f"p{k}") for k in (1, 2)))
+    known = scratch.stored(classes.join(shared.filter("size(p1) > 0 and size(p2) > 0"), "cls"), "classes")
+
+    groups = _shared(met.join(known.select("cls"), "cls", "left_semi"))
+    # Salts of a hot token have a class of their own to be compared to first, and are one group.
+    groups = groups.select(F.when(F.col("salt") < 0, F.col("first")).otherwise(F.col("token")).alias("centre"), "cls", "first")
+    groups = scratch.stored(groups.groupBy("centre", "cls").agg(F.min("first").alias("first")), "groups")
+    starred = groups.filter("first <> cls").groupBy(F.col("cls").alias("a")).agg(F.min("first").alias("b"))
+    starred = starred.join(known.select(F.col("cls").alias("a"), "n", "p1", "p2"), "a").join(known.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), "b")
+    starred = scratch.stored(agreeing(starred, num, den).select("a", "b"), "pairs")
+
+    def at_of(nodes: DataFrame) -> DataFrame:
+        return scratch.stored(known.join(nodes.distinct(), "cls", "left_semi").select("at").distinct(), "keys")
+
+    def sets_for(pairs: DataFrame) -> DataFrame:
+        at = at_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+        return scratch.stored(_sets(_texts_of(docs, at), size, False), "sets")
+
+    edges = scratch.stored(_verified(starred, sets_for(starred), num, den), "links")
+    labels = components(edges, scratch)
+
+    # Pairs of different labels in a group; each row is at its own level and at the next.
+    rows = groups.select("centre", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(known.select("cls", "n"), "cls")
+    rows = rows.select("centre", "cls", F.coalesce("label", "cls").alias("label"), _level(num, den).alias("level"))
+    rows = rows.select("centre", "cls", "label", F.explode(F.array(F.struct("level", F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own")))).alias("x")).select("centre", "cls", "label", "x.*")
+    blocks = scratch.stored(_blocks(rows), "blocks")
+    sketches = _sets(_texts_of(docs, at_of(blocks.select("cls"))), size, True)
+    known = scratch.stored(known.join(sketches, "cls"), "sketches")
+    across = _across(blocks.join(known, "cls"), num, den)
+    done = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = scratch.stored(across.join(done, ["a", "b"], "left_anti"), "pairs")
+    more = _verified(across, sets_for(across), num, den)
+
+    named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    own = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    # Links between components join their labels.
+    more = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    more = scratch.stored(more.distinct(), "links")
+    if not more.isEmpty():
+        further = components(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        named = named.join(further, "label", "left").withColumn("label", F.coalesce("least", "label"))
+    return named.select("doc_id", "at", "n_shingles", "label")
 
 
 def link_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -303,43 +485,17 @@ def link_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
 
     component_id is the smallest doc_id that links reach, itself included. A
     null text, and one without words, has no shingle and is alone; a text of
-    fewer than ``size`` words is one shingle. A-Z count as small. Rows with
-    the same doc_id, or without one, are each a set of their own; a null doc_id
-    links like any other and names a component only if no row has an id. Other columns are left out.
+    fewer than ``size`` words is one shingle; long texts are hashed piece by
+    piece and count whole. A-Z count as small. Rows with the same doc_id, or
+    without one, are each a set of their own; a null doc_id links like any
+    other and names a component only if no row has an id. Sets are told apart
+    by 64-bit digests, shingles by 63-bit ones. An empty table gives an empty
+    result. Other columns are left out.
     """
-    spark = docs.sparkSession
-    members = stored(_members(docs, size, num, den), "members")
-    heavy = spark.sparkContext.broadcast(_heavy_tokens(members))
-    by_token = Window.partitionBy("token")
-    rows = _prefix_rows(docs, size, num, den, heavy).withColumns({"centre": F.min("cls").over(by_token), "most": F.max("cls").over(by_token)})
-    met = rows.filter("centre != most").select("centre", "cls").distinct()
-    sizes = Window.partitionBy("centre")
-    groups = stored(met.withColumn("m", F.ceil(F.count("*").over(sizes) / F.lit(BLOCK)).cast("int")), "groups")
-    info = members.join(groups.select("cls").distinct(), "cls").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"), F.min("unnamed").alias("unnamed"))
-    info = stored(info, "classes")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        reps = info.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
-        # A class is read by a doc_id, or, if none of its rows has one, by the hash of a text.
-        reps = stored(reps.select(F.coalesce("doc_id", "unnamed").alias("at"), F.col("doc_id").isNull().alias("hashed")).distinct(), "ids")
-        reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
-        texts = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), _unnamed()).alias("at"), F.col("doc_id").isNull().alias("hashed"))
-        return stored(_sets_of(texts.join(reps, ["at", "hashed"], "left_semi"), size), "sets").dropDuplicates(["cls"])
-
-    starred = stored(_starred(groups, info.drop("doc_id", "unnamed"), num, den), "pairs")
-    edges = stored(_verified(starred, sets_of(starred), num, den, heavy), "links")
-    labels = components(edges)
-    labelled = groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = labelled.withColumns({"low": F.min("label").over(sizes), "high": F.max("label").over(sizes)}).filter("low != high").drop("low", "high")
-    # A set has one of a possible size in its group only if the next smaller or larger one is.
-    by_size = sizes.orderBy("n")
-    near = labelled.join(info.select("cls", "n"), "cls").withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    near = near.filter((den * F.col("less") >= num * F.col("n")) | (den * F.col("n") >= num * F.col("more")))
-    across = stored(_pairs_across(near.join(info.select("cls", "sketch"), "cls").select("centre", "m", "cls", "n", "label", "sketch"), num, den), "pairs")
-    more = stored(_verified(across, sets_of(across), num, den, heavy), "links")
-    final = components(edges.union(more)) if not more.isEmpty() else labels
-    named = members.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = stored(named.select("doc_id", "n_shingles", "label"), "named")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    named = linked(docs, size, num, den, scratch)
+    named = scratch.kept(named, "named")
+    scratch.clear()
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,53 @@ def test_components_of_rows_without_id(spark):
     assert rows_of(jaccard_join.link_components(df, 3, 9, 10), "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 9, 10)
 
 
+def test_hot_tokens_and_blocks(spark, monkeypatch):
+    """Salted tokens, groups of many blocks and several labels: no link is lost."""
+    for name, value in (("HOT", 2), ("BLOCK", 2), ("COUNTED", 50), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(24)]
+    rows = []
+    for k in range(60):
+        w = list(words)
+        for _ in range(k % 6):
+            w[rng.randrange(24)] = f"edit{rng.randrange(5)}"
+        rows.append((k, " ".join(w[: 24 - k % 3])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows, 1, 9, 10)
+    assert 1 < len({c for _, _, c in want}) < 60
+    assert rows_of(jaccard_join.link_components(df, 1, 9, 10), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_orders_filter_candidates(spark):
+    """A pair without a common token under the second order is not compared, though sizes and the third order allow it."""
+    pairs = spark.createDataFrame([("both", 10, 10, [1], [1, 2], [3], [3]), ("third", 10, 10, [1], [2], [3], [3]), ("second", 10, 10, [1], [1], [3], [4]), ("size", 10, 4, [1], [1], [3], [3])], "a string, n int, m int, p1 array<int>, q1 array<int>, p2 array<int>, q2 array<int>")
+    kept = lambda *ranks: {r.a for r in jaccard_join.agreeing(pairs, 9, 10, ranks).collect()}
+    assert kept(1, 2) == {"both"} and kept(2) == {"both", "third"} and kept(1) == {"both", "second"}
+
+
+@pytest.mark.parametrize("rank", [0, 1, 2])
+def test_similar_sets_share_a_prefix_token(rank):
+    rng = np.random.default_rng(3)
+    tokens = np.unique(rng.integers(0, 1 << 63, 400, np.uint64))
+    orders = jaccard_join.Orders(tokens[::5], rng.integers(2, 1000, len(tokens[::5])))
+    for _ in range(50):
+        x = np.sort(rng.choice(tokens, rng.integers(1, 200), False))
+        y = np.unique(np.append(rng.choice(x, max(1, len(x) - int(rng.integers(0, 9))), False), rng.choice(tokens, int(rng.integers(0, 5)))))
+        prefix = [set(t.tolist()) for s in (x, y) for _, t, _ in orders.prefixes(s, jaccard_join.prefix_length(len(s), 4, 5), (rank,))]
+        both = len(np.intersect1d(x, y))
+        assert 5 * both < 4 * (len(x) + len(y) - both) or prefix[0] & prefix[1]
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    rng = random.Random(1)
+    texts = ["", None, " ", "x" * 500, *(" ".join(rng.choice(["a", "é", "Word", "y" * 90, "", "\n"]) for _ in range(n)) for n in (1, 2, 3, 60, 400))]
+    whole = [s.tolist() for t in texts for s in jaccard_join.sets_of(pa.array([t], pa.string()), 3)]
+    assert [len(s) for s in whole] == [n for _, n, _ in (brute_components([(0, t)], 3, 1, 1)[0] for t in texts)]
+    monkeypatch.setattr(jaccard_join, "CHUNK", 64)
+    assert [s.tolist() for s in jaccard_join.sets_of(pa.array(texts, pa.string()), 3)] == whole
+
+
 # 10
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -54,3 +55,27 @@ def test_stages_keep_columns_and_take_nothing(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(0), str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_near_copies_by_row(spark):
+    """Rows with one doc_id and different texts, without a doc_id, and repeated rows are told apart by their texts."""
+    base = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"edit{k}"])
+    rows = [(5, near(1)), (5, "another text of its own"), (3, near(2)), (None, near(3)), (None, "only here without an id"), (None, "only here without an id"), (8, "same row"), (8, "same row"), (9, ""), (9, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, df, "").collect()), key=repr)
+    assert got == sorted([(5, "another text of its own"), (3, near(2)), (None, "only here without an id"), (8, "same row"), (9, ""), (9, ""), (None, None)], key=repr)
+
+
+def test_stages_leave_columns_alone(spark, tmp_path):
+    """Columns with the names that operators use come out of every stage with the values that they had."""
+    make(spark, tmp_path)
+    names = ["score", "lang_pred", "n_words", "n_hit", "span_starts", "span_ends", "item_ids", "pass", "block", "at", "label", "cls", "others", "a.b"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        kept = [c for c in out.columns if name != "language_id" or c != "lang"]
+        before = {tuple(r) for r in docs.select(*(F.col(f"`{c}`") for c in kept)).collect()}
+        after = [tuple(r) for r in out.select(*(F.col(f"`{c}`") for c in kept)).collect()]
+        assert after and set(after) <= before
