@@ -10,10 +10,10 @@ class) that meet nobody are done; the others' prefixes meet under the second
 and the third order, and a class that meets nobody there is done too. What is
 left are, for each class, the tokens it shares with others under each order.
 All classes that share a token of the first order are a group with one of them
-as its centre. First each class is compared to one centre; linked classes are
-joined to components. Then pairs of different components are looked for inside
-the groups, those outside a group's largest component against all others, cut
-into blocks. A pair has to share a token under the other two orders as well;
+as its centre. First each class is compared to its centres; linked classes are
+joined to components. Then pairs of different components are looked for among
+the rest of a group, those outside its largest component against all others,
+cut into blocks. A pair has to share a token under the other two orders as well;
 sizes and sketches rule out most of the rest before any set is sent.
 """
 
@@ -345,9 +345,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def may_link(num: int, den: int) -> Column:
+    """Whether sizes n and m allow the similarity."""
+    return den * F.least("n", "m") >= num * F.greatest("n", "m")
+
+
 def agreeing(pairs: DataFrame, num: int, den: int, ranks: tuple[int, ...] = (1, 2)) -> DataFrame:
     """The pairs with columns n, m (sizes) and p1, q1, p2, q2 (shared tokens of both) that sizes allow and that share a token under each order."""
-    pairs = pairs.filter(den * F.least("n", "m") >= num * F.greatest("n", "m"))
+    pairs = pairs.filter(may_link(num, den))
     for rank in ranks:
         pairs = pairs.filter(F.arrays_overlap(f"p{rank}", f"q{rank}"))
     return pairs
@@ -443,8 +448,11 @@ def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     # Salts of a hot token have a class of their own to be compared to first, and are one group.
     groups = groups.select(F.when(F.col("salt") < 0, F.col("first")).otherwise(F.col("token")).alias("centre"), "cls", "first")
     groups = scratch.stored(groups.groupBy("centre", "cls").agg(F.min("first").alias("first")), "groups")
-    starred = groups.filter("first <> cls").groupBy(F.col("cls").alias("a")).agg(F.min("first").alias("b"))
-    starred = starred.join(known.select(F.col("cls").alias("a"), "n", "p1", "p2"), "a").join(known.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), "b")
+    # Narrow columns rule out most pairs; what classes share is looked up for the rest.
+    narrow = known.select("cls", "n")
+    starred = groups.filter("first <> cls").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    starred = starred.join(narrow.withColumnRenamed("cls", "a"), "a").join(narrow.withColumnsRenamed({"cls": "b", "n": "m"}), "b").filter(may_link(num, den))
+    starred = starred.join(known.select(F.col("cls").alias("a"), "p1", "p2"), "a").join(known.select(F.col("cls").alias("b"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), "b")
     starred = scratch.stored(agreeing(starred, num, den).select("a", "b"), "pairs")
 
     def at_of(nodes: DataFrame) -> DataFrame:
@@ -457,8 +465,8 @@ def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     edges = scratch.stored(_verified(starred, sets_for(starred), num, den), "links")
     labels = components(edges, scratch)
 
-    # Pairs of different labels in a group; each row is at its own level and at the next.
-    rows = groups.select("centre", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(known.select("cls", "n"), "cls")
+    # Pairs of different labels in a group, without the centre that all were compared to; each row is at its own level and at the next.
+    rows = groups.filter("centre <> cls").select("centre", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(known.select("cls", "n"), "cls")
     rows = rows.select("centre", "cls", F.coalesce("label", "cls").alias("label"), _level(num, den).alias("level"))
     rows = rows.select("centre", "cls", "label", F.explode(F.array(F.struct("level", F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own")))).alias("x")).select("centre", "cls", "label", "x.*")
     blocks = scratch.stored(_blocks(rows), "blocks")
