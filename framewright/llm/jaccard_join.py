@@ -9,8 +9,8 @@ Prefixes meet by token under the first order. Classes (equal sets are one
 class) that meet nobody are done; the others' prefixes meet under the second
 and the third order, and a class that meets nobody there is done too. What is
 left are, for each class, the tokens it shares with others under each order.
-All classes that share a token of the first order are a group with one of them
-as its centre. First each class is compared to its centres; linked classes are
+All classes that share a token of the first order are a group with two of them
+as its centres. First each class is compared to its centres; linked classes are
 joined to components. Then pairs of different components are looked for among
 the rest of a group, those outside its largest component against all others,
 cut into blocks. A pair has to share a token under the other two orders as well;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import Scratch, table
 
 #: Tokens whose frequency the orders know, and tokens of documents in which repeats are counted at a time.
-HEAVY_TOKENS, COUNTED = 1 << 20, 1 << 22
+HEAVY_TOKENS, COUNTED = 1 << 18, 1 << 22
 #: Repeats from which a token's group is salted, a salt for each so many.
 HOT = 1 << 13
 #: Classes in a block of a group; larger groups are paired block by block.
@@ -209,9 +209,9 @@ def _repeats(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return found[n > 1], n[n > 1]
 
 
-def _sketch(tokens: np.ndarray) -> bytes:
-    """How many tokens are in each of SKETCH classes, up to 255."""
-    return np.minimum(np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens are in each of SKETCH classes, up to 127."""
+    return np.minimum(np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 127).astype(np.int8)
 
 
 def text_key() -> Column:
@@ -269,8 +269,11 @@ def _orders(measured: DataFrame, scratch: Scratch) -> Orders:
     return Orders(tokens[order].astype(np.uint64), times[order])
 
 
-def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which: tuple[int, ...]) -> DataFrame:
-    """rank (the order), token, salt, cls for each token of a set's prefix, each set once for a task. salt is -1, or for a hot token one of several."""
+def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which: tuple[int, ...], sketched: bool) -> DataFrame:
+    """rank (the order), token, salt, cls for each token of a set's prefix, each set once for a task; and a row of rank -1 with the set's sketch, if asked for.
+
+    salt is -1, or for a hot token one of several.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = orders.value, _Seen()
@@ -280,20 +283,25 @@ def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which:
                 cls = _class_of(s)
                 if seen.new(cls):
                     for rank, tokens, times in known.prefixes(s, prefix_length(len(s), num, den), which):
-                        rows.append((rank, tokens, np.where(times >= HOT, cls % (times // HOT + 1), -1), cls))
+                        rows.append((rank, tokens.view(np.int64), np.where(times >= HOT, cls % (times // HOT + 1), -1), cls, None))
+                    if sketched:
+                        rows.append((-1, np.array([cls]), np.array([-1]), cls, _sketch(s)))
             if rows:
                 n = [len(r[1]) for r in rows]
                 rank, cls = (np.repeat(np.array([r[k] for r in rows], t), n) for k, t in ((0, np.int8), (3, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.concatenate([r[1] for r in rows]).astype(np.int64)), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)), pa.array(cls)], ["rank", "token", "salt", "cls"])
+                lengths = np.repeat([0 if r[4] is None else SKETCH for r in rows], n)
+                sketches = np.concatenate([np.empty(0, np.int8), *(r[4] for r in rows if r[4] is not None)])
+                sketch = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(sketches), mask=pa.array(lengths == 0))
+                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)), pa.array(cls), sketch], ["rank", "token", "salt", "cls", "sketch"])
 
-    return texts.select("text").mapInArrow(run, "rank byte, token long, salt int, cls long")
+    return texts.select("text").mapInArrow(run, "rank byte, token long, salt int, cls long, sketch array<tinyint>")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose token several classes have, with ``first``, the least class that has it; of a hot token all rows are kept."""
+    """The rows whose token several classes have, with ``first``, the least class that has it; of a hot token, and of sketches, all rows are kept."""
     group = Window.partitionBy("rank", "token", "salt")
     rows = rows.withColumns({"first": F.min("cls").over(group), "last": F.max("cls").over(group)})
-    return rows.filter("salt >= 0 or first <> last").drop("last")
+    return rows.filter("salt >= 0 or first <> last or rank < 0").drop("last")
 
 
 def _texts_of(docs: DataFrame, at: DataFrame) -> DataFrame:
@@ -302,21 +310,18 @@ def _texts_of(docs: DataFrame, at: DataFrame) -> DataFrame:
     return docs.select("text", text_key().alias("at")).join(few, "at", "left_semi").select("text")
 
 
-def _sets(texts: DataFrame, size: int, sketched: bool) -> DataFrame:
-    """cls and tokens (array) or sketch of each set, once for a task."""
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """cls and tokens of each set, once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
             found = [(c, s) for s in sets_of(batch.column(0), size) if seen.new(c := _class_of(s))]
-            cls = pa.array([c for c, _ in found], pa.int64())
-            if sketched:
-                yield pa.RecordBatch.from_arrays([cls, pa.array([_sketch(s) for _, s in found], pa.binary())], ["cls", "sketch"])
-            elif found:
+            if found:
                 ends = np.cumsum([0, *(len(s) for _, s in found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([cls, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in found]).astype(np.int64)))], ["cls", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in found]).astype(np.int64)))], ["cls", "tokens"])
 
-    return texts.mapInArrow(run, "cls long, sketch binary" if sketched else "cls long, tokens array<bigint>").dropDuplicates(["cls"])
+    return texts.mapInArrow(run, "cls long, tokens array<bigint>").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -358,6 +363,16 @@ def agreeing(pairs: DataFrame, num: int, den: int, ranks: tuple[int, ...] = (1,
     return pairs
 
 
+def sketches_allow(num: int, den: int) -> Column:
+    """Whether sketches s and t of sets of n and m tokens allow the similarity: sets differ in at least as many tokens as their sketches do.
+
+    Overlap is num * (n + m) / (num + den) or more, so what is in one set only
+    is (den - num) * (n + m) / (num + den) or less.
+    """
+    apart = F.aggregate(F.zip_with("s", "t", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
+    return (num + den) * apart <= (den - num) * (F.col("n") + F.col("m"))
+
+
 def _level(num: int, den: int) -> Column:
     """A size's level: sizes that allow a link are at most one level apart."""
     return F.floor(F.log("n") / F.lit(1.0001 * float(np.log(den / num)))).cast("int")
@@ -405,8 +420,8 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
                 others = others[np.logical_or.reduceat(mine[ids], ends[:-1])[others]]
             if len(others):
                 if sketch is None:
-                    sketch = np.frombuffer(b"".join(g.column(11).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-                # Overlap is num * (n + m) / (num + den) or more, so what is in one set only is (den - num) * (n + m) / (num + den) or less.
+                    sketch = g.column(11).flatten().to_numpy().reshape(-1, SKETCH).astype(np.int16)
+                # As in sketches_allow.
                 apart = np.abs(sketch[others] - sketch[i]).sum(1)
                 others = others[(num + den) * apart <= (den - num) * (n[others] + n[i])]
                 yield np.minimum(cls[others], cls[i]), np.maximum(cls[others], cls[i])
@@ -436,45 +451,44 @@ def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     members = measured.filter("token is null").drop("token", "times")
     classes = members.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"), F.min("at").alias("at"))
 
-    met = scratch.stored(_shared(_prefix_rows(docs, size, num, den, orders, (0,))).select("rank", "token", "salt", "cls"), "met")
+    met = scratch.stored(_shared(_prefix_rows(docs, size, num, den, orders, (0,), False)).select("rank", "token", "salt", "cls"), "met")
     some = classes.join(met.select("cls").distinct(), "cls")
     texts = _texts_of(docs, scratch.stored(some.select("at").distinct(), "keys"))
-    other = _shared(_prefix_rows(texts, size, num, den, orders, (1, 2)))
+    other = _shared(_prefix_rows(texts, size, num, den, orders, (1, 2), True))
     # A class has as many tokens as its prefix at most.
-    shared = other.groupBy("cls").agg(*(F.collect_set(F.when(F.col("rank") == k, F.pmod("token", F.lit((1 << 31) - 1)).cast("int"))).alias(f"p{k}") for k in (1, 2)))
+    shared = other.groupBy("cls").agg(*(F.collect_set(F.when(F.col("rank") == k, F.pmod("token", F.lit((1 << 31) - 1)).cast("int"))).alias(f"p{k}") for k in (1, 2)), F.first("sketch", True).alias("sketch"))
     known = scratch.stored(classes.join(shared.filter("size(p1) > 0 and size(p2) > 0"), "cls"), "classes")
 
     groups = _shared(met.join(known.select("cls"), "cls", "left_semi"))
-    # Salts of a hot token have a class of their own to be compared to first, and are one group.
-    groups = groups.select(F.when(F.col("salt") < 0, F.col("first")).otherwise(F.col("token")).alias("centre"), "cls", "first")
-    groups = scratch.stored(groups.groupBy("centre", "cls").agg(F.min("first").alias("first")), "groups")
+    second = F.min(F.when(F.col("cls") != F.col("first"), F.col("cls"))).over(Window.partitionBy("rank", "token", "salt"))
+    # Groups of near copies have the same two least classes under many tokens. Salts of a hot token are one group.
+    groups = groups.withColumn("second", second).select(F.when(F.col("salt") < 0, F.xxhash64("first", "second")).otherwise(F.col("token")).alias("centre"), "cls", "first", "second", (F.col("salt") >= 0).alias("hot"))
+    groups = scratch.stored(groups.groupBy("centre", "cls").agg(F.min("first").alias("first"), F.min("second").alias("second"), F.max("hot").alias("hot")), "groups")
     # Narrow columns rule out most pairs; what classes share is looked up for the rest.
     narrow = known.select("cls", "n")
-    starred = groups.filter("first <> cls").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    starred = groups.select(F.col("cls").alias("a"), F.explode(F.array("first", "second")).alias("b")).filter("a <> b")
+    starred = starred.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     starred = starred.join(narrow.withColumnRenamed("cls", "a"), "a").join(narrow.withColumnsRenamed({"cls": "b", "n": "m"}), "b").filter(may_link(num, den))
     starred = starred.join(known.select(F.col("cls").alias("a"), "p1", "p2"), "a").join(known.select(F.col("cls").alias("b"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), "b")
-    starred = scratch.stored(agreeing(starred, num, den).select("a", "b"), "pairs")
-
-    def at_of(nodes: DataFrame) -> DataFrame:
-        return scratch.stored(known.join(nodes.distinct(), "cls", "left_semi").select("at").distinct(), "keys")
+    starred = agreeing(starred, num, den).select("a", "b", "n", "m")
+    starred = starred.join(known.select(F.col("cls").alias("a"), F.col("sketch").alias("s")), "a").join(known.select(F.col("cls").alias("b"), F.col("sketch").alias("t")), "b")
+    starred = scratch.stored(starred.filter(sketches_allow(num, den)).select("a", "b"), "pairs")
 
     def sets_for(pairs: DataFrame) -> DataFrame:
-        at = at_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
-        return scratch.stored(_sets(_texts_of(docs, at), size, False), "sets")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        at = scratch.stored(known.join(nodes, "cls", "left_semi").select("at").distinct(), "keys")
+        return scratch.stored(_sets(_texts_of(docs, at), size), "sets")
 
     edges = scratch.stored(_verified(starred, sets_for(starred), num, den), "links")
     labels = components(edges, scratch)
 
-    # Pairs of different labels in a group, without the centre that all were compared to; each row is at its own level and at the next.
-    rows = groups.filter("centre <> cls").select("centre", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(known.select("cls", "n"), "cls")
+    # Pairs of different labels in a group, without the two that all were compared to; each row is at its own level and at the next.
+    rows = groups.filter("hot or cls <> first and cls <> second").select("centre", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(known.select("cls", "n"), "cls")
     rows = rows.select("centre", "cls", F.coalesce("label", "cls").alias("label"), _level(num, den).alias("level"))
     rows = rows.select("centre", "cls", "label", F.explode(F.array(F.struct("level", F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own")))).alias("x")).select("centre", "cls", "label", "x.*")
     blocks = scratch.stored(_blocks(rows), "blocks")
-    sketches = _sets(_texts_of(docs, at_of(blocks.select("cls"))), size, True)
-    known = scratch.stored(known.join(sketches, "cls"), "sketches")
     across = _across(blocks.join(known, "cls"), num, den)
-    done = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = scratch.stored(across.join(done, ["a", "b"], "left_anti"), "pairs")
+    across = scratch.stored(across.join(starred.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = _verified(across, sets_for(across), num, den)
 
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
