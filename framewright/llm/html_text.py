@@ -1,14 +1,17 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams its events into lines, one for each
-block of the page. A line's ratio is its characters over its tags. The ratios
-are smoothed by a Gaussian along the page and lines above a threshold form
-clusters; the element that holds most of the clusters' text is where the
-content region begins. It grows to the article or main element around it, and
-to elements around it that hold further clusters or headings; all its blocks,
-short ones too, are the main text. What is a menu, header,
-footer, sidebar, notice, advert, form, script, style or comment by its element
-or its names is never text.
+block of the page. A line's ratio is its characters outside links over its
+tags. Menus, sidebars, notices, adverts, forms, comments and the like lower
+the ratio of their lines, by element, role or name; an element that holds most
+of the page with its title lowers nothing, whatever its name. The ratios are
+smoothed by a Gaussian along the page and lines above a threshold form
+clusters. The element that holds most of the clusters' text is where the
+content region begins; it grows to the article or main element around it, and
+to elements around it that hold further clusters or headings. Inside it the
+clusters decide about every line that isn't plainly a paragraph, a heading or
+an item: lowered lines, links without text and bare text at the region's ends
+stay only where they are above the threshold.
 """
 
 from __future__ import annotations
@@ -28,11 +31,17 @@ from framewright.llm.common import table
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is never main text.
-DROPPED = frozenset("aside audio button canvas datalist dialog footer form head header iframe label math menu nav noscript object option script search select style svg template textarea title video".split())
+DROPPED = frozenset("audio button canvas datalist head iframe label math noscript object option script search select style svg template textarea title video".split())
+#: Elements that lower the ratio of what they hold; those that a page may be wrapped in.
+LOWERING, WRAPPING = frozenset("aside dialog footer form header menu nav".split()), frozenset(["form"])
+#: Elements of which each is a paragraph, an item or the like by itself.
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may be the content region.
 REGIONS = frozenset("article body center div main section table td".split())
+#: Words before a name that take its meaning away.
+NEGATED = frozenset("has hide is no with without".split())
 #: Words in class or id of a block that is not main text.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 #: The same for role.
@@ -46,16 +55,22 @@ WHOLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 SIGMA = 1.5
+#: What is left of a lowered ratio.
+LOWERED = 0.05
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 @dataclass
 class Line:
-    """A block of a page: its text, the tags since the line before, the open regions around it with their elements, and whether it is in a heading."""
+    """A block of a page: its text, characters outside links, links, the tags since the line before, what lowers it, its innermost block element, the open regions around it with their elements, and whether it is in a heading."""
 
     text: str
+    plain: int
+    links: int
     tags: int
+    lowered: tuple[int, ...]
+    tag: str
     regions: tuple[int, ...]
     kinds: tuple[str, ...]
     heading: bool
@@ -66,6 +81,7 @@ class _Open:
     tag: str
     drops: bool
     region: int | None = None
+    lowers: int | None = None
 
 
 @dataclass
@@ -77,36 +93,56 @@ class Lines(HTMLParser):
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[_Open] = []
-        self.dropping = 0
+        self.dropping = self.linking = 0
         self.regions = 0
         self.parts: list[str] = []
+        self.plain: list[str] = []
+        self.links = 0
         self.tags = 0
+        #: What lowers: whether a page may be wrapped in it, and whether it holds the page's title or main element.
+        self.lowering: list[list[bool]] = []
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        self.parts.clear()
         if text:
+            plain = len(_SPACE.sub(" ", "".join(self.plain)).strip())
             around = [x for x in self.open if x.region is not None]
-            self.found.append(Line(text, self.tags, tuple(x.region for x in around), tuple(x.tag for x in around), any(x.tag in HEADINGS for x in self.open)))
+            block = next((x.tag for x in reversed(self.open) if x.tag in BLOCKS), "")
+            lowered = tuple(x.lowers for x in self.open if x.lowers is not None)
+            self.found.append(Line(text, plain, self.links, self.tags, lowered, block, tuple(x.region for x in around), tuple(x.tag for x in around), any(x.tag in HEADINGS for x in self.open)))
             self.tags = 0
+        self.parts.clear(), self.plain.clear()
+        self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append(" "), self.plain.append(" ")
+        elif tag == "a":
+            self.links += 1
         if tag in VOID:
             return
         if tag == "body":
             while self.dropping and self.open:
                 self._pop()
-        drops = tag in DROPPED or bool(attrs) and _named(tag, dict(attrs))
-        region = None
+        names = dict(attrs)
+        drops = tag in DROPPED or _hidden(names)
+        region = lowers = None
         if tag in REGIONS:
             region, self.regions = self.regions, self.regions + 1
-        self.open.append(_Open(tag, drops, region))
+        inner = tag == "header" and any(x.tag in WHOLE for x in self.open)
+        if tag in LOWERING and not inner or attrs and _named(tag, names):
+            lowers = len(self.lowering)
+            self.lowering.append([tag in WRAPPING or tag not in LOWERING, False])
+        if tag in ("h1", "main"):
+            for x in self.open:
+                if x.lowers is not None:
+                    self.lowering[x.lowers][1] = True
+        self.open.append(_Open(tag, drops, region, lowers))
         self.dropping += drops
+        self.linking += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -119,30 +155,52 @@ class Lines(HTMLParser):
     def _pop(self) -> str:
         last = self.open.pop()
         self.dropping -= last.drops
+        self.linking -= last.tag == "a"
         return last.tag
 
     def handle_data(self, data: str) -> None:
         if not self.dropping:
             self.parts.append(data)
+            if not self.linking:
+                self.plain.append(data)
+
+    def weights(self) -> np.ndarray:
+        """1, or LOWERED for lines that something lowers."""
+        inside: dict[int, int] = {}
+        for x in self.found:
+            for k in x.lowered:
+                inside[k] = inside.get(k, 0) + x.plain
+        total = sum(x.plain for x in self.found)
+        idle = {k for k, n in inside.items() if all(self.lowering[k]) and 2 * n >= total}
+        if all(set(x.lowered) - idle for x in self.found):
+            # Nothing else is there: what a page may be wrapped in lowers nothing if it holds paragraphs.
+            idle |= {k for x in self.found if x.tag == "p" for k in x.lowered if self.lowering[k][0]}
+        return np.array([LOWERED if set(x.lowered) - idle else 1.0 for x in self.found])
+
+
+def _hidden(attrs: dict[str, str | None]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
 
 
 def _named(tag: str, attrs: dict[str, str | None]) -> bool:
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
+    """Whether role, class or id name something that isn't main text; a name such as no-sidebar doesn't."""
     if (attrs.get("role") or "").lower() in ROLES:
         return True
     if tag in NAMED_FREELY:
         return False
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return any(w.lower() in NAMES for w in _WORD.findall(names))
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and words[0] not in NEGATED and any(w in NAMES for w in words):
+            return True
+    return False
 
 
-def lines_of(html: str) -> list[Line]:
+def parsed(html: str) -> Lines:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.found
+    return parser
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -153,37 +211,53 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[middle] / np.convolve(np.ones(len(ratios)), kernel)[middle]
 
 
-def clusters(lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
-    """Which lines are above the threshold, and which are by their own ratio too: the smoothed ratios' standard deviation, or their mean if that is less."""
-    own = np.array([len(x.text) / max(1, x.tags) for x in lines])
+def clusters(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are above the threshold when their ratios are smoothed, and which are by their own ratio too: the smoothed ratios' standard deviation, or their mean if that is less."""
     ratios = smoothed(own)
     chosen = ratios >= (least := min(ratios.std() or ratios.mean(), ratios.mean()))
-    return chosen, chosen & (own >= least)
+    return chosen, chosen & (own >= least) & (own > 0)
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, clusters=clusters) -> str:
     """The main text of a page: blocks with their white space folded, joined by an empty line. Null or no text: empty."""
-    lines = lines_of(html) if html else []
+    page = parsed(html) if html else Lines()
+    lines = page.found
     if not lines:
         return ""
-    chosen, strong = clusters(lines)
-    weight: dict[int, int] = {}
-    for line, take in zip(lines, chosen, strict=True):
+    weight = page.weights()
+    chosen, strong = clusters(weight * [x.plain / max(1, x.tags) for x in lines])
+    plain = weight == 1
+    if not (plain & chosen).any():
+        return ""
+    held: dict[int, int] = {}
+    for line, take in zip(lines, chosen & plain, strict=True):
         for r in line.regions if take else ():
-            weight[r] = weight.get(r, 0) + len(line.text)
+            held[r] = held.get(r, 0) + len(line.text)
     # The innermost region that holds more than half of the clusters' text; regions are numbered from outside in, the page is -1.
-    half = sum(len(x.text) for x, take in zip(lines, chosen, strict=True) if take) / 2
-    region = max((r for r, w in weight.items() if w > half), default=-1)
+    half = sum(len(x.text) for x, take in zip(lines, chosen & plain, strict=True) if take) / 2
+    region = max((r for r, w in held.items() if w > half), default=-1)
     if region >= 0:
         around = next(x for x in lines if region in x.regions)
         at = around.regions.index(region)
         # The outermost article or main around it, then what holds further headings or lines that are above the threshold themselves.
         at = next((k for k in range(at) if around.kinds[k] in WHOLE), at)
         region = around.regions[at]
+        further = strong | [x.heading for x in lines]
         for outer in (*reversed(around.regions[:at]), -1):
-            if any((take or x.heading) and region not in x.regions for x, take in zip(lines, strong, strict=True) if outer < 0 or outer in x.regions):
+            if any(take and region not in x.regions for x, take in zip(lines, further & plain, strict=True) if outer < 0 or outer in x.regions):
                 region = outer
-    return "\n\n".join(x.text for x in lines if region < 0 or region in x.regions)
+    bare = [x.plain == 0 and x.links > 0 for x in lines]
+    firm = np.flatnonzero(strong | [x.tag in PROSE and not b for x, b in zip(lines, bare, strict=True)] & plain)
+    first, last = (firm[0], firm[-1]) if len(firm) else (0, -1)
+
+    def stays(k: int, x: Line) -> bool:
+        if not plain[k]:
+            return bool(strong[k])
+        if bare[k]:  # one link by itself among text, not a row or a list of them
+            return bool(chosen[k]) and x.links == 1 and not any(bare[max(0, k - 1) : k]) and not any(bare[k + 1 : k + 2])
+        return x.tag in PROSE or first <= k <= last or not WHOLE.isdisjoint(x.kinds)
+
+    return "\n\n".join(x.text for k, x in enumerate(lines) if (region < 0 or region in x.regions) and stays(k, x))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -73,6 +73,49 @@ def test_main_text_is_whole(html, want):
     assert html_text.main_text(html) == "\n\n".join(x.strip() for x in want)
 
 
+@pytest.mark.parametrize("html, want", [
+    (f"<body><div class='post-content no-sidebar'><h1>T</h1><p>{LONG}</p></div></body>", ["T", LONG]),
+    (f"<body class='has-comments'><div class='share-ready'><h1>T</h1><p>{LONG}</p><p>short</p></div><div class=comments><p>{LESS}</p></div></body>", ["T", LONG, "short"]),
+    (f"<body><form><h1>T</h1><p>{LONG}</p><label>Name</label><button>Send</button></form></body>", ["T", LONG]),
+    (f"<body><form><p>{LONG}</p></form></body>", [LONG]),
+    (f"<body><p>{LONG}</p><form><p>Your name please, and some more</p></form><p>{LESS}</p></body>", [LONG, LESS]),
+    (f"<body><div class=x1>Home About Contact</div><p>{LONG}</p><p>{LESS}</p></body>", [LONG, LESS]),
+    (f"<body><div class=x1><a href=1>Home</a> <a href=2>About</a></div><ul><li><a href=3>One</a></li><li><a href=4>Two</a></li></ul><p>{LONG}</p><p>End.</p></body>", [LONG, "End."]),
+    (f"<article><p>{LONG}</p><p><a href=1>A link by itself</a></p><p>{LESS}</p></article>", [LONG, "A link by itself", LESS]),
+    (f"<article><header><h1>T</h1></header><section><p>{LONG}</p></section><section><p>{LESS}</p><p>x</p></section></article><aside><p>{LESS}</p></aside>", ["T", LONG, LESS, "x"]),
+    ("<nav><a href=1>a</a></nav><footer><p>Only a footer with a paragraph.</p></footer>", []),
+])
+def test_names_lower_and_clusters_decide(html, want):
+    assert html_text.main_text(html).split("\n\n") == ([x.strip() for x in want] or [""])
+
+
+def test_clusters_are_ratio_gaussian_and_threshold():
+    rng = random.Random(5)
+    for n in (1, 2, 7, 40):
+        own = [rng.choice([0, 1, 5, 80.5]) for _ in range(n)]
+        soft = []
+        for i in range(n):
+            near = [(math.exp(-((i - k) ** 2) / (2 * html_text.SIGMA**2)), own[k]) for k in range(n) if abs(i - k) <= 5]
+            soft.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+        assert np.allclose(html_text.smoothed(np.array(own)), soft)
+        mean = sum(soft) / n
+        spread = math.sqrt(sum((x - mean) ** 2 for x in soft) / n)
+        least = min(spread, mean) if spread > 1e-9 else mean
+        chosen, strong = html_text.clusters(np.array(own))
+        far = [abs(x - least) > 1e-9 for x in soft]
+        assert all(bool(c) == (x >= least) for c, x, f in zip(chosen, soft, far) if f)
+        assert all(bool(s) == (x >= least and o >= least and o > 0) for s, x, o, f in zip(strong, soft, own, far) if f)
+
+
+def test_text_hangs_on_the_clusters(spark):
+    """With every line in a cluster, pages with unlabelled menus keep them."""
+    every = lambda own: (np.ones(len(own), bool), np.ones(len(own), bool))
+    menu = "<div class=x1>Home About Contact</div>"
+    pages = [r.html.replace("<article>", f"{menu}<div>").replace("</article>", f"</div>{menu}").replace("<nav>", "<div>").replace("</nav>", "</div>").replace(' class="ad"', "") for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r.html]
+    changed = sum(html_text.main_text(p) != html_text.main_text(p, every) for p in pages)
+    assert pages and 2 * changed > len(pages)
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "old"), (1, "u", None, "old"), (2, "v", "<p>é</p>", "old")], "page_id long, url string, html string, text string")
     assert rows_of(html_text.extract(pages), "page_id", "text", "n_chars") == [(1, "", 0), (1, "", 0), (2, "é", 1)]
