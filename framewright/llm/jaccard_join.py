@@ -9,8 +9,8 @@ Prefixes meet by token under the first order. Classes (equal sets are one
 class) that meet nobody are done; the others' prefixes meet under the second
 and the third order, and a class that meets nobody there is done too. What is
 left are, for each class, the tokens it shares with others under each order.
-All classes that share a token of the first order are a group with two of them
-as its centres. First each class is compared to its centres; linked classes are
+Sizes that allow no link don't meet. All classes that share a token of the
+first order are a group with two of them as its centres. First each class is compared to its centres; linked classes are
 joined to components. Then pairs of different components are looked for among
 the rest of a group, those outside its largest component against all others,
 cut into blocks. A pair has to share a token under the other two orders as well;
@@ -168,6 +168,11 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def size_level(n: int, num: int, den: int) -> int:
+    """A size's level: sizes that allow a link are at most one level apart."""
+    return int(np.log(n) / (1.0001 * np.log(den / num)))
+
+
 @dataclass
 class Orders:
     """Three total orders of all tokens: by class of frequency, rare first, then by a hash of each order's own."""
@@ -270,7 +275,7 @@ def _orders(measured: DataFrame, scratch: Scratch) -> Orders:
 
 
 def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which: tuple[int, ...], sketched: bool) -> DataFrame:
-    """rank (the order), token, salt, cls for each token of a set's prefix, each set once for a task; and a row of rank -1 with the set's sketch, if asked for.
+    """rank (the order), token, salt, level (of its size), cls for each token of a set's prefix, each set once for a task; and a row of rank -1 with the set's sketch, if asked for.
 
     salt is -1, or for a hot token one of several.
     """
@@ -282,26 +287,40 @@ def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which:
             for s in sets_of(batch.column(0), size):
                 cls = _class_of(s)
                 if seen.new(cls):
+                    level = size_level(len(s), num, den)
                     for rank, tokens, times in known.prefixes(s, prefix_length(len(s), num, den), which):
-                        rows.append((rank, tokens.view(np.int64), np.where(times >= HOT, cls % (times // HOT + 1), -1), cls, None))
+                        rows.append((rank, tokens.view(np.int64), np.where(times >= HOT, cls % (times // HOT + 1), -1), cls, None, level))
                     if sketched:
-                        rows.append((-1, np.array([cls]), np.array([-1]), cls, _sketch(s)))
+                        rows.append((-1, np.array([cls]), np.array([-1]), cls, _sketch(s), level))
             if rows:
                 n = [len(r[1]) for r in rows]
-                rank, cls = (np.repeat(np.array([r[k] for r in rows], t), n) for k, t in ((0, np.int8), (3, np.int64)))
+                rank, cls, level = (np.repeat(np.array([r[k] for r in rows], t), n) for k, t in ((0, np.int8), (3, np.int64), (5, np.int32)))
                 lengths = np.repeat([0 if r[4] is None else SKETCH for r in rows], n)
                 sketches = np.concatenate([np.empty(0, np.int8), *(r[4] for r in rows if r[4] is not None)])
                 sketch = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(sketches), mask=pa.array(lengths == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)), pa.array(cls), sketch], ["rank", "token", "salt", "cls", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)), pa.array(level), pa.array(cls), sketch], ["rank", "token", "salt", "level", "cls", "sketch"])
+
+    return texts.select("text").mapInArrow(run, "rank byte, token long, salt int, level int, cls long, sketch array<tinyint>")
+
 
-    return texts.select("text").mapInArrow(run, "rank byte, token long, salt int, cls long, sketch array<tinyint>")
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Rows of each (rank, token, salt, level) that several classes have, with ``first``, the least of them; of a hot token all rows are kept."""
+    group = Window.partitionBy("rank", "token", "salt", "level")
+    rows = rows.withColumns({"first": F.min("cls").over(group), "last": F.max("cls").over(group), "owned": F.max("own").over(group)})
+    return rows.filter("rank < 0 and own or owned and (salt >= 0 or first <> last)").drop("last", "owned")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose token several classes have, with ``first``, the least class that has it; of a hot token, and of sketches, all rows are kept."""
+    """The rows whose token several classes of sizes that allow a link have; and those of sketches.
+
+    Sizes that allow a link are at most one level apart: a row stands at its
+    own level (``own``) and at the next. Tokens that one class alone has are
+    left out before; the rest stay where they are.
+    """
     group = Window.partitionBy("rank", "token", "salt")
-    rows = rows.withColumns({"first": F.min("cls").over(group), "last": F.max("cls").over(group)})
-    return rows.filter("salt >= 0 or first <> last or rank < 0").drop("last")
+    several = rows.withColumns({"first": F.min("cls").over(group), "last": F.max("cls").over(group)}).filter("rank < 0 or salt >= 0 or first <> last")
+    levels = F.explode(F.array(F.struct("level", F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own"))))
+    return _meeting(several.select(*(c for c in rows.columns if c != "level"), levels.alias("at")).select(*(c for c in rows.columns if c != "level"), "at.*"))
 
 
 def _texts_of(docs: DataFrame, at: DataFrame) -> DataFrame:
@@ -373,11 +392,6 @@ def sketches_allow(num: int, den: int) -> Column:
     return (num + den) * apart <= (den - num) * (F.col("n") + F.col("m"))
 
 
-def _level(num: int, den: int) -> Column:
-    """A size's level: sizes that allow a link are at most one level apart."""
-    return F.floor(F.log("n") / F.lit(1.0001 * float(np.log(den / num)))).cast("int")
-
-
 def _blocks(rows: DataFrame) -> DataFrame:
     """``rows(centre, level, cls, label, own)`` of groups with several labels, each for every pair of blocks (i, j) that it belongs to.
 
@@ -451,7 +465,7 @@ def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     members = measured.filter("token is null").drop("token", "times")
     classes = members.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"), F.min("at").alias("at"))
 
-    met = scratch.stored(_shared(_prefix_rows(docs, size, num, den, orders, (0,), False)).select("rank", "token", "salt", "cls"), "met")
+    met = scratch.stored(_shared(_prefix_rows(docs, size, num, den, orders, (0,), False).drop("sketch")).drop("first"), "met")
     some = classes.join(met.select("cls").distinct(), "cls")
     texts = _texts_of(docs, scratch.stored(some.select("at").distinct(), "keys"))
     other = _shared(_prefix_rows(texts, size, num, den, orders, (1, 2), True))
@@ -459,11 +473,12 @@ def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     shared = other.groupBy("cls").agg(*(F.collect_set(F.when(F.col("rank") == k, F.pmod("token", F.lit((1 << 31) - 1)).cast("int"))).alias(f"p{k}") for k in (1, 2)), F.first("sketch", True).alias("sketch"))
     known = scratch.stored(classes.join(shared.filter("size(p1) > 0 and size(p2) > 0"), "cls"), "classes")
 
-    groups = _shared(met.join(known.select("cls"), "cls", "left_semi"))
-    second = F.min(F.when(F.col("cls") != F.col("first"), F.col("cls"))).over(Window.partitionBy("rank", "token", "salt"))
+    groups = _meeting(met.join(known.select("cls"), "cls", "left_semi"))
+    second = F.min(F.when(F.col("cls") != F.col("first"), F.col("cls"))).over(Window.partitionBy("rank", "token", "salt", "level"))
     # Groups of near copies have the same two least classes under many tokens. Salts of a hot token are one group.
-    groups = groups.withColumn("second", second).select(F.when(F.col("salt") < 0, F.xxhash64("first", "second")).otherwise(F.col("token")).alias("centre"), "cls", "first", "second", (F.col("salt") >= 0).alias("hot"))
-    groups = scratch.stored(groups.groupBy("centre", "cls").agg(F.min("first").alias("first"), F.min("second").alias("second"), F.max("hot").alias("hot")), "groups")
+    groups = groups.withColumn("second", second).select(F.when(F.col("salt") < 0, F.xxhash64("first", "second")).otherwise(F.col("token")).alias("centre"), "level", "own", "cls", "first", "second", (F.col("salt") >= 0).alias("hot"))
+    groups = groups.groupBy("centre", "level", "cls").agg(F.min("first").alias("first"), F.min("second").alias("second"), F.max("hot").alias("hot"), F.max("own").alias("own"))
+    groups = scratch.stored(groups, "groups")
     # Narrow columns rule out most pairs; what classes share is looked up for the rest.
     narrow = known.select("cls", "n")
     starred = groups.select(F.col("cls").alias("a"), F.explode(F.array("first", "second")).alias("b")).filter("a <> b")
@@ -482,10 +497,9 @@ def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     edges = scratch.stored(_verified(starred, sets_for(starred), num, den), "links")
     labels = components(edges, scratch)
 
-    # Pairs of different labels in a group, without the two that all were compared to; each row is at its own level and at the next.
-    rows = groups.filter("hot or cls <> first and cls <> second").select("centre", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").join(known.select("cls", "n"), "cls")
-    rows = rows.select("centre", "cls", F.coalesce("label", "cls").alias("label"), _level(num, den).alias("level"))
-    rows = rows.select("centre", "cls", "label", F.explode(F.array(F.struct("level", F.lit(True).alias("own")), F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("own")))).alias("x")).select("centre", "cls", "label", "x.*")
+    # Pairs of different labels in a group, without the two that all were compared to.
+    rows = groups.filter("hot or cls <> first and cls <> second").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = rows.select("centre", "level", "cls", F.coalesce("label", "cls").alias("label"), "own")
     blocks = scratch.stored(_blocks(rows), "blocks")
     across = _across(blocks.join(known, "cls"), num, den)
     across = scratch.stored(across.join(starred.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
