@@ -307,7 +307,7 @@ def _meeting(rows: DataFrame) -> DataFrame:
     """Rows of each (rank, token, salt, level) that several classes have, with ``first``, the least of them; of a hot token all rows are kept."""
     group = Window.partitionBy("rank", "token", "salt", "level")
     rows = rows.withColumns({"first": F.min("cls").over(group), "last": F.max("cls").over(group), "owned": F.max("own").over(group)})
-    return rows.filter("rank < 0 and own or owned and (salt >= 0 or first <> last)").drop("last", "owned")
+    return rows.filter("(rank < 0 and own) or (rank >= 0 and (salt >= 0 or (owned and first <> last)))").drop("last", "owned")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
