@@ -28,7 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.llm import words
 from framewright.llm.common import Scratch, table
+from framewright.llm.words import MIX, mixed
 
 #: Tokens whose frequency the orders know, and tokens of documents in which repeats are counted at a time.
 HEAVY_TOKENS, COUNTED = 1 << 18, 1 << 22
@@ -42,74 +44,20 @@ BROADCAST_IDS = 1 << 20
 SKETCH = 128
 #: Sets seen that a worker remembers; then it starts again.
 REMEMBERED = 1 << 17
-#: Bytes of text that are hashed at a time.
-CHUNK = 1 << 20
 #: Bits of a token's slot in the table that rules out rare tokens.
 SLOT_BITS = 24
 
 _ONE, _SHIFT = np.uint64(1), np.uint64(58)
-#: Odd multipliers of the token hash and of the orders.
-_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-
-
-def _mixed(h: np.ndarray, by: np.uint64) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * by
-    return h ^ (h >> np.uint64(29))
-
-
-_BYTES = np.arange(256)
-#: A value for each byte, A-Z as a-z; which bytes are between words; powers of an odd number by position, and of its inverse.
-_VALUES = _mixed(np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint64) * _MIX[1] + _MIX[2], _MIX[0])
-_BETWEEN = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        base, inverse = int(_MIX[1]), pow(int(_MIX[1]), -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.append(_ONE, np.full(max(n, 2 * CHUNK), x, np.uint64))) for x in (base, inverse)]
-    return _POWERS
-
-
-def _words_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of texts that follow each other; ``begins``: where texts begin."""
-    apart = _BETWEEN[data]
-    opens, closes = ~apart, ~apart
-    opens[1:] &= apart[:-1]
-    closes[:-1] &= apart[1:]
-    inside = begins[(begins > 0) & (begins < len(data))]
-    opens[inside] = ~apart[inside]
-    closes[inside - 1] = ~apart[inside - 1]
-    start, end = np.flatnonzero(opens), np.flatnonzero(closes)
-    power, inverse = _powers(len(data))
-    total = np.cumsum(_VALUES[data] * power[: len(data)])
-    before = np.where(start > 0, total[start - 1], np.uint64(0))
-    return _mixed((total[end] - before) * inverse[start], _MIX[0]), start
-
-
-def _long_words(data: np.ndarray) -> np.ndarray:
-    """Word hashes of one long text, piece by piece; pieces end between words."""
-    out, at = [], 0
-    while at < len(data):
-        end = at + CHUNK
-        while end < len(data) and not _BETWEEN[data[end - 1 : end + CHUNK]].any():
-            end += CHUNK
-        if end < len(data):
-            end += int(np.argmax(_BETWEEN[data[end - 1 : end + CHUNK]]))
-        out.append(_words_of(data[at:end], np.empty(0, np.int64))[0])
-        at = end
-    return np.concatenate(out)
-
 
 def _shingled(h: np.ndarray, counts: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct tokens of each text, from the hashes of all texts' words."""
     first = np.cumsum(counts) - counts
-    token = lambda x, k: _mixed(x + np.uint64(k), _MIX[0]) >> _ONE
+    token = lambda x, k: mixed(x + np.uint64(k), MIX[0]) >> _ONE
     whole, runs = np.zeros(len(counts), np.uint64), h
     for k in range(1, size):
         fewer = counts == k
         whole[fewer] = token(runs[first[fewer]], k)
-        runs = _mixed(runs[:-1], _MIX[0]) + h[k:]
+        runs = mixed(runs[:-1], MIX[0]) + h[k:]
     runs = token(runs, size)
     for n, a, w in zip(counts.tolist(), first.tolist(), whole, strict=True):
         if n < size:
@@ -121,24 +69,14 @@ def _shingled(h: np.ndarray, counts: np.ndarray, size: int) -> Iterator[np.ndarr
 
 def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """For each text the sorted hashes (63 bits) of its distinct ``size``-word shingles; of fewer words the whole sequence; none without words."""
-    texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    null = texts.is_null().to_numpy(zero_copy_only=False)
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
-        cuts = offsets[at : upto + 1]
-        part = data[cuts[0] : cuts[-1]]
-        if len(part) > 2 * CHUNK:
-            h = _long_words(part)
-            counts = np.array([len(h)])
+    for _, _, found in words.parts(texts):
+        hashed = [words.word_hashes(*part)[:2] for part in found]
+        if len(found) == 1:
+            (h, start), (_, begins) = hashed[0], found[0]
+            yield from _shingled(h, words.counts(start, begins), size)
         else:
-            h, start = _words_of(part, cuts[:-1] - cuts[0])
-            counts = np.diff(np.searchsorted(start, cuts - cuts[0]))
-        counts[null[at:upto]] = 0
-        yield from _shingled(h, counts, size)
-        at = upto
+            h = np.concatenate([h for h, _ in hashed])
+            yield from _shingled(h, np.array([len(h)]), size)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -201,7 +139,7 @@ class Orders:
         weight[where] = np.log2(self.times[at]).astype(np.uint64) + _ONE << _SHIFT
         for order in orders:
             if length < len(tokens):
-                key = (tokens if order == 0 else _mixed(tokens, _MIX[order]) >> _ONE) >> np.uint64(6) | weight
+                key = (tokens if order == 0 else mixed(tokens, MIX[order]) >> _ONE) >> np.uint64(6) | weight
                 pick = np.argpartition(key, length - 1)[:length]
                 yield order, tokens[pick], times[pick]
             else:

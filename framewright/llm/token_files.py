@@ -10,6 +10,8 @@ splittable file on any file system that Spark can write.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewright.llm import words
 from framewright.llm.common import shared_path, table, width
 
 BLOCK_IDS = 1 << 16
 #: Distinct words whose ids a worker remembers; then it starts again.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 BLOCKS = "shard int, block int, bits int, first long, n_ids long, payload binary, doc_ids array<bigint>, doc_starts array<bigint>, doc_ends array<bigint>"
 
 
@@ -53,51 +56,131 @@ def unpack(payload: bytes, bits: int, start: int, end: int) -> np.ndarray:
 
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Words in one text for the tokenizer.
+TOGETHER = 500
+#: How a tokenizer file says that it lower-cases, drops white space and never merges across words.
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_END = "</w>"
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next free one from 256."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     free = iter(range(256, 512))
-    return [chr(b if b in plain else next(free)) for b in range(256)]
+    return {b: chr(b if b in plain else next(free)) for b in range(256)}
 
 
-class WordIds(dict):
-    """Ids of a piece of text between white space, as little-endian 32-bit integers.
+def goes_by_words(file: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and merges only inside words of letters, each closed by an end mark."""
+    split = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model = file.get("model") or {}
+    return (
+        tuple((file.get("normalizer") or {}).get("normalizers") or ()) == _NORMALIZERS
+        and split[0] == _SPLIT
+        and [(x.get("type"), x.get("use_regex")) for x in split[1:]] == [("ByteLevel", False)]
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("continuing_subword_prefix"), model.get("dropout")) == ("BPE", _END, None, None)
+    )
 
-    For a tokenizer that lower-cases, drops white space and merges only inside
-    words, a text's ids are those of its pieces in turn. Words of small Latin
-    letters go to the tokenizer's merges directly; every other piece goes
-    through the whole tokenizer.
+
+class WordIds:
+    """Ids of texts from a tokenizer file.
+
+    For a tokenizer that goes by words, a text's ids are those of its words in
+    turn. Words are known by a 64-bit hash; each new word of a part of a batch
+    is encoded once: words of small Latin letters together, as one text that
+    needs no normalizing, every other one by the whole tokenizer. For any other
+    tokenizer whole texts are encoded.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.letters = _byte_letters()
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        core = piece.rstrip(b".,")
-        if _LATIN.fullmatch(word := core.decode()):
-            if len(core) < len(piece):
-                ids = self[core] + self[piece[len(core) :]]
+        file = json.loads(self.whole.to_str())
+        self.by_words = goes_by_words(file)
+        if self.by_words:
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer, self.words.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+            self.letters = {b: letter for b, letter in _byte_letters().items() if b != 32}  # words are joined by spaces
+            self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+            self.ends[[i for word, i in self.whole.get_vocab().items() if word.endswith(_END)]] = True
+            #: Special tokens are matched in texts before letters are lowered, and go on as they are spelled.
+            self.special = re.compile(b"|".join(re.escape(x["content"].encode()) for x in file["added_tokens"]) or b"(?!)", re.IGNORECASE)
+            self.tails: dict[bytes, bytes] = {}
+            self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, "<u4")
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_words(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each of ``new``, in small letters."""
+        out: list[bytes] = [b""] * len(new)
+        latin, others = [], []
+        for k, word in enumerate(new):
+            core = word.rstrip(b".,")
+            if _LATIN.fullmatch(core.decode()):
+                latin.append((k, core, word[len(core) :]))
             else:
-                ids = np.array([x.id for x in self.model.tokenize("".join([self.letters[b] for b in piece]))], "<u4").tobytes()
-        else:
-            ids = np.array(self.whole.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[piece] = ids
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text:  # special tokens are matched before letters are lowered
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.encode().translate(_LOWER).split()))
+                others.append(k)
+        for k, ids in zip(others, self._encoded([new[k].decode() for k in others]), strict=True):
+            out[k] = ids
+        if tails := {t for _, _, t in latin} - self.tails.keys():
+            self.tails.update(zip(tails, self._encoded([t.decode() for t in tails]), strict=True))
+        texts = [" ".join([c.decode("latin-1") for _, c, _ in latin[k : k + TOGETHER]]).translate(self.letters) for k in range(0, len(latin), TOGETHER)]
+        for n, e in enumerate(self.words.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            blob, a = ids.tobytes(), 0
+            for (k, _, tail), b in zip(latin[n * TOGETHER : (n + 1) * TOGETHER], (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                out[k] = blob[a:b] + self.tails[tail] if tail else blob[a:b]
+                a = b
+        return out
+
+    def _of_part(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that follow each other, and how many each has."""
+        h, start, last = words.word_hashes(data, begins)
+        each, sample, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) + len(each) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.keys, each)
+        new = np.flatnonzero(each != self.keys[np.minimum(at, len(self.keys) - 1)]) if len(self.keys) else np.arange(len(each))
+        if len(new):
+            lower = data.tobytes().translate(_LOWER)
+            found = self._new_words([lower[a : b + 1] for a, b in zip(start[sample[new]].tolist(), last[sample[new]].tolist(), strict=True)])
+            count = np.array([len(x) // 4 for x in found])
+            keys = np.append(self.keys, each[new])
+            order = np.argsort(keys, kind="stable")
+            self.first = np.append(self.first, len(self.pool) + np.cumsum(count) - count)[order]
+            self.count, self.keys = np.append(self.count, count)[order], keys[order]
+            self.pool = np.append(self.pool, np.frombuffer(b"".join(found), "<u4"))
+            at = np.searchsorted(self.keys, each)
+        n = self.count[at][which]
+        total = np.cumsum(n)
+        ids = self.pool[np.repeat(self.first[at][which] - total + n, n) + np.arange(total[-1] if len(n) else 0)]
+        ends = np.append(0, total)[np.cumsum(words.counts(start, begins))]
+        return ids, np.diff(np.append(0, ends))
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; none for null."""
+        if not self.by_words:
+            for x in self._encoded([t or "" for t in texts.to_pylist()]):
+                yield np.frombuffer(x, "<u4")
+            return
+        for at, upto, found in words.parts(texts):
+            coded = [self._of_part(*part) for part in found]
+            n = coded[0][1] if len(coded) == 1 else [sum(len(ids) for ids, _ in coded)]
+            ids = np.concatenate([ids for ids, _ in coded])
+            special = any(self.special.search(data.tobytes()) for data, _ in found)
+            for k, x in zip(range(at, upto), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                if special and self.special.search((text := texts[k].as_py() or "").encode()):
+                    x = np.frombuffer(self._encoded([text])[0], "<u4")
+                yield x
 
 
 _held: dict[str, WordIds] = {}
@@ -122,8 +205,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
     parts = partitions or width(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(tokenizer)
-        bits = bits_for(words.whole.get_vocab_size())
+        coder = _word_ids(tokenizer)
+        bits = bits_for(coder.whole.get_vocab_size())
         end = np.array([end_id], "<u4").tobytes()
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         held, doc_ids, ends = [], [], [0]
@@ -139,11 +222,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("bits", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64()))])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.of(text.as_py()) + end
-                held.append(ids)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.of(batch.column(1)), strict=True):
+                held.append(ids.tobytes() + end)
                 doc_ids.append(doc_id)
-                ends.append(ends[-1] + len(ids) // 4)
+                ends.append(ends[-1] + len(ids) + 1)
                 if ends[-1] >= block_ids:
                     yield close()
         if doc_ids:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import decontaminate, html_text, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, suffix_dedup, token_files
+from framewright.llm import decontaminate, html_text, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, suffix_dedup, token_files, words
 
 WORDS = "the of and thing ring éclair über año to in on".split()
 
@@ -471,7 +471,7 @@ def test_shingles_of_long_texts(monkeypatch):
     texts = ["", None, " ", "x" * 500, *(" ".join(rng.choice(["a", "é", "Word", "y" * 90, "", "\n"]) for _ in range(n)) for n in (1, 2, 3, 60, 400))]
     whole = [s.tolist() for t in texts for s in jaccard_join.sets_of(pa.array([t], pa.string()), 3)]
     assert [len(s) for s in whole] == [n for _, n, _ in (brute_components([(0, t)], 3, 1, 1)[0] for t in texts)]
-    monkeypatch.setattr(jaccard_join, "CHUNK", 64)
+    monkeypatch.setattr(words, "CHUNK", 64)
     assert [s.tolist() for s in jaccard_join.sets_of(pa.array(texts, pa.string()), 3)] == whole
 
 
