@@ -4,10 +4,14 @@ Every window of ``length`` bytes belongs to the anchor that it selects from
 its own bytes, so equal windows of all documents meet at one anchor. Anchors
 that one document alone has are left out. Around every other occurrence the
 bytes of the windows that selected it are sent to the anchor's group; copies
-are sent once for a batch. A group is indexed by a run-compressed
+are sent once for a batch. Strings that share a window agree in the half of it on
+one side of the anchor; those that agree with no other string are their own
+class. The rest of a group is indexed by a run-compressed
 Burrows-Wheeler transform with the suffix positions at the ends of runs. From
 these alone the matching statistics of the whole text are streamed: next to
-which suffix every suffix stands, and how far they agree. Windows that agree
+which suffix every suffix stands, and how far they agree. Run heads and lengths
+aren't kept, since no backward step is taken: inside a run a neighbour moves
+along with its position, so positions at run ends say all. Windows that agree
 over their whole length are one class; what a smaller doc_id of the class has
 is marked in the other documents.
 """
@@ -49,10 +53,10 @@ def _grams(b: np.ndarray, size: int) -> np.ndarray:
     return h[: n - size + 1]
 
 
-def anchors(b: np.ndarray, length: int, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, first and last window of every anchor that a window of a text selects: the least gram of the window, of equal ones the first."""
+def anchors(b: np.ndarray, length: int, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, first and last window, and place of every anchor that a window of a text selects: the least gram of the window, of equal ones the first."""
     if len(b) < length:
-        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
     h = _grams(b, size)
     places = length - size + 1
     # The order is a hash's upper 40 bits; the position in the lower ones settles ties.
@@ -67,7 +71,7 @@ def anchors(b: np.ndarray, length: int, size: int = ANCHOR) -> tuple[np.ndarray,
     last = np.append(first[1:], len(low)) - 1
     at = (low[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
     at += (first - at + (1 << 24) - 1 >> 24) << 24  # back to whole positions in texts over 16 MB
-    return h[at], first, last
+    return h[at], first, last, at
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -107,7 +111,6 @@ class RunIndex:
         order = suffix_array(text, ends)
         bwt = text[order - 1]
         start = np.flatnonzero(np.append(True, (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)))
-        self.heads = bwt[start]
         self.text = text
         by_place = np.argsort(order[start], kind="stable")
         #: In text order: the suffix at a run's start, and the one at the end of the run before it (-1: none).
@@ -160,6 +163,8 @@ def _spans(groups: list[tuple[bytes, bytes]], length: int) -> pa.RecordBatch:
     found: dict[bytes, list[bytes]] = {}
     for segment, places in groups:
         found.setdefault(segment, []).append(places)
+    if not found:
+        return _span_rows([], [], [], [])
     strings = list(found)
     blobs = [np.frombuffer(b"".join(found[s]), _PLACE) for s in strings]
     least, each = first_owner(strings, np.array([p["doc"].min() for p in blobs]), length)
@@ -187,7 +192,49 @@ def _spans(groups: list[tuple[bytes, bytes]], length: int) -> pa.RecordBatch:
             check.append(places["check"][which[first]])
             at.append(places["at"][which[first]].astype(np.int64) + step[first])
             size.append(step[last] - step[first] + length)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(check).astype(np.int64)), pa.array(np.concatenate(at) << 24 | np.concatenate(size))], ["key", "check", "span"])
+    return _span_rows(doc, check, at, size)
+
+
+def _span_rows(doc: list, check: list, at: list, size: list) -> pa.RecordBatch:
+    whole = lambda parts: np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(whole(doc)), pa.array(whole(check)), pa.array(whole(at) << 24 | whole(size))], ["key", "check", "span"])
+
+
+def _own_spans(groups: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Marked spans of strings (bytes, places) that are each a class of their own: all places but those of the least doc."""
+    if not groups:
+        return _span_rows([], [], [], [])
+    places = np.frombuffer(b"".join(p for _, p in groups), _PLACE)
+    n = np.array([len(p) // _PLACE.itemsize for _, p in groups])
+    least = np.repeat(np.minimum.reduceat(places["doc"], np.cumsum(n) - n), n)
+    size = np.repeat([k for k, _ in groups], n)
+    later = places["doc"] > least
+    return _span_rows([places["doc"][later]], [places["check"][later]], [places["at"][later]], [size[later]])
+
+
+def meeting(group: dict[bytes, tuple[int, bytes]], length: int) -> tuple[list[tuple[bytes, bytes]], list[tuple[int, bytes]]]:
+    """Of an anchor's strings (with the anchor's offset and places) those that may share a window with another, and the others that have several places.
+
+    A window is the anchor, some bytes before it and some after it: of these
+    the larger part is half of them or more, so strings that share a window
+    agree in that half.
+    """
+    half = -(-(length - ANCHOR) // 2)
+    seen: dict[tuple[bool, bytes], int] = {}
+    halves = []
+    for segment, (lead, _) in group.items() if len(group) > 1 else ():
+        after = lead + ANCHOR + half
+        mine = ([(False, segment[lead - half : lead])] if lead >= half else []) + ([(True, segment[after - half : after])] if len(segment) >= after else [])
+        halves.append(mine)
+        for x in mine:
+            seen[x] = seen.get(x, 0) + 1
+    together, alone = [], []
+    for k, (segment, (_, places)) in enumerate(group.items()):
+        if halves and any(seen[x] > 1 for x in halves[k]):
+            together.append((segment, places))
+        elif len(places) > _PLACE.itemsize:
+            alone.append((len(segment), places))
+    return together, alone
 
 
 _PLACE = np.dtype([("doc", "<i8"), ("check", "<u4"), ("at", "<u4")])
@@ -250,23 +297,23 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
 
 
 def _segments(keyed: DataFrame, length: int) -> DataFrame:
-    """anchor, segment, places: the bytes of the windows around each shared anchor, once for a batch, with all places of the batch that have them."""
+    """anchor, segment, lead (the anchor's offset in it), places: the bytes of the windows around each shared anchor, once for a batch, with all places of the batch that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+            found: dict[tuple[int, bytes, int], list[tuple[int, int, int]]] = {}
             for key, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = _bytes(text.as_py())
-                h, first, last = anchors(np.frombuffer(data, np.uint8), length)
+                h, first, last, at = anchors(np.frombuffer(data, np.uint8), length)
                 hit = np.flatnonzero(np.isin(h.view(np.int64), shared.values.to_numpy()))
                 check = zlib.crc32(data)
-                for a, f, e in zip(h.view(np.int64)[hit].tolist(), first[hit].tolist(), (last[hit] + length).tolist(), strict=True):
-                    found.setdefault((a, data[f:e]), []).append((key, check, f))
+                for a, f, e, lead in zip(h.view(np.int64)[hit].tolist(), first[hit].tolist(), (last[hit] + length).tolist(), (at - first)[hit].tolist(), strict=True):
+                    found.setdefault((a, data[f:e], lead), []).append((key, check, f))
             if found:
                 places = [np.array(p, _PLACE).tobytes() for p in found.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary()), pa.array(places, pa.binary())], ["anchor", "segment", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in found], pa.int64()), pa.array([s for _, s, _ in found], pa.binary()), pa.array([x for _, _, x in found], pa.int32()), pa.array(places, pa.binary())], ["anchor", "segment", "lead", "places"])
 
-    return keyed.select("key", "text", "anchors").mapInArrow(run, "anchor long, segment binary, places binary")
+    return keyed.select("key", "text", "anchors").mapInArrow(run, "anchor long, segment binary, lead int, places binary")
 
 
 def _marked(segments: DataFrame, length: int) -> DataFrame:
@@ -274,16 +321,25 @@ def _marked(segments: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes]] = []
+        own: list[tuple[int, bytes]] = []
+        group: dict[bytes, tuple[int, bytes]] = {}
         size, last = 0, None
         for batch in batches:
-            for anchor, segment, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= INDEX_BYTES and anchor != last:
-                    yield _spans(held, length)
-                    held, size = [], 0
-                held.append((segment, places))
-                size, last = size + len(segment) + 1, anchor
-        if held:
-            yield _spans(held, length)
+            for anchor, segment, lead, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if anchor != last:
+                    together, alone = meeting(group, length)
+                    held += together
+                    own += alone
+                    size += sum(len(t) + 1 + len(p) for t, p in together) + sum(len(p) for _, p in alone)
+                    group, last = {}, anchor
+                    if size >= INDEX_BYTES:
+                        yield _spans(held, length)
+                        yield _own_spans(own)
+                        held, own, size = [], [], 0
+                group[segment] = (lead, group[segment][1] + places if segment in group else places)
+        together, alone = meeting(group, length)
+        yield _spans(held + together, length)
+        yield _own_spans(own + alone)
 
     parts = segments.repartition(width(segments.sparkSession), "anchor").sortWithinPartitions("anchor")
     return parts.mapInArrow(run, "key long, check long, span long")
@@ -308,13 +364,14 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     Removed is every byte covered by a string of ``length`` bytes that also
     starts in a document with a smaller doc_id. Texts count as UTF-8; null is
     empty. Rows with the same doc_id take nothing from each other; a null
-    doc_id is smaller than any other. Strings are judged on the input. Other
+    doc_id is smaller than any other, and rows without one stand in the order of
+    a hash of their texts. Texts of any length count whole. Strings are judged on the input. Other
     columns are left out. The texts are bucketed by doc_id once, so that they
     are not shuffled again.
     """
     spark = docs.sparkSession
     name = f"texts_{uuid.uuid4().hex}"
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), _NO_ID + F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("key"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     keyed.write.bucketBy(width(spark), "key").sortBy("key").option("compression", "zstd").saveAsTable(name)
     keyed = spark.table(name)
     # A whole copy of a document with a smaller doc_id goes whole, and adds no string to what that one has.
