@@ -28,13 +28,15 @@ def affine_inverse(m: Column) -> Column:
     """H2: the inverse of a pose with last row 0, 0, 0, 1; null if it is singular. Not the transpose."""
     a, b, c, d, e, f, g, h, i = (_at(m, 4 * r + k) for r in range(3) for k in range(3))
     adjugate = [[e * i - f * h, c * h - b * i, b * f - c * e], [f * g - d * i, a * i - c * g, c * d - a * f], [d * h - e * g, b * g - a * h, a * e - b * d]]
-    det = determinant(m)
     t = [_at(m, 4 * r + 3) for r in range(3)]
-    rows: list[Column] = []
-    for row in adjugate:
-        inverse = [x / det for x in row]
-        rows += [*inverse, -(inverse[0] * t[0] + inverse[1] * t[1] + inverse[2] * t[2])]
-    return F.when(det != 0, F.array(*rows, *(F.lit(float(v)) for v in (0, 0, 0, 1))))
+    # The determinant and each cofactor are worked out once.
+    linear = let(determinant(m), lambda det: F.when(det != 0, F.transform(F.array(*(x for row in adjugate for x in row)), lambda x: x / det)))
+
+    def whole(inverse: Column) -> Column:
+        rows = [[_at(inverse, 3 * r + k) for k in range(3)] for r in range(3)]
+        return F.array(*(x for row in rows for x in (*row, -(row[0] * t[0] + row[1] * t[1] + row[2] * t[2]))), *(F.lit(float(v)) for v in (0, 0, 0, 1)))
+
+    return let(linear, lambda inverse: F.when(inverse.isNotNull(), whole(inverse)))
 
 
 def apply_pose(m: Column, xyz: Column) -> Column:

@@ -17,7 +17,8 @@ def pair_episodes(left: DataFrame, right: DataFrame, keys: list[str], existing:
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """How many keys only one side has."""
     a, b = (d.select(*keys).distinct() for d in (left, right))
-    return a.join(b, keys, "left_anti").agg(F.count("*").alias("left_only")).join(b.join(a, keys, "left_anti").agg(F.count("*").alias("right_only")))
+    sides = a.withColumn("__side", F.lit("l")).unionByName(b.withColumn("__side", F.lit("r"))).groupBy(*keys).agg(F.min("__side").alias("low"), F.max("__side").alias("high"))
+    return sides.agg(F.count_if(F.col("high") == "l").alias("left_only"), F.count_if(F.col("low") == "r").alias("right_only"))
 
 
 def guard_unique_key(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -30,18 +31,23 @@ def priority_lookup(df: DataFrame, index: DataFrame, candidates: str, stem: str,
 
     ``index(rel_dir, stem, parent, path)``. ``df`` has a distinct ``id``.
     """
-    ranked = df.select("id", stem, F.posexplode(candidates).alias("rank", "rel_dir"))
-    first = ranked.join(index.select("rel_dir", F.col("stem").alias(stem), "path"), ["rel_dir", stem]).select("id", "rank", F.lit(0).alias("other"), "path")
-    any_dir = df.select("id", stem, F.col(parent).alias("__parent")).join(index.select(F.col("stem").alias(stem), "parent", "path"), stem).select("id", F.lit(1 << 30).alias("rank"), (~F.col("parent").eqNullSafe(F.col("__parent"))).cast("int").alias("other"), "path")
-    best = first.unionByName(any_dir).groupBy("id").agg(F.min_by("path", F.struct("rank", "other", "path")).alias("path"))
-    return df.join(best, "id", "left")
+    # The index is reduced to one path for each way to look a stem up, so a stem in many folders multiplies nothing.
+    least = lambda *by: index.filter(F.col("stem").isNotNull()).groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.min("path").alias("__" + "_".join(by)))
+    ranked = df.select("id", F.col(stem).alias("__stem"), F.posexplode(candidates).alias("rank", "__rel_dir")).join(least("rel_dir", "stem"), ["__rel_dir", "__stem"])
+    first = ranked.groupBy("id").agg(F.min_by("__rel_dir_stem", "rank").alias("__first"))
+    same = least("stem", "parent").withColumnRenamed("__stem", "__s")
+    anywhere = index.filter(F.col("stem").isNotNull()).groupBy(F.col("stem").alias("__t")).agg(F.min("path").alias("__any"))
+    out = df.join(first, "id", "left").join(same, (F.col(stem) == F.col("__s")) & F.col(parent).eqNullSafe(F.col("__parent")), "left").join(anywhere, F.col(stem) == F.col("__t"), "left")
+    return out.select(*(df[c] for c in df.columns), F.coalesce("__first", "__stem_parent", "__any").alias("path"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, first: int = 20) -> DataFrame:
     """C4: side, key, n: the first keys that only one side has, and how many there are."""
     def only(a: DataFrame, b: DataFrame, side: str) -> DataFrame:
         gone = a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
-        return gone.orderBy(key).limit(first).select(F.lit(side).alias("side"), key).join(gone.agg(F.count("*").alias("n")))
+        shown = gone.orderBy(key).limit(first)
+        # One row for each of the few keys that are shown, with the number of all.
+        return shown.select(F.lit(side).alias("side"), key, F.lit(gone.count()).cast("long").alias("n"))
 
     return only(left, right, "left").unionByName(only(right, left, "right"))
 

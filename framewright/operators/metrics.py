@@ -13,12 +13,22 @@ def length_histogram(df: DataFrame, value: Column) -> DataFrame:
     return df.groupBy(value.alias("length")).agg(F.count("*").alias("n"))
 
 
-def digest_of_set(df: DataFrame, line: Column, exact_upto: int = 1_000_000) -> DataFrame:
-    """D3: digest, n and method of all distinct lines: exact if there are few enough, else additive."""
+#: Lines that an exact digest takes; more is an error.
+EXACT_UPTO = 1_000_000
+
+
+def digest_of_set(df: DataFrame, line: Column, method: str = "additive") -> DataFrame:
+    """D3: digest, n and method of all distinct lines. The caller names the method: exact holds all lines in one task, additive takes any number."""
     lines = df.select(line.alias("line")).distinct()
-    n = lines.count()
-    digest = digests.set_digest(F.col("line")) if n <= exact_upto else digests.additive_digest(F.col("line"))
-    return lines.agg(digest.alias("digest"), F.count("*").alias("n"), F.lit("exact" if n <= exact_upto else "additive").alias("method"))
+    if method == "exact":
+        if (n := lines.count()) > EXACT_UPTO:
+            raise ValueError(f"an exact digest takes {EXACT_UPTO} lines, not {n}")
+        digest = digests.set_digest(F.col("line"))
+    elif method == "additive":
+        digest = digests.additive_digest(F.col("line"))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return lines.agg(digest.alias("digest"), F.count("*").alias("n"), F.lit(method).alias("method"))
 
 
 def single_valued(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,10 +98,12 @@ def split_summary(df: DataFrame, group: str, key: str, split: str = "split") ->
     return rows.groupBy(split).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.sum((F.col("k") > 1).cast("long")).alias("n_shared_groups"), digests.additive_digest(F.col(group).cast("string")).alias("groups_digest"), F.concat_ws(":", F.sum("n").cast("string"), F.sum("s").cast("string")).alias("keys_digest"))
 
 
-def experiment_summary(epochs: DataFrame, epoch: str, scores: list[str], by: str) -> DataFrame:
-    """The last epoch, the selected one (least score, the earlier of equal ones) and the scores of both."""
+def experiment_summary(epochs: DataFrame, epoch: str, scores: list[str], by: str, policy: str = "best") -> DataFrame:
+    """The last epoch, the selected one and the scores of both. ``policy`` as in E9: best and validation select the least score, the earlier of equal ones, last the last epoch."""
+    if policy not in ("best", "validation", "last"):
+        raise ValueError(f"unknown policy {policy!r}")
     good = F.when(~F.isnan(F.col(by)), F.struct(F.col(by), F.col(epoch)))
-    pick = lambda c: F.min_by(c, good)
+    pick = lambda c: F.max_by(c, epoch) if policy == "last" else F.min_by(c, good)
     return epochs.agg(F.count("*").alias("n_epochs"), F.max(epoch).alias("last_epoch"), pick(epoch).alias("selected_epoch"), *(pick(s).alias(f"selected_{s}") for s in scores), *(F.max_by(s, epoch).alias(f"last_{s}") for s in scores))
 
 

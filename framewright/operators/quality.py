@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import arrays, digests, geometry, paths
+from framewright.operators import metrics
 
 
 def with_reasons(df: DataFrame, rules: dict[str, Column], strict: bool = False) -> DataFrame:
@@ -58,11 +59,42 @@ def shape_rule(name: str, shape: list[int], dtype: str) -> dict[str, Column]:
     return {f"{name} has another shape": ~F.get(F.array(F.col("shapes")[name]), F.lit(0)).eqNullSafe(F.array(*(F.lit(s) for s in shape))), f"{name} has another type": ~F.col("dtypes")[name].eqNullSafe(F.lit(dtype))}
 
 
+def archive_rules(required: tuple[str, ...], prefixes: tuple[str, ...], configuration: dict[str, str], shapes: dict[str, tuple[list[int], str]], names: str = "tensor_names") -> dict[str, Column]:
+    """What an archive says of itself and where it is.
+
+    Columns: ``names``; configuration_json, configuration_fingerprint and
+    cache_config_fingerprint; split_raw_index and total_frames;
+    source_video_relpath and archive_path; layers; shapes and dtypes (maps by
+    tensor name). ``configuration`` has the values expected at JSON paths.
+    """
+    c, stated = F.col, F.col("configuration_json")
+    source = c("source_video_relpath")
+    archive = F.concat(paths.without_suffix(source), F.lit(".npz"))
+    rules = {
+        "required key is missing": F.size(F.array_except(F.array(*(F.lit(k) for k in required)), c(names))) > 0,
+        "forbidden prefix": F.exists(names, lambda k: F.greatest(F.lit(False), *(k.startswith(p) for p in prefixes), F.lit(False))),
+        "fingerprint differs": ~(paths.is_sha256(c("configuration_fingerprint")) & (c("configuration_fingerprint") == c("cache_config_fingerprint")) & (c("configuration_fingerprint") == F.sha2(stated, 256))),
+        "split is not the midpoint": c("split_raw_index") != F.floor(c("total_frames") / 2),
+        "unsafe source path": ~(paths.is_safe_relpath(source) & F.lower(source).endswith(".mp4")),
+        "archive is not of its source": ~((c("archive_path") == archive) | c("archive_path").endswith(F.concat(F.lit("/"), archive))),
+        "layers differ": ~F.from_json(F.get_json_object(stated, "$.layers"), "array<int>").eqNullSafe(c("layers")),
+    }
+    rules |= {f"configuration {path} differs": ~F.get_json_object(stated, path).eqNullSafe(F.lit(value)) for path, value in configuration.items()}
+    for name, (shape, dtype) in shapes.items():
+        rules |= shape_rule(name, shape, dtype)
+    return rules
+
+
 def audit_features(df: DataFrame, **rules) -> DataFrame:
-    """I1."""
+    """The rules of feature_rules."""
     return with_reasons(df, feature_rules(**rules))
 
 
+def audit_archives(df: DataFrame, *rules) -> DataFrame:
+    """The rules of archive_rules."""
+    return with_reasons(df, archive_rules(*rules))
+
+
 def audit_pairs(pairs: DataFrame, inventory: DataFrame, expected: dict[str, int], strict: bool = False) -> DataFrame:
     """pairs(sample_id, split, relpaths, digest, size) against inventory(relpath, size) and expected counts by split.
 
@@ -91,6 +123,48 @@ def audit_pairs(pairs: DataFrame, inventory: DataFrame, expected: dict[str, int]
     return out
 
 
+def json_list(values: Column, quoted: bool = False) -> Column:
+    """A list as canonical JSON without spaces."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.concat(F.lit('"'), v, F.lit('"'))) if quoted else values, ","), F.lit("]"))
+
+
+def audit_records(pairs: DataFrame, features: DataFrame, stated: dict[str, str], n: int = 32) -> DataFrame:
+    """Pair records against themselves, what is ``stated`` for all of them, and features(relpath, size).
+
+    Columns are those of the pair schema (A3). ``stated`` has
+    feature_config_fingerprint and query_tf_names_sha256. Returns pairs with
+    reasons.
+    """
+    c = F.col
+    ideal = arrays.midpoint_samples(c("source_total_frames"), n)
+    files = features.select(c("relpath").alias("feature_relpath"), c("size").alias("__size"))
+    rows = pairs.join(files, "feature_relpath", "left")
+    return with_reasons(rows, {
+        "source is another sample": ~(paths.is_safe_relpath(c("source_video_relpath")) & (paths.without_suffix(c("source_video_relpath")) == c("sample_id"))),
+        "frames are not the midpoint samples": ~(c("past_frame_indices").eqNullSafe(ideal["past"]) & c("target_frame_indices").eqNullSafe(ideal["target"])),
+        "frame identity differs": c("frame_indices_sha256") != F.sha2(json_list(F.concat("past_frame_indices", "target_frame_indices")), 256),
+        **{f"{k} differs": ~c(k).eqNullSafe(F.lit(v)) for k, v in stated.items()},
+        "size is not positive": (c("feature_size_bytes") <= 0) | (c("hdf5_size_bytes") <= 0),
+        "feature is missing or its size differs": ~c("__size").eqNullSafe(c("feature_size_bytes")),
+    }).drop("__size")
+
+
+def audit_identities(pairs: DataFrame, stated: dict[str, str]) -> DataFrame:
+    """Name, stated, found and ok of the digests that stand for whole sets.
+
+    content is that of all supervision digests in order, train and test those
+    of the splits' feature paths, a line each, in order. Digests are exact, so
+    that they equal what a file's writer computed (see metrics.EXACT_UPTO).
+    """
+    if (n := pairs.count()) > metrics.EXACT_UPTO:
+        raise ValueError(f"exact digests take {metrics.EXACT_UPTO} pairs, not {n}")
+    of = lambda split: F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(F.col("split") == split, F.concat("feature_relpath", F.lit("\n"))))), ""), 256)
+    found = pairs.agg(F.sha2(json_list(F.array_sort(F.collect_list("hdf5_sha256")), True), 256).alias("content"), of("train").alias("train"), of("test").alias("test"))
+    rows = found.unpivot([], ["content", "train", "test"], "name", "found")
+    wanted = F.create_map(*(F.lit(x) for kv in stated.items() for x in kv))[F.col("name")]
+    return rows.select("name", wanted.alias("stated"), "found", wanted.eqNullSafe(F.col("found")).alias("ok"))
+
+
 def audit_camera(df: DataFrame, pose: str, camera: str, tolerance: float = 1e-3) -> DataFrame:
     """Rules for a pose and a camera matrix in each row."""
     m, k = F.col(pose), F.col(camera)

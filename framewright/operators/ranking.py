@@ -48,21 +48,21 @@ def keep_first(df: DataFrame, identity: Column, order: list[Column]) -> DataFram
 def group_balanced_subset(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows, in rounds over the groups: each gives its k-th row before any gives its next.
 
-    The last round is found from the group counts, so only its rows are sorted.
+    The last round is found in one pass over the histogram of group counts, so
+    only its rows are sorted.
     """
-    counts = df.groupBy(group).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if not 0 <= n <= total:
-        raise ValueError(f"{n} rows of {total}")
+    sizes = df.groupBy(group).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))
+    # Rounds up to a size give all rows of smaller groups, and one row a round of every group from that size on.
+    upwards = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"less": F.coalesce(F.max("size").over(upwards), F.lit(0)), "before": F.coalesce(F.sum(F.col("size") * F.col("groups")).over(upwards), F.lit(0)), "from": F.sum("groups").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))})
+    rounds = F.least("size", F.floor((n - F.col("before")) / F.col("from")))
+    reached = F.when(F.col("before") + F.col("less") * F.col("from") <= n, F.struct(rounds.alias("low"), (n - F.col("before") - rounds * F.col("from")).alias("rest")))
+    row = sizes.agg(F.coalesce(F.sum(F.col("size") * F.col("groups")), F.lit(0)).alias("total"), F.max(reached).alias("last")).first()
+    if not 0 <= n <= row["total"]:
+        raise ValueError(f"{n} rows of {row['total']}")
+    low, rest = row["last"] or (0, 0)
     rows = df.withColumn("__round", F.row_number().over(Window.partitionBy(group).orderBy(seeded_key(F.col(key), seed), F.col(key))))
-    # Rows in the first k rounds are the sum of the lesser of k and each count: bisect k.
-    low, high = 0, counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    upto = lambda k: counts.agg(F.coalesce(F.sum(F.least("n", F.lit(k))), F.lit(0))).first()[0]
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if upto(middle) <= n else (low, middle - 1)
     whole = rows.filter(F.col("__round") <= low)
-    rest = n - upto(low)
     part = rows.filter(F.col("__round") == low + 1).orderBy(seeded_key(F.col(group), seed), group).limit(rest)
     return whole.unionByName(part).drop("__round") if rest else whole.drop("__round")
 
@@ -78,9 +78,14 @@ def group_split(df: DataFrame, group: str, ratio: float, seed: int) -> DataFrame
     if facts["groups"] < 2:
         raise ValueError("a split needs two groups")
     target = max(1, min(int(facts["rows"] * ratio), facts["rows"] - 1))
-    seeded = groups.withColumn("__k", seeded_key(F.col(group), seed))
-    up_to = Window.orderBy("__k", group).rowsBetween(Window.unboundedPreceding, 0)
-    placed = seeded.withColumns({"cut": F.sum("n").over(up_to), "nth": F.count("*").over(up_to)})
+    # Groups are summed inside a bucket of their key; a bucket's start comes from the 4096 buckets' sums.
+    seeded = groups.withColumn("__k", seeded_key(F.col(group), seed)).withColumn("__bucket", F.substring("__k", 1, 3))
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = seeded.groupBy("__bucket").agg(F.sum("n").alias("rows"), F.count("*").alias("groups"))
+    starts = sums.select("__bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("__rows"), F.coalesce(F.sum("groups").over(earlier), F.lit(0)).alias("__groups"))
+    up_to = Window.partitionBy("__bucket").orderBy("__k", group).rowsBetween(Window.unboundedPreceding, 0)
+    inside = seeded.withColumns({"__cut": F.sum("n").over(up_to), "__nth": F.count("*").over(up_to)}).join(starts, "__bucket")
+    placed = inside.select(group, (F.col("__cut") + F.col("__rows")).alias("cut"), (F.col("__nth") + F.col("__groups")).alias("nth"))
     best = placed.filter(F.col("nth") < facts["groups"]).agg(F.min_by("nth", F.struct(F.abs(F.col("cut") - target), F.col("nth")))).first()[0]
     labels = placed.select(F.col(group).alias("__g"), F.when(F.col("nth") <= best, "train").otherwise("test").alias("split"))
     return df.join(labels, df[group].eqNullSafe(labels["__g"])).drop("__g")

@@ -34,12 +34,27 @@ def take_samples(samples: DataFrame, frames: DataFrame, episode: str = "episode_
     return samples.join(frames.withColumnRenamed("t", "frame_idx"), [episode, "frame_idx"])
 
 
-def hold_last_observed(observed: DataFrame, horizon: DataFrame, episode: str, order: list[str], values: list[str]) -> DataFrame:
+def hold_last_observed(observed: DataFrame, horizon: DataFrame, episode: str | list[str], order: list[str], values: list[str]) -> DataFrame:
     """C11: ``horizon`` rows with the values of the episode's last observed row, and of nothing later."""
     last = observed.groupBy(episode).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__last"))
     return horizon.join(last, episode).select(*horizon.columns, *(F.col(f"__last.{v}").alias(f"held_{v}") for v in values))
 
 
+def hand_reference_forecast(points: DataFrame, observed: DataFrame, references: DataFrame, mode: str, pose: str | None = None, episode: str = "episode_id") -> DataFrame:
+    """What is held of each joint's offset, put back on its hand's reference: episode, t, joint, xyz.
+
+    ``observed(episode, t, joint, side, xyz)`` are offsets, of which the last of
+    each joint is held for all frames of ``points(episode, t, joint)``;
+    ``references(episode, right, left)`` are the hands' reference points, added
+    by ``mode`` (H16). With ``pose``, a column of ``references``, the result is in
+    the outer frame (H3).
+    """
+    held = hold_last_observed(observed, points, [episode, "joint"], ["t"], ["side", "xyz"])
+    both = held.join(references, episode)
+    xyz = geometry.add_reference(F.col("held_xyz"), F.col("held_side"), F.col("right"), F.col("left"), mode)
+    return both.select(episode, "t", "joint", (geometry.let(xyz, lambda p: geometry.apply_pose(F.col(pose), p)) if pose else xyz).alias("xyz"))
+
+
 def persistence_forecast(frames: DataFrame, n: int = 32, episode: str = "episode_id", values: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """For each sampled future position the true values and those held from the last observed sample."""
     samples = midpoint_windows(episode_lengths(frames, episode), n, episode)
@@ -54,7 +69,8 @@ def nearest_match(targets: DataFrame, sources: DataFrame, by: str, key: str, val
     Keys count as float32. Before the first and after the last source row the
     end is taken. Source rows of equal key are ordered by ``tie``: the first
     serves keys from below and the exact hit, the last those from above. One
-    window over both tables, one shuffle.
+    shuffle of both tables; the look ahead is a look back in the reverse order,
+    so every frame grows by one row at a time.
     """
     number = lambda c: F.col(c).cast("float").cast("double")
     packed = F.struct(number(key).alias("k"), *(F.col(v) for v in values))
@@ -63,8 +79,9 @@ def nearest_match(targets: DataFrame, sources: DataFrame, by: str, key: str, val
     rows = s.unionByName(t, allowMissingColumns=True)
     w = Window.partitionBy("__by").orderBy("__k", "__kind", "__tie")
     # A target stands after the sources of its own key: looking back it takes the last, looking on the next key's first.
+    back = Window.partitionBy("__by").orderBy(F.desc("__k"), F.desc("__kind"), F.desc("__tie")).rowsBetween(Window.unboundedPreceding, 0)
     exact = F.first("__source", ignorenulls=True).over(Window.partitionBy("__by", "__k").orderBy("__kind", "__tie").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"__left": F.last("__source", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__right": F.first("__source", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), "__same": exact})
+    rows = rows.withColumns({"__left": F.last("__source", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__right": F.last("__source", ignorenulls=True).over(back), "__same": exact})
     rows = rows.filter("__kind = 1")
     right = F.coalesce("__same", "__right", "__left")
     left = F.coalesce("__left", "__right")

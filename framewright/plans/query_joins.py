@@ -20,9 +20,10 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return joins.pair_episodes(table(spark, d, "orders").select("o_orderkey"), lines, ["o_orderkey"], orders)
 
 
-@query("C1_unmatched", "SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS left_only, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS right_only")
+@query("C1_unmatched", "SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + 40 FROM orders)) AS left_only, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey + 40 NOT IN (SELECT c_custkey FROM customer)) AS right_only")
 def c1_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    return joins.unmatched(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    # Keys of one side are shifted, so that each side has some of its own.
+    return joins.unmatched(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select((F.col("o_custkey") + 40).alias("k")), ["k"])
 
 
 @query("C2_guard_unique_key", "SELECT source, lang, count(DISTINCT md5(text)) AS n_values FROM documents GROUP BY source, lang HAVING count(DISTINCT md5(text)) > 1")
@@ -46,10 +47,10 @@ def c3(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("C4_reconcile", """
-WITH l AS (SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)), r AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
+WITH o AS (SELECT DISTINCT o_custkey + 40 AS k FROM orders), l AS (SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT k FROM o)), r AS (SELECT k FROM o WHERE k NOT IN (SELECT c_custkey FROM customer))
 SELECT 'left' AS side, k, (SELECT count(*) FROM l) AS n FROM (SELECT k FROM l ORDER BY k LIMIT 20) UNION ALL SELECT 'right', k, (SELECT count(*) FROM r) FROM (SELECT k FROM r ORDER BY k LIMIT 20)""")
 def c4(spark: SparkSession, d: str) -> DataFrame:
-    return joins.reconcile(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return joins.reconcile(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select((F.col("o_custkey") + 40).alias("k")), "k")
 
 
 @query("C8_merge_pose_sources", """
@@ -98,9 +99,9 @@ def c13(spark: SparkSession, d: str) -> DataFrame:
     return joins.stack_with_fill(table(spark, d, "documents").select("doc_id"), labels, "doc_id", "vec", 2).select("doc_id", "mask", "length", F.col("vec")[0].cast("double").alias("first"))
 
 
-@query("G1_overlap", "SELECT doc_id FROM documents WHERE doc_id % 4 = 0 INTERSECT SELECT doc_id FROM labels")
+@query("G1_overlap", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def g1(spark: SparkSession, d: str) -> DataFrame:
-    return joins.overlap(table(spark, d, "documents").filter("doc_id % 4 = 0"), table(spark, d, "labels"), "doc_id")
+    return joins.overlap(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
 @query("G2_group_overlap", 'SELECT source AS "group", count(DISTINCT doc_id % 3 = 0) AS n_splits, count(*) AS n FROM documents GROUP BY source HAVING count(DISTINCT doc_id % 3 = 0) > 1')
@@ -153,13 +154,71 @@ def i2(spark: SparkSession, d: str) -> DataFrame:
     return quality.audit_pairs(pairs, inventory, {"train": n_train, "test": 1}).select("sample_id", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("I3_audit_geometry", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws('|', CASE WHEN l_linenumber = 2 THEN 'not finite' END, CASE WHEN l_linenumber = 3 THEN 'last row' END, CASE WHEN l_linenumber IN (2, 4) THEN 'singular' END, CASE WHEN l_linenumber = 5 THEN 'camera corner' END) AS reasons FROM lineitem WHERE l_linenumber <> 2")
+@query("I1_audit_archives", """
+WITH u AS (SELECT user_id AS u, count(*) AS n FROM events GROUP BY user_id)
+SELECT u AS user_id, concat_ws('|', CASE WHEN u % 11 = 1 THEN 'required key is missing' END, CASE WHEN u % 11 = 2 THEN 'forbidden prefix' END, CASE WHEN u % 11 IN (3, 4) THEN 'fingerprint differs' END, CASE WHEN u % 11 = 5 THEN 'split is not the midpoint' END,
+       CASE WHEN u % 11 = 6 THEN 'unsafe source path' END, CASE WHEN u % 11 IN (6, 7) THEN 'archive is not of its source' END, CASE WHEN u % 11 = 8 THEN 'layers differ' END, CASE WHEN u % 11 = 9 THEN 'configuration $.mode differs' END, CASE WHEN u % 11 = 10 THEN 'imgs has another shape' END) AS reasons FROM u""")
+def i1_archives(spark: SparkSession, d: str) -> DataFrame:
+    c, s = F.col("user_id") % 11, F.col("user_id").cast("string")
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total_frames"))
+    stated = F.concat(F.lit('{"layers":[2,5],"mode":"'), F.when(c == 9, "all").otherwise("past"), F.lit('"}'))
+    print_ = F.sha2("configuration_json", 256)
+    rows = rows.withColumn("configuration_json", stated).select(
+        "user_id", "total_frames", "configuration_json", F.when(c == 3, "0" * 64).otherwise(print_).alias("configuration_fingerprint"), F.when(c == 4, "0" * 64).otherwise(print_).alias("cache_config_fingerprint"),
+        F.when(c == 1, F.array(F.lit("imgs"))).when(c == 2, F.array(F.lit("imgs"), F.lit("times"), F.lit("other_points"))).otherwise(F.array(F.lit("imgs"), F.lit("times"))).alias("tensor_names"),
+        (F.floor(F.col("total_frames") / 2) + F.when(c == 5, 1).otherwise(0)).alias("split_raw_index"), F.when(c == 6, F.concat(F.lit("../v"), s, F.lit(".mp4"))).otherwise(F.concat(F.lit("t/v"), s, F.lit(".mp4"))).alias("source_video_relpath"),
+        F.concat(F.lit("/cache/t/v"), s, F.when(c == 7, "x.npz").otherwise(".npz")).alias("archive_path"), F.when(c == 8, F.array(F.lit(5))).otherwise(F.array(F.lit(2), F.lit(5))).alias("layers"),
+        F.create_map(F.lit("imgs"), F.array(F.lit(4), F.when(c == 10, 2).otherwise(3))).alias("shapes"), F.create_map(F.lit("imgs"), F.lit("uint8")).alias("dtypes"),
+    )
+    return quality.audit_archives(rows, ("imgs", "times"), ("other_",), {"$.mode": "past"}, {"imgs": ([4, 3], "uint8")}).select("user_id", F.array_join("reasons", "|").alias("reasons"))
+
+
+_RECORDS = """u AS (SELECT user_id AS u, count(*) AS n FROM events GROUP BY user_id), k AS (SELECT unnest(range(0, 32)) AS pos),
+i AS (SELECT u, n, list((pos * (n // 2 - 1)) // 31 ORDER BY pos) AS past, list(n // 2 + (pos * (n - 1 - n // 2)) // 31 ORDER BY pos) AS target FROM u, k GROUP BY u, n)"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    from framewright.functions.arrays import midpoint_samples
+
+    c, s = F.col("user_id") % 9, F.col("user_id").cast("string")
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("source_total_frames")).withColumn("s", midpoint_samples(F.col("source_total_frames")))
+    frame_ids = F.sha2(F.regexp_replace(F.concat(F.col("s.past").cast("string"), F.col("s.target").cast("string")), r"[\[\] ]+", ","), 256)
+    return rows.select(
+        "user_id", F.concat(F.lit("t/v"), s).alias("sample_id"), F.when(F.col("user_id") % 10 == 0, "test").otherwise("train").alias("split"), F.concat(F.lit("feat/t/v"), s, F.lit(".npz")).alias("feature_relpath"),
+        F.concat(F.when(c == 1, "t/w").otherwise("t/v"), s, F.lit(".mp4")).alias("source_video_relpath"), "source_total_frames", F.when(c == 2, F.col("s.target")).otherwise(F.col("s.past")).alias("past_frame_indices"), F.col("s.target").alias("target_frame_indices"),
+        F.when(c == 3, frame_ids).otherwise(F.sha2(quality.json_list(F.concat("s.past", "s.target")), 256)).alias("frame_indices_sha256"), F.when(c == 4, "f2").otherwise("f1").alias("feature_config_fingerprint"), F.when(c == 5, "q2").otherwise("q1").alias("query_tf_names_sha256"),
+        F.when(c == 6, 0).otherwise(F.col("user_id") + 1).cast("long").alias("feature_size_bytes"), F.lit(1).cast("long").alias("hdf5_size_bytes"), F.sha2(s, 256).alias("hdf5_sha256"),
+    )
+
+
+@query("I2_audit_records", """
+WITH u AS (SELECT DISTINCT user_id AS u FROM events)
+SELECT u AS user_id, concat_ws('|', CASE WHEN u % 9 = 1 THEN 'source is another sample' END, CASE WHEN u % 9 = 2 THEN 'frames are not the midpoint samples' END, CASE WHEN u % 9 IN (2, 3) THEN 'frame identity differs' END, CASE WHEN u % 9 = 4 THEN 'feature_config_fingerprint differs' END,
+       CASE WHEN u % 9 = 5 THEN 'query_tf_names_sha256 differs' END, CASE WHEN u % 9 = 6 THEN 'size is not positive' END, CASE WHEN u % 9 IN (7, 8) THEN 'feature is missing or its size differs' END) AS reasons FROM u""")
+def i2_records(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _records(spark, d)
+    c = F.col("user_id") % 9
+    features = pairs.select(F.when(c == 7, "gone").otherwise(F.col("feature_relpath")).alias("relpath"), F.when(c == 8, -1).otherwise(F.col("feature_size_bytes")).alias("size"))
+    return quality.audit_records(pairs, features, {"feature_config_fingerprint": "f1", "query_tf_names_sha256": "q1"}).select("user_id", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("I2_audit_identities", """
+WITH u AS (SELECT DISTINCT user_id AS u FROM events), h AS (SELECT sha256('["' || string_agg(sha256(u::VARCHAR), '","' ORDER BY sha256(u::VARCHAR)) || '"]') AS x FROM u),
+m AS (SELECT u % 10 = 0 AS test, sha256(string_agg('feat/t/v' || u || '.npz' || chr(10), '' ORDER BY 'feat/t/v' || u || '.npz')) AS x FROM u GROUP BY 1)
+SELECT 'content' AS name, 'c' AS stated, x AS found, false AS ok FROM h UNION ALL SELECT CASE WHEN test THEN 'test' ELSE 'train' END, CASE WHEN test THEN x ELSE 't' END, x, test FROM m""")
+def i2_identities(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _records(spark, d)
+    right = quality.audit_identities(pairs, {"test": ""}).filter("name = 'test'").first()["found"]
+    return quality.audit_identities(pairs, {"content": "c", "train": "t", "test": right})
+
+
+@query("I3_audit_geometry", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws('|', CASE WHEN l_linenumber IN (2, 6) THEN 'not finite' END, CASE WHEN l_linenumber = 3 THEN 'last row' END, CASE WHEN l_linenumber = 4 THEN 'singular' END, CASE WHEN l_linenumber = 5 THEN 'camera corner' END) AS reasons FROM lineitem")
 def i3(spark: SparkSession, d: str) -> DataFrame:
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("double")
     m = geometry.pose_from_point(F.array(q, q, q))
-    m = F.transform(m, lambda x, i: F.when((n == 3) & (i == 15), x + 0.5).when((n == 4) & (i == 0), 0.0).otherwise(x))
+    m = F.transform(m, lambda x, i: F.when((n == 3) & (i == 15), x + 0.5).when((n == 4) & (i == 0), 0.0).when((n == 2) & (i == 3), float("nan")).when((n == 6) & (i == 7), float("inf")).otherwise(x))
     k = F.transform(F.array(*(F.lit(float(v)) for v in (700, 0, 960, 0, 700, 540, 0, 0, 1))), lambda x, i: F.when((n == 5) & (i == 8), 2.0).otherwise(x))
-    rows = table(spark, d, "lineitem").filter("l_linenumber <> 2").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", m.alias("m"), k.alias("k"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", m.alias("m"), k.alias("k"))
     return quality.audit_camera(rows, "m", "k").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("reasons", "|").alias("reasons"))
 
 
@@ -215,18 +274,22 @@ def j1_summary(spark: SparkSession, d: str) -> DataFrame:
     return increment.increment_summary(increment.plan_increment(orders, orders.filter("o_orderkey % 3 <> 0"), "o_orderkey", ["size"]))
 
 
-@query("J2_stream_increment", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_keys FROM orders")
+@query("J2_stream_increment", "SELECT version, count(*) AS n, sum(o_custkey)::BIGINT AS total FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN o_orderkey % 4 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey FROM orders WHERE o_custkey % 10 <> 0) GROUP BY version")
 def j2(spark: SparkSession, d: str) -> DataFrame:
     root = scratch(spark, "stream")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     drop = lambda c: orders.filter(c).write.mode("append").parquet(f"{root}/in")
-    step = lambda log: increment.stream_increment(spark, f"{root}/in", "o_orderkey long, o_custkey long", f"{root}/out", f"{root}/{log}", "o_orderkey").awaitTermination()
+    rules = {"broken": F.col("o_custkey") % 10 == 0}
+    kind = "o_orderkey long, o_custkey long"
+    step = lambda: increment.stream_increment(spark, f"{root}/in", kind, f"{root}/out", f"{root}/log", "o_orderkey", rules).awaitTermination()
     drop("o_orderkey % 2 = 0")
-    step("log")
-    drop("o_orderkey % 3 <> 0 or o_orderkey % 2 = 1")
-    step("log")
-    step("other")  # everything again, under a new log: nothing is added
-    return spark.read.parquet(f"{root}/out").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_keys"))
+    step()
+    drop("o_orderkey % 2 = 1 or o_orderkey % 3 = 0")  # some are there already: skipped
+    step()
+    orders.filter("o_orderkey % 4 = 0").withColumn("o_custkey", -F.col("o_custkey")).write.mode("append").parquet(f"{root}/in")  # changed: rebuilt
+    step()
+    newest = increment.published(spark, f"{root}/out", "o_orderkey", spark.createDataFrame([], kind).schema)
+    return newest.groupBy("version").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
 
 
 @query("G2_page_groups", """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import arrays
-from framewright.operators import metrics, sequences
+from framewright.operators import metrics
 from framewright.plans.registry import DAILY, FRAMES, daily, frames, query, r6, table
 
 
@@ -20,12 +20,12 @@ _LINES = "(SELECT DISTINCT doc_id || chr(9) || md5(text) || chr(10) AS line FROM
 
 @query("D3_set_digest", f"SELECT sha256(string_agg(line, '' ORDER BY line)) AS digest, count(*) AS n, 'exact' AS method FROM {_LINES}")
 def d3(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.digest_of_set(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"), F.lit("\n")))
+    return metrics.digest_of_set(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"), F.lit("\n")), "exact")
 
 
 @query("D3_additive_digest", f"SELECT count(*) || ':' || sum(('0x' || substr(sha256(line), 1, 15))::BIGINT::HUGEINT) AS digest, count(*) AS n, 'additive' AS method FROM {_LINES}")
 def d3_additive(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.digest_of_set(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"), F.lit("\n")), exact_upto=0)
+    return metrics.digest_of_set(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"), F.lit("\n")), "additive")
 
 
 @query("D4_single_valued", "SELECT 'n_regionkey' AS \"column\", count(DISTINCT n_regionkey) AS n_values, count(DISTINCT n_regionkey) = 1 AS ok FROM nation UNION ALL SELECT 'one', 1, true UNION ALL SELECT 'n_name', count(DISTINCT n_name), count(DISTINCT n_name) = 1 FROM nation")
@@ -89,9 +89,11 @@ def d11(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("vec_id", F.size(f).alias("width"), F.round(f[128], 5).alias("difference"), (F.round(f[192], 5) + 0.0).alias("product"))
 
 
-@query("D12_infer_width", "SELECT 64 AS width FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)")
+@query("D12_infer_width", "SELECT (20 + arg_min(vec_id, vec_id) % 40)::INTEGER AS width FROM embeddings WHERE vec_id % 10 > 2")
 def d12(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.infer_width(table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 10 > 2, F.col("embedding"))), "embedding", "vec_id")
+    # Vectors of many widths; the first three of ten aren't there.
+    cut = F.slice("embedding", F.lit(1), (20 + F.col("vec_id") % 40).cast("int"))
+    return metrics.infer_width(table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 10 > 2, cut)), "embedding", "vec_id")
 
 
 @query("D13_split_summary", """
@@ -108,6 +110,11 @@ def d14(spark: SparkSession, d: str) -> DataFrame:
     return metrics.experiment_summary(daily(spark, d), "epoch", ["train"], "val")
 
 
+@query("D14_last_epoch", f"WITH {DAILY} SELECT count(*) AS n_epochs, max(epoch) AS last_epoch, max(epoch) AS selected_epoch, arg_max(train, epoch) AS selected_train, arg_max(train, epoch) AS last_train FROM e")
+def d14_last(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.experiment_summary(daily(spark, d), "epoch", ["train"], "val", "last")
+
+
 @query("D15_curve_points", f"WITH {DAILY} SELECT epoch, 'train' AS series, train AS value FROM e UNION ALL SELECT epoch, 'val', CASE WHEN isnan(val) THEN NULL ELSE val END FROM e")
 def d15(spark: SparkSession, d: str) -> DataFrame:
     return metrics.curve_points(daily(spark, d), "epoch", ["train", "val"])
@@ -118,8 +125,10 @@ def d16(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bundle_totals(table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_orderstatus") == "F")
 
 
-@query("D6_overall", f"WITH {FRAMES}, s AS (SELECT episode_id, avg(x) AS m, stddev_pop(x) AS s FROM f GROUP BY episode_id) SELECT round(avg(m), 6) AS m, count(*) AS n FROM s")
+@query("D6_overall", f"""
+WITH {FRAMES}, e AS (SELECT episode_id, t, sqrt((x / 1000 - y / 2000) ** 2 + (y / 1000) ** 2) AS err FROM f), s AS (SELECT episode_id, avg(err) AS ade, arg_max(err, t) AS fde, avg((err < 0.15)::INTEGER) AS hit_rate FROM e GROUP BY episode_id)
+SELECT round(avg(ade), 6) AS ade, round(avg(fde), 6) AS fde, round(avg(hit_rate), 6) AS hit_rate, count(*) AS n FROM s""")
 def d6_overall(spark: SparkSession, d: str) -> DataFrame:
-    lengths = sequences.episode_lengths(frames(spark, d)).select("episode_id")
-    scores = frames(spark, d).join(lengths, "episode_id").groupBy("episode_id").agg(F.avg("x").alias("m"))
-    return metrics.overall(scores, ["m"]).select(r6("m").alias("m"), "n")
+    points = lambda x, y: frames(spark, d).select("episode_id", "t", F.col("event_type").alias("joint"), F.array(x, y, F.lit(0.5)).alias("xyz"))
+    scores = metrics.trajectory_metrics(points(F.col("x") / 1000, F.col("y") / 1000), points(F.col("y") / 2000, F.lit(0.0)), threshold=0.15)
+    return metrics.overall(scores, ["ade", "fde", "hit_rate"]).select(r6("ade").alias("ade"), r6("fde").alias("fde"), r6("hit_rate").alias("hit_rate"), "n")

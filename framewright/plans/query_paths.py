@@ -175,10 +175,10 @@ def b14(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", paths.is_sha256(h).alias("small"), paths.is_sha256(h, True).alias("any_case"), paths.is_commit_sha(h).alias("commit_sha"))
 
 
-@query("A1_file_inventory", "SELECT source AS folder, 1::BIGINT AS n_files FROM documents WHERE source IS NOT NULL GROUP BY source")
+@query("A1_file_inventory", "SELECT coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS folder, 1::BIGINT AS n_files FROM documents GROUP BY source")
 def a1(spark: SparkSession, d: str) -> DataFrame:
     root = scratch(spark, "inventory")
-    table(spark, d, "documents").filter("source is not null").select("source", "doc_id").repartition("source").write.partitionBy("source").parquet(root)
+    table(spark, d, "documents").select("source", "doc_id").repartition("source").write.partitionBy("source").parquet(root)
     found = files.file_inventory(spark, root, ".parquet")
     return found.groupBy(F.regexp_extract("relpath", "source=([^/]+)/", 1).alias("folder")).agg(F.count_distinct("stem").alias("n_files"))
 
@@ -241,21 +241,22 @@ def a5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A6_write_manifests", f"""
 WITH p AS (SELECT DISTINCT CASE WHEN page_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, {PAGE_PATH} || '.mp4' AS v, page_id || '.npz' AS c FROM pages)
-SELECT split, count(*) AS n_lines, count(*) AS n_pairs FROM p GROUP BY split""")
+SELECT split, count(*) AS n_lines, count(*) AS n_pairs, min(v) AS first_video, max(v || chr(9) || c) AS last_pair, md5(string_agg(v || chr(9) || c, '' ORDER BY v, c)) AS content FROM p GROUP BY split""")
 def a6(spark: SparkSession, d: str) -> DataFrame:
     out = scratch(spark, "manifests")
     rows = page_paths(spark, d).select(F.when(F.col("page_id") % 10 == 0, "test").otherwise("train").alias("split"), F.concat("path", F.lit(".mp4")).alias("video_path"), F.concat(F.col("page_id").cast("string"), F.lit(".npz")).alias("cache_path"))
     files.write_manifests(rows, out, rows.groupBy("split").count())
-    lines = spark.read.text(f"{out}/manifests").groupBy("split").agg(F.count("*").alias("n_lines"))
+    lines = spark.read.text(f"{out}/manifests").groupBy("split").agg(F.count("*").alias("n_lines"), F.min("value").alias("first_video"))
     pairs = spark.read.csv(f"{out}/pairs", sep="\t", header=True, schema="video_path string, cache_path string")
+    both = F.concat("video_path", F.lit("\t"), "cache_path")
     split = F.when(F.regexp_extract("cache_path", r"^(\d+)", 1).cast("long") % 10 == 0, "test").otherwise("train")
-    return lines.join(pairs.groupBy(split.alias("split")).agg(F.count("*").alias("n_pairs")), "split")
+    return lines.join(pairs.groupBy(split.alias("split")).agg(F.count("*").alias("n_pairs"), F.max(both).alias("last_pair"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("video_path", "cache_path"))), lambda x: F.concat(x["video_path"], F.lit("\t"), x["cache_path"])), "")).alias("content")), "split")
 
 
-@query("A7_failure_log", f"SELECT page_id, 'cannot read <DATASET_ROOT>/' || {PAGE_PATH} AS message FROM pages WHERE page_id % 5 = 0")
+@query("A7_failure_log", f"SELECT page_id, 'cannot read <DATASET_ROOT>/' || {PAGE_PATH} AS message FROM pages")
 def a7(spark: SparkSession, d: str) -> DataFrame:
     out = scratch(spark, "failures")
-    rows = page_paths(spark, d).filter(F.col("page_id") % 5 == 0).select("page_id", F.concat(F.lit("cannot read /data/x/"), "path").alias("message"))
+    rows = page_paths(spark, d).select("page_id", F.concat(F.lit("cannot read /data/x/"), "path").alias("message"))
     files.append_failures(rows.filter(F.col("page_id") % 2 == 0), out, "/data/x")
     files.append_failures(rows.filter(F.col("page_id") % 2 == 1), out, "/data/x")
     return spark.read.schema("page_id long, message string").json(out)

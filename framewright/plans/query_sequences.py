@@ -126,13 +126,29 @@ def h18(spark: SparkSession, d: str) -> DataFrame:
     return sequences.persistence_forecast(frames(spark, d)).select("episode_id", "pos", r6("x").alias("x"), r6("held_x").alias("held_x"), "held_y")
 
 
+@query("H18_hand_reference", f"""
+WITH {LENGTHS}, o AS (SELECT episode_id, event_type AS joint, arg_max(x, t) AS x, arg_max(y, t) AS y, arg_max(event_id % 2, t) AS side FROM f JOIN l USING (episode_id) WHERE t < n // 2 GROUP BY ALL),
+r AS (SELECT episode_id, min(x) AS rx, max(x) AS lx FROM f GROUP BY episode_id)
+SELECT f.event_id, round(o.x + CASE o.side WHEN 0 THEN rx ELSE lx END + 2, 6) AS x, round(3 * (o.y + 1), 6) AS y FROM f JOIN l USING (episode_id) JOIN o ON o.episode_id = f.episode_id AND o.joint = f.event_type JOIN r ON r.episode_id = f.episode_id WHERE t >= n // 2""")
+def h18_hand(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d)
+    lengths = sequences.episode_lengths(f)
+    rows = f.join(lengths.withColumn("m", F.floor(F.col("n_frames") / 2)), "episode_id").withColumnRenamed("event_type", "joint")
+    c = lambda v: F.lit(float(v))
+    observed = rows.filter("t < m").select("episode_id", "t", "joint", F.when(F.col("event_id") % 2 == 0, "right").otherwise("left").alias("side"), F.array("x", "y", c(0)).alias("xyz"))
+    world = F.array(c(1), c(0), c(0), c(2), c(0), c(3), c(0), c(0), c(0), c(0), c(1), c(0), c(0), c(0), c(0), c(1))
+    hands = f.groupBy("episode_id").agg(F.array(F.min("x"), c(1), c(0)).alias("right"), F.array(F.max("x"), c(1), c(0)).alias("left")).withColumn("pose", world)
+    found = sequences.hand_reference_forecast(rows.filter("t >= m").select("episode_id", "t", "joint"), observed, hands, "perhand", "pose")
+    return found.join(f.select("episode_id", "t", "event_id"), ["episode_id", "t"]).select("event_id", r6(F.get("xyz", F.lit(0))).alias("x"), r6(F.get("xyz", F.lit(1))).alias("y"))
+
+
 @query("C5_nearest_match", f"""
-WITH {FRAMES}, src AS (SELECT episode_id, t, event_id FROM f WHERE event_id % 3 = 0), tgt AS (SELECT episode_id, t, event_id FROM f WHERE event_id % 3 = 1),
+WITH {FRAMES}, src AS (SELECT episode_id, t, event_id FROM f WHERE event_id % 3 = 0), tgt AS (SELECT episode_id, t, event_id FROM f WHERE event_id % 3 <> 0),
 c AS (SELECT tgt.episode_id, tgt.event_id, tgt.t, src.t AS st, src.event_id AS se, row_number() OVER (PARTITION BY tgt.event_id ORDER BY abs(src.t - tgt.t), src.t DESC) AS k FROM tgt JOIN src USING (episode_id))
 SELECT episode_id, event_id, t, st::DOUBLE AS match_key, se AS match_event_id FROM c WHERE k = 1""")
 def c5(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).select("episode_id", "event_id", "t")
-    found = sequences.nearest_match(f.filter("event_id % 3 = 1"), f.filter("event_id % 3 = 0"), "episode_id", "t", ["event_id"], "event_id")
+    found = sequences.nearest_match(f.filter("event_id % 3 <> 0"), f.filter("event_id % 3 = 0"), "episode_id", "t", ["event_id"], "event_id")
     return found.select("episode_id", "event_id", "t", "match_key", "match_event_id")
 
 
@@ -223,12 +239,26 @@ def h2(spark: SparkSession, d: str) -> DataFrame:
     return _poses(spark, d).withColumn("inv", geometry.let(F.col("m"), geometry.affine_inverse)).select("l_orderkey", "l_linenumber", at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), at(3).alias("tx"))
 
 
-@query("C7_to_camera_frame", "SELECT DISTINCT l_orderkey::VARCHAR AS episode_id, l_linenumber AS frame_idx, 0.0::DOUBLE AS off_identity FROM lineitem")
+# A camera for each order and line: another matrix than the pose.
+_EXT = "[1 + a, 0.2, b, 10 * a, -0.1, 2 - a, 0.1, 5 * b, a, 0.3, 1 + b, 1.5]"
+_EXT_DET = _DET.replace("m[", "e[")
+_COFACTORS = [[f"(e[{p}] * e[{q}] - e[{r}] * e[{s}])" for p, q, r, s in row] for row in (((6, 11, 7, 10), (3, 10, 2, 11), (2, 7, 3, 6)), ((7, 9, 5, 11), (1, 11, 3, 9), (3, 5, 1, 7)), ((5, 10, 6, 9), (2, 9, 1, 10), (1, 6, 2, 5)))]
+_LINEAR = ", ".join(f"{_COFACTORS[r][k]} / det" for r in range(3) for k in range(3))
+_BACK = ", ".join(f"-(v[{3 * r + 1}] * e[4] + v[{3 * r + 2}] * e[8] + v[{3 * r + 3}] * e[12])" for r in range(3))
+_MOVED = ", ".join(f"round(v[{3 * r + 1}] * m[{c + 1}] + v[{3 * r + 2}] * m[{c + 5}] + v[{3 * r + 3}] * m[{c + 9}] + w[{r + 1}] * m[{c + 13}], 5) + 0.0::DOUBLE AS m{r}{c}" for r in range(3) for c in range(4))
+
+
+@query("C7_to_camera_frame", f"""
+WITH {_POSE}, e AS (SELECT *, list_transform({_EXT}, lambda v: v::DOUBLE) AS e FROM (SELECT *, (l_orderkey % 7)::DOUBLE / 10 AS a, l_linenumber::DOUBLE / 10 AS b FROM p)), i AS (SELECT *, {_EXT_DET} AS det FROM e),
+v AS (SELECT *, [{_LINEAR}] AS v FROM i), w AS (SELECT *, [{_BACK}] AS w FROM v)
+SELECT l_orderkey::VARCHAR AS episode_id, l_linenumber AS frame_idx, {_MOVED} FROM w""")
 def c7(spark: SparkSession, d: str) -> DataFrame:
-    rows = _poses(spark, d).select(F.col("l_orderkey").cast("string").alias("episode_id"), F.col("l_linenumber").alias("frame_idx"), "m").dropDuplicates(["episode_id", "frame_idx"])
-    found = sequences.to_camera_frame(rows.withColumn("joint", F.lit("wrist")), rows.withColumnRenamed("m", "ext"))
-    eye = F.array(*(F.lit(float(r == c)) for r in range(4) for c in range(4)))
-    return found.select("episode_id", "frame_idx", F.abs(r6(F.array_max(F.zip_with("m", eye, lambda a, b: F.abs(a - b))))).alias("off_identity"))
+    rows = _poses(spark, d).select(F.col("l_orderkey").cast("string").alias("episode_id"), F.col("l_linenumber").alias("frame_idx"), F.lit("wrist").alias("joint"), "m")
+    a, b = (F.col("episode_id").cast("long") % 7).cast("double") / 10, F.col("frame_idx").cast("double") / 10
+    c = lambda v: F.lit(float(v))
+    ext = F.array(1 + a, c(0.2), b, 10 * a, c(-0.1), 2 - a, c(0.1), 5 * b, a, c(0.3), 1 + b, c(1.5), c(0), c(0), c(0), c(1))
+    found = sequences.to_camera_frame(rows, rows.select("episode_id", "frame_idx").distinct().withColumn("ext", ext))
+    return found.select("episode_id", "frame_idx", *((F.round(F.get("m", F.lit(4 * r + k)), 5) + 0.0).alias(f"m{r}{k}") for r in range(3) for k in range(4)))
 
 
 @query("H3_apply_pose", f"WITH {_POSE} SELECT l_orderkey, l_linenumber, round(m[1] * x + m[2] * y + m[3] * z + m[4], 6) AS x, round(m[9] * x + m[10] * y + m[11] * z + m[12], 6) AS z FROM p")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,8 +202,8 @@ def publish_if_valid(staging: DataFrame, rules: dict[str, Column], staged: str,
         return False
     try:
         written.write.mode("errorifexists").parquet(target)
-    except Exception as e:
-        if "PATH_ALREADY_EXISTS" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_ALREADY_EXISTS":
             return False
         raise
     return True

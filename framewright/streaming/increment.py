@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from framewright.operators import quality
 
 
 def plan_increment(inventory: DataFrame, published: DataFrame, key: str, facts: list[str], valid: Column | None = None) -> DataFrame:
@@ -27,21 +31,31 @@ def increment_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def add_new(batch: DataFrame, target: str, key: str) -> None:
-    """Rows of a batch, each key once, that ``target`` doesn't have yet; a batch that runs again adds nothing."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
+def published(spark: SparkSession, target: str, key: str, schema: StructType) -> DataFrame:
+    """The newest version of every key in ``target``, with its number; no rows if nothing is there yet."""
     try:
-        have = spark.read.parquet(target).select(key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        rows = spark.read.parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    else:
-        fresh = fresh.join(have, key, "left_anti")
-    fresh.write.mode("append").parquet(target)
+        return spark.createDataFrame([], StructType(list(schema.fields)).add("version", "long"))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "version").alias("newest")).select("newest.*")
+
+
+def publish_batch(batch: DataFrame, target: str, key: str, rules: dict[str, Column] | None = None) -> None:
+    """What a batch has to build or rebuild (J1), each key once, audited and added to ``target`` as a new version.
+
+    A row that fails a rule is not published. A batch that runs again finds its
+    rows published and adds nothing.
+    """
+    have = published(batch.sparkSession, target, key, batch.schema)
+    plan = plan_increment(batch.dropDuplicates([key]), have, key, [c for c in batch.columns if c != key]).filter("status <> 'skip'")
+    good = quality.with_reasons(plan, rules or {}).filter(F.size("reasons") == 0).select(*batch.columns)
+    before = have.select(key, F.col("version").alias("before"))
+    good.join(before, key, "left").select(*batch.columns, (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("version")).write.mode("append").parquet(target)
 
 
-def stream_increment(spark: SparkSession, root: str, schema: str, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """The Parquet files that arrive below ``root``, added to ``target`` once each; runs until all that are there are done."""
+def stream_increment(spark: SparkSession, root: str, schema: str, target: str, checkpoint: str, key: str, rules: dict[str, Column] | None = None) -> StreamingQuery:
+    """The Parquet files that arrive below ``root``, published to ``target`` batch by batch; runs until all that are there are done."""
     rows = spark.readStream.schema(schema).parquet(root)
-    return rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: add_new(batch, target, key)).start()
+    return rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: publish_batch(batch, target, key, rules)).start()
