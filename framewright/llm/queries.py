@@ -21,6 +21,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_run_index": suffix_dedup.OP3_SQL,
     "op5_fm_index_decontamination": decontaminate.OP5_SQL,
+    "op7_hash_tree": sharding.OP7_SQL,
     "op8_temperature_mixture": mixing.OP8_SQL,
     "op9_jaccard_components": jaccard_join.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,

@@ -69,18 +69,27 @@ def _descend(leaves: list[Leaf], draws: Column) -> Column:
     return _let(below(draws, [racks[k] for k in rack_names]), of_racks)
 
 
-def assign(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard", parents: bool = False) -> DataFrame:
-    """``df`` with the shard of each row's key, an int, and with ``parents`` also region and rack.
+def assign(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard", parents: bool = False, grown: list[Leaf] | None = None) -> DataFrame:
+    """``df`` with the shard of each row's key, an int, with ``parents`` also region and rack, and with ``grown`` also that in another tree, ``grown_shard``.
 
     A null key counts as the empty text. Equal keys go together. Nothing is
-    shuffled and the work for a row is one hash for each leaf.
+    shuffled and the work for a row is one hash for each leaf; leaves that both
+    trees have with the same weight are hashed once. An inner node's draw is
+    the least of its leaves', so a descent ends at the least draw of all
+    whatever the levels between: that is what confines a change of weight to
+    moves into or out of its own subtree.
     """
-    leaves = [x for x in leaves if x.weight > 0]
-    if not leaves:
+    trees = [[x for x in t if x.weight > 0] for t in ((leaves, grown) if grown else (leaves,))]
+    if not all(trees):
         raise ValueError("no shard has any weight")
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    found = _let(F.array(*(_draw(text, x) for x in leaves)), lambda draws: _descend(leaves, draws))
-    return df.withColumns({out: found["shard"]} | ({"region": found["region"], "rack": found["rack"]} if parents else {}))
+    drawn = {(x.shard, x.weight): x for t in trees for x in t}
+    at = {k: i for i, k in enumerate(drawn)}
+    descend = lambda t, draws: _let(F.array(*(draws[at[x.shard, x.weight]] for x in t)), lambda own: _descend(t, own))
+    found = _let(F.array(*(_draw(text, x) for x in drawn.values())), lambda draws: F.struct(*(descend(t, draws).alias(name) for t, name in zip(trees, ("own", "grown"), strict=False))))
+    df = df.withColumn("__found", found)
+    names = {out: "own.shard"} | ({"region": "own.region", "rack": "own.rack"} if parents else {}) | ({"grown_shard": "grown.shard"} if grown else {})
+    return df.withColumns({name: F.col(f"__found.{field}") for name, field in names.items()}).drop("__found")
 
 
 def slots(df: DataFrame, shard: str, order: list[str], cells: int = 256) -> DataFrame:
@@ -109,8 +118,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: dict[int, float]
     ordered by crc and size. Other columns are left out.
     """
     rows = docs.select("doc_id", (text_bytes() + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
-    rows = assign(rows, "doc_id", tree(shards, weights=weights))
-    rows = assign(rows, "doc_id", tree(shards + 1, weights=weights), "grown_shard")
+    rows = assign(rows, "doc_id", tree(shards, weights=weights), grown=tree(shards + 1, weights=weights))
     return slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -125,8 +133,12 @@ def _sql_shard(shards: int) -> str:
     return f"(list_position([{draws}], list_min([{draws}])) - 1)::INTEGER"
 
 
-#: DuckDB has no crc32: that column is left to the tests.
-OP7_KEY_SQL = f"""
-WITH d AS (SELECT doc_id, strlen(text) AS bytes, coalesce(doc_id::VARCHAR, '') AS k FROM documents)
-SELECT doc_id, (coalesce(bytes, 0) + 8)::BIGINT AS size, 'key' AS law, {_sql_shard(24)} AS shard, {_sql_shard(25)} AS grown_shard FROM d
+#: The SQL engine has no crc32: it is worked out byte by byte from the table of 256 remainders.
+OP7_SQL = f"""
+WITH t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+d AS (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, coalesce(doc_id::VARCHAR, '') AS k, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+c AS (SELECT doc_id, size, k, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) AS crc FROM d, t),
+s AS (SELECT *, {_sql_shard(24)} AS shard, {_sql_shard(25)} AS grown_shard FROM c)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 4))::INTEGER % 256, doc_id, crc, size) - 1 AS slot, grown_shard FROM s
 """
