@@ -71,6 +71,11 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def document_key() -> F.Column:
+    """What stands for a document: its doc_id; without one, a number below any id from a hash of the text, so that such rows don't all share a key."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text, none for null."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import stored, table
+from framewright.llm.common import document_key, stored, table
 
 #: Lines under the rolling hash, and about how many there are in a chunk.
 ROLLED, MEAN = 2, 4
@@ -85,12 +85,13 @@ def remove_repeated_chunks(docs: DataFrame, least_lines: int = LINES) -> DataFra
     lines that don't fill a chunk stay (``remove_repeated_lines`` takes them). A null
     text stays null and counts no lines; an empty one has one empty line. Rows
     with the same doc_id take nothing from each other; a null doc_id is smaller
-    than any other. Columns of these names are replaced, all others stay.
+    than any other, and rows without one stand in the order of a hash of their
+    texts. Columns of these names are replaced, all others stay.
     """
     from pyspark.sql.types import LongType, StructType
 
     docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    key = document_key()
     keyed = docs.select(key.alias("key"), "text")
     hashes = _places(keyed, least_lines)
     several = stored(hashes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "hashes")
@@ -206,14 +207,15 @@ def remove_repeated_lines(docs: DataFrame, least_lines: int = LINES, bits: int =
     without a line in common. Empty lines count as lines; a single repeated
     line stays. Texts are judged on the input. A null text stays null and
     counts no lines; an empty one has one empty line. Rows with the same doc_id
-    take nothing from each other; a null doc_id is smaller than any other.
-    Columns of these names are replaced, all others stay. Hashes have ``bits``
+    take nothing from each other; a null doc_id is smaller than any other,
+    and rows without one stand in the order of a hash of their texts. Texts of
+    any length count whole. Columns of these names are replaced, all others stay. Hashes have ``bits``
     bits; with fewer, more bytes are sent and the result is the same.
     """
     from pyspark.sql.types import LongType, StructType
 
     docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    key = document_key()
     keyed = docs.select(key.alias("key"), "text")
     hashes = stored(_window_rows(keyed, least_lines, bits), "hashes")
     several = stored(hashes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h"), "several")

@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import stored, table, width
+from framewright.llm.common import document_key, stored, table, width
 
 #: Bytes of an anchor; a window has as many places for it as make up its length.
 ANCHOR = 16
 #: Bytes of text that an index holds, at least one anchor's.
 INDEX_BYTES = 1 << 21
-_NO_ID = -(1 << 63)
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -371,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     name = f"texts_{uuid.uuid4().hex}"
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), _NO_ID + F.shiftrightunsigned(F.xxhash64("text"), 2)).alias("key"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    keyed = docs.select("doc_id", "text", document_key().alias("key"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     keyed.write.bucketBy(width(spark), "key").sortBy("key").option("compression", "zstd").saveAsTable(name)
     keyed = spark.table(name)
     # A whole copy of a document with a smaller doc_id goes whole, and adds no string to what that one has.
