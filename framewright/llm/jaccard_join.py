@@ -33,7 +33,7 @@ from framewright.llm.common import Scratch, table
 from framewright.llm.words import MIX, mixed
 
 #: Tokens whose frequency the orders know, and tokens of documents in which repeats are counted at a time.
-HEAVY_TOKENS, COUNTED = 1 << 18, 1 << 22
+HEAVY_TOKENS, COUNTED = 1 << 18, 1 << 21
 #: Repeats from which a token's group is salted, a salt for each so many.
 HOT = 1 << 13
 #: Classes in a block of a group; larger groups are paired block by block.
@@ -44,8 +44,10 @@ BROADCAST_IDS = 1 << 20
 SKETCH = 128
 #: Sets seen that a worker remembers; then it starts again.
 REMEMBERED = 1 << 17
+#: Tokens of sets whose rows are sent together.
+SENT = 1 << 20
 #: Bits of a token's slot in the table that rules out rare tokens.
-SLOT_BITS = 24
+SLOT_BITS = 22
 
 _ONE, _SHIFT = np.uint64(1), np.uint64(58)
 
@@ -220,8 +222,22 @@ def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = orders.value, _Seen()
+        rows: list[tuple] = []
+        n_rows = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal n_rows
+            n = [len(r[1]) for r in rows]
+            rank, cls, level = (np.repeat(np.array([r[k] for r in rows], t), n) for k, t in ((0, np.int8), (3, np.int64), (5, np.int32)))
+            lengths = np.repeat([0 if r[4] is None else SKETCH for r in rows], n)
+            sketches = np.concatenate([np.empty(0, np.int8), *(r[4] for r in rows if r[4] is not None)])
+            sketch = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(sketches), mask=pa.array(lengths == 0))
+            found = [pa.array(rank), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)), pa.array(level), pa.array(cls), sketch]
+            rows.clear()
+            n_rows = 0
+            return pa.RecordBatch.from_arrays(found, ["rank", "token", "salt", "level", "cls", "sketch"])
+
         for batch in batches:
-            rows: list[tuple] = []
             for s in sets_of(batch.column(0), size):
                 cls = _class_of(s)
                 if seen.new(cls):
@@ -230,13 +246,11 @@ def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which:
                         rows.append((rank, tokens.view(np.int64), np.where(times >= HOT, cls % (times // HOT + 1), -1), cls, None, level))
                     if sketched:
                         rows.append((-1, np.array([cls]), np.array([-1]), cls, _sketch(s), level))
-            if rows:
-                n = [len(r[1]) for r in rows]
-                rank, cls, level = (np.repeat(np.array([r[k] for r in rows], t), n) for k, t in ((0, np.int8), (3, np.int64), (5, np.int32)))
-                lengths = np.repeat([0 if r[4] is None else SKETCH for r in rows], n)
-                sketches = np.concatenate([np.empty(0, np.int8), *(r[4] for r in rows if r[4] is not None)])
-                sketch = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(sketches), mask=pa.array(lengths == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)), pa.array(level), pa.array(cls), sketch], ["rank", "token", "salt", "level", "cls", "sketch"])
+                    n_rows += len(s)
+                    if n_rows >= SENT:
+                        yield close()
+        if rows:
+            yield close()
 
     return texts.select("text").mapInArrow(run, "rank byte, token long, salt int, level int, cls long, sketch array<tinyint>")
 
@@ -272,11 +286,25 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
+        found: list[tuple[int, np.ndarray]] = []
+        n = 0
+
+        def close() -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(s) for _, s in found)]).astype(np.int32)
+            out = [pa.array([c for c, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in found]).astype(np.int64)))]
+            found.clear()
+            return pa.RecordBatch.from_arrays(out, ["cls", "tokens"])
+
         for batch in batches:
-            found = [(c, s) for s in sets_of(batch.column(0), size) if seen.new(c := _class_of(s))]
-            if found:
-                ends = np.cumsum([0, *(len(s) for _, s in found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in found]).astype(np.int64)))], ["cls", "tokens"])
+            for s in sets_of(batch.column(0), size):
+                if seen.new(c := _class_of(s)):
+                    found.append((c, s))
+                    n += len(s)
+                    if n >= SENT:
+                        yield close()
+                        n = 0
+        if found:
+            yield close()
 
     return texts.mapInArrow(run, "cls long, tokens array<bigint>").dropDuplicates(["cls"])
 

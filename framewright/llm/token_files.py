@@ -26,6 +26,8 @@ from framewright.llm import words
 from framewright.llm.common import shared_path, table, width
 
 BLOCK_IDS = 1 << 16
+#: Bytes of text whose words are looked up together.
+CHUNK = 1 << 20
 #: Distinct words whose ids a worker remembers; then it starts again.
 REMEMBERED = 1 << 20
 BLOCKS = "shard int, block int, bits int, first long, n_ids long, payload binary, doc_ids array<bigint>, doc_starts array<bigint>, doc_ends array<bigint>"
@@ -172,7 +174,7 @@ class WordIds:
             for x in self._encoded([t or "" for t in texts.to_pylist()]):
                 yield np.frombuffer(x, "<u4")
             return
-        for at, upto, found in words.parts(texts):
+        for at, upto, found in words.parts(texts, CHUNK):
             coded = [self._of_part(*part) for part in found]
             n = coded[0][1] if len(coded) == 1 else [sum(len(ids) for ids, _ in coded)]
             ids = np.concatenate([ids for ids, _ in coded])

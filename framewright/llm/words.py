@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _ONE = np.uint64(1)
 #: Odd multipliers of the hashes.
@@ -30,7 +30,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         base, inverse = int(MIX[1]), pow(int(MIX[1]), -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.append(_ONE, np.full(max(n, 2 * CHUNK), x, np.uint64))) for x in (base, inverse)]
+        _POWERS[:] = [np.cumprod(np.append(_ONE, np.full(n, x, np.uint64))) for x in (base, inverse)]
     return _POWERS
 
 
@@ -50,32 +50,33 @@ def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     return mixed((total[last] - before) * inverse[start], MIX[0]), start, last
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+def _pieces(data: np.ndarray, chunk: int) -> Iterator[np.ndarray]:
     """One long text in pieces that end between words."""
     at = 0
     while at < len(data):
-        end = at + CHUNK
-        while end < len(data) and not _BETWEEN[data[end - 1 : end + CHUNK]].any():
-            end += CHUNK
+        end = at + chunk
+        while end < len(data) and not _BETWEEN[data[end - 1 : end + chunk]].any():
+            end += chunk
         if end < len(data):
-            end += int(np.argmax(_BETWEEN[data[end - 1 : end + CHUNK]]))
+            end += int(np.argmax(_BETWEEN[data[end - 1 : end + chunk]]))
         yield data[at:end]
         at = end
 
 
-def parts(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+def parts(texts: pa.Array, chunk: int | None = None) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
     """Texts from and upto, with their bytes and where each begins: some texts in one part, or one long text in several. Null is empty."""
+    chunk = chunk or CHUNK
     texts = texts.fill_null("") if texts.null_count else texts
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
         cuts = offsets[at : upto + 1]
         part = data[cuts[0] : cuts[-1]]
-        if len(part) > 2 * CHUNK:
-            yield at, upto, [(p, np.array([0])) for p in _pieces(part)]
+        if len(part) > 2 * chunk:
+            yield at, upto, [(p, np.array([0])) for p in _pieces(part, chunk)]
         else:
             yield at, upto, [(part, cuts[:-1] - cuts[0])]
         at = upto
