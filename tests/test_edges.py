@@ -187,3 +187,46 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
     for log in ("x", "x", "y"):
         increment.stream_increment(spark, f"{tmp_path}/in", "id long", f"{tmp_path}/out", f"{tmp_path}/{log}", "id").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+
+
+def test_stream_rebuilds_what_changed_and_leaves_out_what_fails(spark, tmp_path):
+    rules = {"negative": F.col("v") < 0}
+    step = lambda: increment.stream_increment(spark, f"{tmp_path}/in", "id long, v long", f"{tmp_path}/out", f"{tmp_path}/log", "id", rules).awaitTermination()
+    for rows in ([(1, 1), (2, -1)], [(1, 1), (2, 5)], [(1, 7)]):
+        spark.createDataFrame(rows, "id long, v long").write.mode("append").parquet(f"{tmp_path}/in")
+        step()
+    found = increment.published(spark, f"{tmp_path}/out", "id", spark.createDataFrame([], "id long, v long").schema)
+    assert sorted((r.id, r.v, r.version) for r in found.collect()) == [(1, 7, 2), (2, 5, 1)]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_lookup_in_a_stem_of_many_folders(spark):
+    index = spark.createDataFrame([(f"d{k}", "s", f"p{k % 3}", f"x{k:03}") for k in range(200)] + [("d1", None, None, "y")], "rel_dir string, stem string, parent string, path string")
+    wanted = spark.createDataFrame([(1, "s", "p2", ["none", "d7"]), (2, "s", "p2", ["none"]), (3, "s", None, []), (4, "t", "p1", ["d1"]), (5, None, None, ["d1"])], "id int, name string, folder string, dirs array<string>")
+    got = {r.id: r.path for r in joins.priority_lookup(wanted, index, "dirs", "name", "folder").collect()}
+    assert got == {1: "x007", 2: "x002", 3: "x000", 4: None, 5: None}
+
+
+def test_digest_method_is_the_callers(spark):
+    rows = spark.range(5)
+    line = F.col("id").cast("string")
+    exact, additive = (metrics.digest_of_set(rows, line, m).first() for m in ("exact", "additive"))
+    assert exact.n == additive.n == 5 and exact.digest != additive.digest and (exact.method, additive.method) == ("exact", "additive")
+    with pytest.raises(ValueError):
+        metrics.digest_of_set(rows, line, "auto")
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 12, 13, 30])
+def test_rounds_from_the_histogram(spark, n):
+    sizes = {"a": 1, "b": 2, "c": 2, "d": 10, "e": 15}
+    df = spark.createDataFrame([(g, k) for g, m in sizes.items() for k in range(m)], "g string, k int")
+    got = {r.g: r["count"] for r in ranking.group_balanced_subset(df, "g", "k", n, 1).groupBy("g").count().collect()}
+    low = max(k for k in range(17) if sum(min(k, m) for m in sizes.values()) <= n)
+    assert sum(got.values()) == n and all(min(low, m) <= got.get(g, 0) <= min(low + 1, m) for g, m in sizes.items())
+
+
+def test_nearest_match_grows_with_the_rows(spark):
+    """No frame of a row reaches over all rows after it."""
+    f = spark.range(10).select(F.lit("e").alias("e"), F.col("id").alias("t"), F.col("id").alias("v"))
+    plan = sequences.nearest_match(f, f, "e", "t", ["v"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
