@@ -245,7 +245,7 @@ _EXT_DET = _DET.replace("m[", "e[")
 _COFACTORS = [[f"(e[{p}] * e[{q}] - e[{r}] * e[{s}])" for p, q, r, s in row] for row in (((6, 11, 7, 10), (3, 10, 2, 11), (2, 7, 3, 6)), ((7, 9, 5, 11), (1, 11, 3, 9), (3, 5, 1, 7)), ((5, 10, 6, 9), (2, 9, 1, 10), (1, 6, 2, 5)))]
 _LINEAR = ", ".join(f"{_COFACTORS[r][k]} / det" for r in range(3) for k in range(3))
 _BACK = ", ".join(f"-(v[{3 * r + 1}] * e[4] + v[{3 * r + 2}] * e[8] + v[{3 * r + 3}] * e[12])" for r in range(3))
-_MOVED = ", ".join(f"round(v[{3 * r + 1}] * m[{c + 1}] + v[{3 * r + 2}] * m[{c + 5}] + v[{3 * r + 3}] * m[{c + 9}] + w[{r + 1}] * m[{c + 13}], 5) + 0.0::DOUBLE AS m{r}{c}" for r in range(3) for c in range(4))
+_MOVED = ", ".join(f"round(v[{3 * r + 1}] * m[{c + 1}] + v[{3 * r + 2}] * m[{c + 5}] + v[{3 * r + 3}] * m[{c + 9}] + w[{r + 1}] * m[{c + 13}], 8) + 0.0::DOUBLE AS m{r}{c}" for r in range(3) for c in range(4))
 
 
 @query("C7_to_camera_frame", f"""
@@ -258,7 +258,7 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
     c = lambda v: F.lit(float(v))
     ext = F.array(1 + a, c(0.2), b, 10 * a, c(-0.1), 2 - a, c(0.1), 5 * b, a, c(0.3), 1 + b, c(1.5), c(0), c(0), c(0), c(1))
     found = sequences.to_camera_frame(rows, rows.select("episode_id", "frame_idx").distinct().withColumn("ext", ext))
-    return found.select("episode_id", "frame_idx", *((F.round(F.get("m", F.lit(4 * r + k)), 5) + 0.0).alias(f"m{r}{k}") for r in range(3) for k in range(4)))
+    return found.select("episode_id", "frame_idx", *((F.round(F.get("m", F.lit(4 * r + k)), 8) + 0.0).alias(f"m{r}{k}") for r in range(3) for k in range(4)))
 
 
 @query("H3_apply_pose", f"WITH {_POSE} SELECT l_orderkey, l_linenumber, round(m[1] * x + m[2] * y + m[3] * z + m[4], 6) AS x, round(m[9] * x + m[10] * y + m[11] * z + m[12], 6) AS z FROM p")
