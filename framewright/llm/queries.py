@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from framewright.llm import decontaminate, html_text, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, suffix_dedup, token_files
+from framewright.llm import decontaminate, html_text, jaccard_join, language_id, lexical_search, line_dedup, metric_tree, mixing, quality_rules, sharding, suffix_dedup, token_files, vector_codes
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_temperature_mixture": mixing.op8_temperature_mixture,
     "op9_jaccard_components": jaccard_join.op9_jaccard_components,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_metric_tree": metric_tree.op11_metric_tree,
+    "op12_automaton_ranking": lexical_search.op12_automaton_ranking,
+    "op13_walsh_codes": vector_codes.op13_walsh_codes,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -25,4 +28,7 @@ ORACLES: dict[str, str] = {
     "op8_temperature_mixture": mixing.OP8_SQL,
     "op9_jaccard_components": jaccard_join.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
+    "op11_metric_tree": metric_tree.OP11_SQL,
+    "op12_automaton_ranking": lexical_search.OP12_SQL,
+    "op13_walsh_codes": vector_codes.OP13_SQL,
 }
