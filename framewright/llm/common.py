@@ -49,6 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = shared_path(spark, name)
+        self.tables: list[str] = []
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex}")
@@ -57,7 +58,14 @@ class Scratch:
         """Stored outside, so that it stays."""
         return stored(df, name)
 
+    def table(self, name: str) -> str:
+        """A new name for a table whose files lie below ``path``."""
+        self.tables.append(f"{name}_{uuid.uuid4().hex}")
+        return self.tables[-1]
+
     def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -3,20 +3,26 @@
 The standard library's parser streams its events into lines, one for each
 block of the page. A line's ratio is its characters outside links over its
 tags. Menus, sidebars, notices, adverts, forms, comments and the like lower
-the ratio of their lines, by element, role or name; an element that holds most
-of the page with its title lowers nothing, whatever its name. The ratios are
+the ratio of their lines, by element, role or name. A name of which only a part
+says so lowers lines only where the element holds mostly links or the page has
+several elements of that name; names of paragraphs, quotations and headings
+never do. A lowered line starts from the mean ratio of the others if its own is
+higher. An element that holds most of the page with its title lowers nothing,
+whatever its name. The ratios are
 smoothed by a Gaussian along the page and lines above a threshold form
 clusters. The element that holds most of the clusters' text is where the
 content region begins; it grows to the article or main element around it, and
 to elements around it that hold further clusters or headings. Inside it the
 clusters decide about every line that isn't plainly a paragraph, a heading or
 an item: lowered lines, links without text and bare text at the region's ends
-stay only where they are above the threshold.
+stay only where they are above the threshold. Links of an article or main
+element, and those in a table beside text, are its lines like any other.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -46,8 +52,10 @@ NEGATED = frozenset("has hide is no with without".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 #: The same for role.
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words beside those of NAMES in a name that is about nothing else.
+NEUTRAL = frozenset("area bar block body bottom box col column container content foot global group head home inner item left line link links list main nav outer page panel post primary right row secondary section side site slot sub text thread title top unit wrap wrapper".split())
 #: Elements that names don't drop.
-NAMED_FREELY = frozenset("article body h1 h2 h3 h4 h5 h6 html main p".split())
+NAMED_FREELY = frozenset("article blockquote body caption dd dt figcaption h1 h2 h3 h4 h5 h6 html main p pre td th".split())
 
 #: Elements that the content region takes in whole if they are around it.
 WHOLE = frozenset("article main".split())
@@ -99,8 +107,8 @@ class Lines(HTMLParser):
         self.plain: list[str] = []
         self.links = 0
         self.tags = 0
-        #: What lowers: whether a page may be wrapped in it, and whether it holds the page's title or main element.
-        self.lowering: list[list[bool]] = []
+        #: What lowers: whether a page may be wrapped in it, whether it holds the page's title or main element, and its name if that says so only in part.
+        self.lowering: list[list] = []
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -133,9 +141,10 @@ class Lines(HTMLParser):
         if tag in REGIONS:
             region, self.regions = self.regions, self.regions + 1
         inner = tag == "header" and any(x.tag in WHOLE for x in self.open)
-        if tag in LOWERING and not inner or attrs and _named(tag, names):
+        named = _named(tag, names) if attrs else None
+        if tag in LOWERING and not inner or named is not None:
             lowers = len(self.lowering)
-            self.lowering.append([tag in WRAPPING or tag not in LOWERING, False])
+            self.lowering.append([tag in WRAPPING or tag not in LOWERING, False, "" if tag in LOWERING and not inner else named])
         if tag in ("h1", "main"):
             for x in self.open:
                 if x.lowers is not None:
@@ -167,11 +176,15 @@ class Lines(HTMLParser):
     def weights(self) -> np.ndarray:
         """1, or LOWERED for lines that something lowers."""
         inside: dict[int, int] = {}
+        linked: dict[int, int] = {}
         for x in self.found:
             for k in x.lowered:
                 inside[k] = inside.get(k, 0) + x.plain
+                linked[k] = linked.get(k, 0) + len(x.text) - x.plain
         total = sum(x.plain for x in self.found)
-        idle = {k for k, n in inside.items() if all(self.lowering[k]) and 2 * n >= total}
+        idle = {k for k, n in inside.items() if all(self.lowering[k][:2]) and 2 * n >= total}
+        several = Counter(name for _, _, name in self.lowering)
+        idle |= {k for k, n in inside.items() if (name := self.lowering[k][2]) and several[name] < 2 and linked[k] <= n}
         if all(set(x.lowered) - idle for x in self.found):
             # Nothing else is there: what a page may be wrapped in lowers nothing if it holds paragraphs.
             idle |= {k for x in self.found if x.tag == "p" for k in x.lowered if self.lowering[k][0]}
@@ -182,17 +195,20 @@ def _hidden(attrs: dict[str, str | None]) -> bool:
     return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
 
 
-def _named(tag: str, attrs: dict[str, str | None]) -> bool:
-    """Whether role, class or id name something that isn't main text; a name such as no-sidebar doesn't."""
+def _named(tag: str, attrs: dict[str, str | None]) -> str | None:
+    """Whether role, class or id name something that isn't main text: empty if all of a name does, the name if only a part of it, None if nothing; a name such as no-sidebar doesn't."""
     if (attrs.get("role") or "").lower() in ROLES:
-        return True
+        return ""
     if tag in NAMED_FREELY:
-        return False
+        return None
+    part = None
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
         words = [w.lower() for w in _WORD.findall(name)]
         if words and words[0] not in NEGATED and any(w in NAMES for w in words):
-            return True
-    return False
+            if all(w in NAMES or w in NEUTRAL or w.isdigit() for w in words):
+                return ""
+            part = name
+    return part
 
 
 def parsed(html: str) -> Lines:
@@ -225,8 +241,10 @@ def main_text(html: str | None, clusters=clusters) -> str:
     if not lines:
         return ""
     weight = page.weights()
-    chosen, strong = clusters(weight * [x.plain / max(1, x.tags) for x in lines])
     plain = weight == 1
+    ratio = np.array([x.plain / max(1, x.tags) for x in lines])
+    usual = ratio[plain].mean() if plain.any() else 0.0
+    chosen, strong = clusters(np.where(plain, ratio, LOWERED * np.minimum(ratio, usual)))
     if not (plain & chosen).any():
         return ""
     held: dict[int, int] = {}
@@ -253,6 +271,12 @@ def main_text(html: str | None, clusters=clusters) -> str:
     def stays(k: int, x: Line) -> bool:
         if not plain[k]:
             return bool(strong[k])
+        if bare[k] and not WHOLE.isdisjoint(x.kinds):
+            return True
+        if bare[k] and "table" in x.kinds:  # beside figures or text in its table
+            table = x.regions[len(x.kinds) - 1 - x.kinds[::-1].index("table")]
+            own = [y for y in lines if table in y.regions]
+            return sum(y.plain for y in own) >= sum(len(y.text) - y.plain for y in own)
         if bare[k]:  # one link by itself among text, not a row or a list of them
             return bool(chosen[k]) and x.links == 1 and not any(bare[max(0, k - 1) : k]) and not any(bare[k + 1 : k + 2])
         return x.tag in PROSE or first <= k <= last or not WHOLE.isdisjoint(x.kinds)

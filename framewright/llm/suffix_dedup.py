@@ -18,7 +18,6 @@ is marked in the other documents.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import document_key, stored, table, width
+from framewright.llm.common import Scratch, document_key, stored, table, width
 
 #: Bytes of an anchor; a window has as many places for it as make up its length.
 ANCHOR = 16
 #: Bytes of text that an index holds, at least one anchor's.
 INDEX_BYTES = 1 << 21
 
+#: Windows of a text whose anchors are chosen together; positions in such a piece are below 2^24.
+PIECE = 1 << 22
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -53,9 +55,27 @@ def _grams(b: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, length: int, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, first and last window, and place of every anchor that a window of a text selects: the least gram of the window, of equal ones the first."""
+    """hash, first and last window, and place of every anchor that a window of a text selects: the least gram of the window, of equal ones the first.
+
+    A long text is taken in pieces of ``PIECE`` windows, so that what a window
+    selects hangs on its own bytes wherever it stands; windows on both sides of
+    a cut that select the same place are one row.
+    """
     if len(b) < length:
         return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
+    windows = len(b) - length + 1
+    parts = []
+    for cut in range(0, windows, PIECE):
+        h, first, last, at = _anchors(b[cut : min(windows, cut + PIECE) + length - 1], length, size)
+        parts.append((h, first + cut, last + cut, at + cut))
+    if len(parts) == 1:
+        return parts[0]
+    h, first, last, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.append(True, at[1:] != at[:-1])
+    return h[new], first[new], last[np.append(new[1:], True)], at[new]
+
+
+def _anchors(b: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = _grams(b, size)
     places = length - size + 1
     # The order is a hash's upper 40 bits; the position in the lower ones settles ties.
@@ -69,7 +89,6 @@ def anchors(b: np.ndarray, length: int, size: int = ANCHOR) -> tuple[np.ndarray,
     first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
     last = np.append(first[1:], len(low)) - 1
     at = (low[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    at += (first - at + (1 << 24) - 1 >> 24) << 24  # back to whole positions in texts over 16 MB
     return h[at], first, last, at
 
 
@@ -357,7 +376,7 @@ def _cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), runs
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_bytes, kept (binary), run_starts and run_ends (byte offsets of maximal removed runs) of every row of ``docs(doc_id, text)``.
 
     Removed is every byte covered by a string of ``length`` bytes that also
@@ -365,23 +384,26 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     empty. Rows with the same doc_id take nothing from each other; a null
     doc_id is smaller than any other, and rows without one stand in the order of
     a hash of their texts. Texts of any length count whole. Strings are judged on the input. Other
-    columns are left out. The texts are bucketed by doc_id once, so that they
-    are not shuffled again.
+    columns are left out, an empty table gives no row. The texts are bucketed
+    by doc_id once, so that they are not shuffled again: the bucketed table
+    and the intermediate ones lie in ``scratch``, which can be cleared when the
+    result has been written.
     """
     spark = docs.sparkSession
-    name = f"texts_{uuid.uuid4().hex}"
+    scratch = scratch or Scratch(spark, "repeats")
+    name = scratch.table("texts")
     keyed = docs.select("doc_id", "text", document_key().alias("key"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
-    keyed.write.bucketBy(width(spark), "key").sortBy("key").option("compression", "zstd").saveAsTable(name)
+    keyed.write.bucketBy(width(spark), "key").sortBy("key").option("compression", "zstd").option("path", f"{scratch.path}/{name}").saveAsTable(name)
     keyed = spark.table(name)
     # A whole copy of a document with a smaller doc_id goes whole, and adds no string to what that one has.
     firsts = keyed.groupBy("digest").agg(F.min("key").alias("first"))
     copies = keyed.select("key", "digest").join(firsts, "digest").filter("key > first").groupBy("key").agg(F.collect_set("digest").alias("copied"))
-    copies = stored(copies, "copies")
+    copies = scratch.stored(copies, "copies")
     is_copy = F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False))
     own = keyed.join(copies, "key", "left").filter(~is_copy).select("key", "text")
     shared = _shared_anchors(_anchor_rows(own, length)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     marked = _marked(_segments(own.join(shared, "key"), length), length)
-    spans = stored(marked, "spans").groupBy("key").agg(F.collect_list(F.struct("check", "span")).alias("spans"))
+    spans = scratch.stored(marked, "spans").groupBy("key").agg(F.collect_list(F.struct("check", "span")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,8 +425,12 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
 def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of 50 bytes in all whole documents."""
-    found = remove_repeats(table(spark, sf_dir, "documents"), 50)
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("run_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    scratch = Scratch(spark, "repeats")
+    found = remove_repeats(table(spark, sf_dir, "documents"), 50, scratch)
+    out = found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("run_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = stored(out, "repeats")
+    scratch.clear()
+    return out
 
 
 OP3_SQL = """

@@ -89,10 +89,12 @@ class WordIds:
     """Ids of texts from a tokenizer file.
 
     For a tokenizer that goes by words, a text's ids are those of its words in
-    turn. Words are known by a 64-bit hash; each new word of a part of a batch
-    is encoded once: words of small Latin letters together, as one text that
-    needs no normalizing, every other one by the whole tokenizer. For any other
-    tokenizer whole texts are encoded.
+    turn. Words are found by a 64-bit hash and compared by their bytes before
+    ids are used again; texts of a part in which two words share a hash are
+    encoded whole. Each new word of a part of a batch is encoded once: words of
+    small Latin letters together, as one text that needs no normalizing, every
+    other one by the whole tokenizer. For any other tokenizer whole texts are
+    encoded.
     """
 
     def __init__(self, path: str):
@@ -117,6 +119,8 @@ class WordIds:
         self.keys = np.empty(0, np.uint64)
         self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
         self.pool = np.empty(0, "<u4")
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.spelled = np.empty(0, np.uint8)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -144,8 +148,8 @@ class WordIds:
                 a = b
         return out
 
-    def _of_part(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts that follow each other, and how many each has."""
+    def _of_part(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The ids of texts that follow each other, how many each has, and whether all words are spelled as those whose ids they got."""
         h, start, last = words.word_hashes(data, begins)
         each, sample, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) + len(each) > REMEMBERED:
@@ -154,19 +158,29 @@ class WordIds:
         new = np.flatnonzero(each != self.keys[np.minimum(at, len(self.keys) - 1)]) if len(self.keys) else np.arange(len(each))
         if len(new):
             lower = data.tobytes().translate(_LOWER)
-            found = self._new_words([lower[a : b + 1] for a, b in zip(start[sample[new]].tolist(), last[sample[new]].tolist(), strict=True)])
+            spelled = [lower[a : b + 1] for a, b in zip(start[sample[new]].tolist(), last[sample[new]].tolist(), strict=True)]
+            found = self._new_words(spelled)
             count = np.array([len(x) // 4 for x in found])
             keys = np.append(self.keys, each[new])
             order = np.argsort(keys, kind="stable")
             self.first = np.append(self.first, len(self.pool) + np.cumsum(count) - count)[order]
             self.count, self.keys = np.append(self.count, count)[order], keys[order]
             self.pool = np.append(self.pool, np.frombuffer(b"".join(found), "<u4"))
+            size = np.array([len(x) for x in spelled])
+            self.at = np.append(self.at, len(self.spelled) + np.cumsum(size) - size)[order]
+            self.size = np.append(self.size, size)[order]
+            self.spelled = np.append(self.spelled, np.frombuffer(b"".join(spelled), np.uint8))
             at = np.searchsorted(self.keys, each)
+        size = self.size[at][which]
+        same = bool((size == last - start + 1).all())
+        if same and len(size):
+            held = self.spelled[np.repeat(self.at[at][which] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            same = np.array_equal(held, words.spelled(data))
         n = self.count[at][which]
         total = np.cumsum(n)
         ids = self.pool[np.repeat(self.first[at][which] - total + n, n) + np.arange(total[-1] if len(n) else 0)]
         ends = np.append(0, total)[np.cumsum(words.counts(start, begins))]
-        return ids, np.diff(np.append(0, ends))
+        return ids, np.diff(np.append(0, ends)), same
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; none for null."""
@@ -176,12 +190,13 @@ class WordIds:
             return
         for at, upto, found in words.parts(texts, CHUNK):
             coded = [self._of_part(*part) for part in found]
-            n = coded[0][1] if len(coded) == 1 else [sum(len(ids) for ids, _ in coded)]
-            ids = np.concatenate([ids for ids, _ in coded])
+            n = coded[0][1] if len(coded) == 1 else [sum(len(ids) for ids, *_ in coded)]
+            ids = np.concatenate([ids for ids, *_ in coded])
+            whole = not all(same for *_, same in coded)
             special = any(self.special.search(data.tobytes()) for data, _ in found)
             for k, x in zip(range(at, upto), np.split(ids, np.cumsum(n)[:-1]), strict=True):
-                if special and self.special.search((text := texts[k].as_py() or "").encode()):
-                    x = np.frombuffer(self._encoded([text])[0], "<u4")
+                if whole or special and self.special.search((texts[k].as_py() or "").encode()):
+                    x = np.frombuffer(self._encoded([texts[k].as_py() or ""])[0], "<u4")
                 yield x
 
 

@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 18
 
+#: A word of more bytes has a hash of its own kind: sums of powers modulo 2^64 take some long words for each other.
+LONG_WORD = 32
+
 _ONE = np.uint64(1)
 #: Odd multipliers of the hashes.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -23,6 +27,7 @@ def mixed(h: np.ndarray, by: np.uint64) -> np.ndarray:
 _BYTES = np.arange(256)
 #: A value for each byte, A-Z as a-z; which bytes are between words; powers of an odd number by position, and of its inverse.
 _VALUES = mixed(np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint64) * MIX[1] + MIX[2], MIX[0])
+LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _BETWEEN = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
 _POWERS: list[np.ndarray] = []
 
@@ -35,7 +40,10 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (64 bits), start and last byte of every word of texts that follow each other; ``begins``: where texts begin."""
+    """Hash (64 bits), start and last byte of every word of texts that follow each other; ``begins``: where texts begin.
+
+    Words of up to ``LONG_WORD`` bytes are hashed all at once, longer ones by xxh3 each.
+    """
     apart = _BETWEEN[data]
     opens, closes = ~apart, ~apart
     opens[1:] &= apart[:-1]
@@ -47,7 +55,10 @@ def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     power, inverse = _powers(len(data))
     total = np.cumsum(_VALUES[data] * power[: len(data)])
     before = np.where(start > 0, total[start - 1], np.uint64(0))
-    return mixed((total[last] - before) * inverse[start], MIX[0]), start, last
+    h = mixed((total[last] - before) * inverse[start], MIX[0])
+    for k in np.flatnonzero(last - start >= LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(LOWER[data[start[k] : last[k] + 1]].tobytes())
+    return h, start, last
 
 
 def _pieces(data: np.ndarray, chunk: int) -> Iterator[np.ndarray]:
@@ -82,6 +93,11 @@ def parts(texts: pa.Array, chunk: int | None = None) -> Iterator[tuple[int, int,
         at = upto
 
 
+def spelled(data: np.ndarray) -> np.ndarray:
+    """The bytes of all words in turn, with A-Z as a-z."""
+    return LOWER[data[~_BETWEEN[data]]]
+
+
 def counts(start: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """How many words, by their starts, each text has."""
     return np.diff(np.append(np.searchsorted(start, begins), len(start)))
