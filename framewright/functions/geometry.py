@@ -5,7 +5,7 @@ Matrices are flat row-major arrays of doubles: 16 for a pose, 9 for a camera.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,24 @@ def affine_inverse(m: Column) -> Column:
     return let(linear, lambda inverse: F.when(inverse.isNotNull(), whole(inverse)))
 
 
+def with_inverse(df: DataFrame, m: str, out: str) -> DataFrame:
+    """H2: ``df`` with ``out``, the inverse of the pose in column ``m``, as affine_inverse gives it.
+
+    Each step is plain columns over those of the step before, so that all of it
+    becomes generated code.
+    """
+    at = lambda i: F.col(f"__m{i}")
+    a, b, c, d, e, f, g, h, i = (at(4 * r + k) for r in range(3) for k in range(3))
+    adjugate = [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+    rows = df.withColumns({f"__m{k}": _at(F.col(m), k) for k in range(12)})
+    rows = rows.withColumn("__det", a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g))
+    rows = rows.withColumns({f"__i{k}": F.when(F.col("__det") != 0, x / F.col("__det")) for k, x in enumerate(adjugate)})
+    linear = [[F.col(f"__i{3 * r + k}") for k in range(3)] for r in range(3)]
+    last = [F.lit(float(v)) for v in (0, 0, 0, 1)]
+    whole = F.array(*(x for row in linear for x in (*row, -(row[0] * at(3) + row[1] * at(7) + row[2] * at(11)))), *last)
+    return rows.withColumn(out, F.when(F.col("__det") != 0, whole)).drop("__det", *(f"__m{k}" for k in range(12)), *(f"__i{k}" for k in range(9)))
+
+
 def apply_pose(m: Column, xyz: Column) -> Column:
     """H3: a point of the pose's frame in the outer frame."""
     return F.array(*(_at(m, 4 * r) * _at(xyz, 0) + _at(m, 4 * r + 1) * _at(xyz, 1) + _at(m, 4 * r + 2) * _at(xyz, 2) + _at(m, 4 * r + 3) for r in range(3)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.functions import trees
+
 # The suffix of an archive name, and the clip suffixes of an episode name.
 ARCHIVE_SUFFIX = r"_L\d+_nf\d+_res\d+_new\d+_s\d+of\d+"
 CLIP_SUFFIX = r"[-_](?:clip|chunk|part|segment|window)\d+|[-_]frames?\d+(?:[-_]\d+)?"
@@ -156,6 +158,14 @@ def is_host_path(value: Column) -> Column:
     return F.coalesce(F.rlike(value, F.lit(r"^(?:/|\\\\|[A-Za-z]:[\\/]|file://)")), F.lit(False))
 
 
+def host_paths(df: DataFrame, column: str, root: str = "$", depth: int = trees.DEPTH) -> DataFrame:
+    """``df`` without ``column``, a nested JSON record, with path and value of each string in it that is a path of one machine.
+
+    Strings are looked for at any level, in lists and objects; names aren't.
+    """
+    return trees.walk(df, column, root, depth).filter((F.col("kind") == "string") & is_host_path(F.col("value"))).drop("parent", "kind")
+
+
 def portable_ref(value: Column, root: str) -> Column:
     """The path below ``root``, else its last part; empty stays empty."""
     prefix = root.rstrip("/") + "/"

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.sources.shared import width
+
+#: Joints of a query at most.
+JOINTS = 10_000
+
 
 def pair_episodes(left: DataFrame, right: DataFrame, keys: list[str], existing: DataFrame | None = None) -> DataFrame:
     """Rows of both sides with the same keys, if ``existing`` has them too; the rest goes without a word (see unmatched)."""
@@ -42,14 +47,18 @@ def priority_lookup(df: DataFrame, index: DataFrame, candidates: str, stem: str,
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, first: int = 20) -> DataFrame:
-    """C4: side, key, n: the first keys that only one side has, and how many there are."""
-    def only(a: DataFrame, b: DataFrame, side: str) -> DataFrame:
-        gone = a.select(key).distinct().join(b.select(key).distinct(), key, "left_anti")
-        shown = gone.orderBy(key).limit(first)
-        # One row for each of the few keys that are shown, with the number of all.
-        return shown.select(F.lit(side).alias("side"), key, F.lit(gone.count()).cast("long").alias("n"))
+    """C4: side, key, n: the first keys that only one side has, and how many there are.
 
-    return only(left, right, "left").unionByName(only(right, left, "right"))
+    One pass: keys of both sides meet once, each task keeps the first keys of
+    its part and how many it has, and those meet by side. Null isn't a key.
+    """
+    both = left.select(key, F.lit("left").alias("side")).unionByName(right.select(key, F.lit("right").alias("side"))).filter(F.col(key).isNotNull())
+    one = both.groupBy(key).agg(F.min("side").alias("side"), F.max("side").alias("__high")).filter(F.col("side") == F.col("__high")).drop("__high")
+    one = one.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(width(left.sparkSession))))
+    part, side = Window.partitionBy("side", "__part"), Window.partitionBy("side")
+    shown = one.withColumns({"__nth": F.row_number().over(part.orderBy(key)), "__n": F.count("*").over(part)}).filter(F.col("__nth") <= first)
+    shown = shown.withColumns({"n": F.sum(F.when(F.col("__nth") == 1, F.col("__n"))).over(side), "__nth": F.row_number().over(side.orderBy(key))})
+    return shown.filter(F.col("__nth") <= first).select("side", key, F.col("n").cast("long").alias("n"))
 
 
 def merge_pose_sources(sources: DataFrame, mapping: DataFrame, by: list[str]) -> DataFrame:
@@ -60,15 +69,18 @@ def merge_pose_sources(sources: DataFrame, mapping: DataFrame, by: list[str]) ->
     the last. A joint without any source is missing.
     """
     nth = F.when(F.col("kind") == "hand", -F.col("nth")).otherwise(F.col("nth"))
-    ranked = sources.join(F.broadcast(mapping), "source_joint")
+    ranked = sources.join(mapping, "source_joint")
     best = ranked.groupBy(*by, "joint").agg(F.min_by("xyz", F.struct("rank", (F.col("kind") == "body").cast("int"), nth)).alias("xyz"))
     return best
 
 
 def fill_forearms(found: DataFrame, joints: DataFrame, by: list[str], fallbacks: DataFrame) -> DataFrame:
     """Every joint for every ``by``: its own point, else of ``fallbacks(joint, other, rank)`` the best there is, else zeros."""
-    wanted = found.select(*by).distinct().withColumn("joint", F.explode(F.array(*(F.lit(r[0]) for r in joints.select("joint").collect()))))
-    other = found.select(*by, F.col("joint").alias("other"), F.col("xyz").alias("o")).join(F.broadcast(fallbacks), "other").groupBy(*by, "joint").agg(F.min_by("o", "rank").alias("o"))
+    names = [r[0] for r in joints.select("joint").limit(JOINTS + 1).collect()]
+    if len(names) > JOINTS:
+        raise ValueError(f"over {JOINTS} joints")
+    wanted = found.select(*by).distinct().withColumn("joint", F.explode(F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")))
+    other = found.select(*by, F.col("joint").alias("other"), F.col("xyz").alias("o")).join(fallbacks, "other").groupBy(*by, "joint").agg(F.min_by("o", "rank").alias("o"))
     return wanted.join(found, [*by, "joint"], "left").join(other, [*by, "joint"], "left").withColumn("xyz", F.coalesce("xyz", "o", F.array(*(F.lit(0.0),) * 3))).drop("o")
 
 

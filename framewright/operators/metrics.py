@@ -18,7 +18,15 @@ EXACT_UPTO = 1_000_000
 
 
 def digest_of_set(df: DataFrame, line: Column, method: str = "additive") -> DataFrame:
-    """D3: digest, n and method of all distinct lines. The caller names the method: exact holds all lines in one task, additive takes any number."""
+    """D3: digest, n and method of all distinct lines.
+
+    The caller names the method. ``exact`` holds all lines in one task;
+    ``additive`` takes any number, but sums can be made to meet; ``tree`` takes
+    any number and is as hard to forge as SHA-256 (see digest_tree).
+    """
+    if method == "tree":
+        root = digest_tree(df, line).filter("level = 0").agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+        return root.select("digest", "n", F.lit(method).alias("method"))
     lines = df.select(line.alias("line")).distinct()
     if method == "exact":
         if (n := lines.count()) > EXACT_UPTO:
@@ -31,6 +39,64 @@ def digest_of_set(df: DataFrame, line: Column, method: str = "additive") -> Data
     return lines.agg(digest.alias("digest"), F.count("*").alias("n"), F.lit(method).alias("method"))
 
 
+#: Hex digits of a line's digest that name its leaf in a tree of digests.
+TREE_DEPTH = 4
+
+
+def _leaves(df: DataFrame, line: Column, depth: int) -> DataFrame:
+    """prefix, digest and n of the leaves: lines are known by their digests, of which a leaf's are hashed in order."""
+    each = df.select(F.sha2(line, 256).alias("line")).filter("line is not null").distinct()
+    prefix = F.substring("line", 1, depth)
+    return each.groupBy(prefix.alias("prefix")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("digest"), F.count("*").alias("n"))
+
+
+def _parents(nodes: DataFrame, level: int) -> DataFrame:
+    """The nodes of ``level`` above those of the next: of up to 16 children, digit and digest, in order."""
+    child = F.concat(F.substring("prefix", level + 1, 1), F.col("digest"))
+    return nodes.groupBy(F.substring("prefix", 1, level).alias("prefix")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(child)), ""), 256).alias("digest"), F.sum("n").alias("n"))
+
+
+def digest_tree(df: DataFrame, line: Column, depth: int = TREE_DEPTH) -> DataFrame:
+    """D3: level, prefix, digest and n of the nodes of a tree of digests over the distinct lines; the root has level 0, null is no line.
+
+    A line stands in the leaf that the first ``depth`` hex digits of its SHA-256
+    name, so leaves are alike in size, whatever the lines, and equal sets have
+    equal trees however they are partitioned. 16 ** depth leaves of some
+    thousand lines each are far from a task's memory.
+    """
+    nodes = _leaves(df, line, depth)
+    tree = nodes.withColumn("level", F.lit(depth))
+    for level in range(depth - 1, -1, -1):
+        nodes = _parents(nodes, level)
+        tree = tree.unionByName(nodes.withColumn("level", F.lit(level)))
+    return tree.select("level", "prefix", "digest", "n")
+
+
+def update_tree(tree: DataFrame, df: DataFrame, line: Column, changed: DataFrame, changed_line: Column, depth: int = TREE_DEPTH) -> DataFrame:
+    """D3: the tree of ``df`` from the one it had before lines in ``changed`` came or went, and ``rehashed``: whether a node was worked out anew.
+
+    Of ``df`` only the lines of leaves that changed are hashed into leaves, and
+    of the nodes above only those on their paths. ``tree`` is read again for
+    each level: store it before.
+    """
+    touched = changed.select(F.substring(F.sha2(changed_line, 256), 1, depth).alias("prefix")).filter("prefix is not null").distinct()
+    own = df.withColumn("__prefix", F.substring(F.sha2(line, 256), 1, depth)).join(touched.withColumnRenamed("prefix", "__prefix"), "__prefix", "left_semi")
+    nodes = _leaves(own, line, depth)
+    out = []
+    for level in range(depth, -1, -1):
+        at = tree.filter(F.col("level") == level).select("prefix", "digest", "n")
+        old = at.join(touched, "prefix", "left_anti")
+        out.append(old.withColumn("rehashed", F.lit(False)).unionByName(nodes.withColumn("rehashed", F.lit(True))).withColumn("level", F.lit(level)))
+        if level:
+            touched = touched.select(F.substring("prefix", 1, level - 1).alias("prefix")).distinct()
+            around = old.withColumn("__up", F.substring("prefix", 1, level - 1)).join(touched.withColumnRenamed("prefix", "__up"), "__up", "left_semi").drop("__up")
+            nodes = _parents(around.unionByName(nodes), level - 1)
+    tree = out[0]
+    for more in out[1:]:
+        tree = tree.unionByName(more)
+    return tree.select("level", "prefix", "digest", "n", "rehashed")
+
+
 def single_valued(df: DataFrame, columns: list[str]) -> DataFrame:
     """Column, n_values and ok (exactly one value; null is a value, and no row is a failure)."""
     row = df.agg(*((F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in columns))

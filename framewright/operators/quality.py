@@ -6,10 +6,10 @@ if all is well; ``strict`` makes a table with any reason an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions import arrays, digests, geometry, paths
+from framewright.functions import arrays, digests, geometry, paths, trees
 from framewright.operators import metrics
 
 
@@ -102,8 +102,8 @@ def audit_pairs(pairs: DataFrame, inventory: DataFrame, expected: dict[str, int]
     are reasons of rows of their own with a null sample_id.
     """
     files = inventory.select(F.col("relpath").alias("supervision_relpath"), F.col("size").alias("__size"), F.lit(True).alias("__there"))
-    same = Window.partitionBy("digest")
-    rows = pairs.join(files, "supervision_relpath", "left").withColumn("__k", F.count("*").over(same))
+    twice = pairs.groupBy(F.col("digest").alias("__d")).agg(F.count("*").alias("__k")).filter("__k > 1")
+    rows = pairs.join(files, "supervision_relpath", "left").join(twice, F.col("digest").eqNullSafe(F.col("__d")), "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
     stem = lambda c: paths.without_suffix(F.regexp_replace(c, "^[^/]+/", ""))
     rows = with_reasons(rows, {
         "unsafe path": ~paths.is_safe_relpath(F.col("feature_relpath")) | ~paths.is_safe_relpath(F.col("supervision_relpath")),
@@ -113,7 +113,7 @@ def audit_pairs(pairs: DataFrame, inventory: DataFrame, expected: dict[str, int]
         "digest is not SHA-256": ~paths.is_sha256(F.col("digest")),
         "file is missing": F.col("__there").isNull(),
         "size differs": F.col("__there").isNotNull() & ~F.col("__size").eqNullSafe(F.col("size")),
-    }).drop("__size", "__there", "__k")
+    }).drop("__size", "__there", "__k", "__d")
     stray = inventory.join(pairs.select(F.col("supervision_relpath").alias("relpath")), "relpath", "left_anti").select(F.array(F.concat(F.lit("file without a pair: "), "relpath")).alias("reasons"))
     wanted = pairs.sparkSession.createDataFrame(list(expected.items()), "split string, __n long")
     counts = wanted.join(pairs.groupBy("split").count(), "split", "left").filter(~F.col("__n").eqNullSafe(F.coalesce("count", F.lit(0)))).select("split", F.array(F.lit("count differs")).alias("reasons"))
@@ -149,19 +149,27 @@ def audit_records(pairs: DataFrame, features: DataFrame, stated: dict[str, str],
     }).drop("__size")
 
 
-def audit_identities(pairs: DataFrame, stated: dict[str, str]) -> DataFrame:
+def audit_identities(pairs: DataFrame, stated: dict[str, str], method: str = "exact") -> DataFrame:
     """Name, stated, found and ok of the digests that stand for whole sets.
 
     content is that of all supervision digests in order, train and test those
-    of the splits' feature paths, a line each, in order. Digests are exact, so
-    that they equal what a file's writer computed (see metrics.EXACT_UPTO).
+    of the splits' feature paths, a line each, in order. Exact digests equal
+    what a file's writer computed (see metrics.EXACT_UPTO); ``tree`` ones are
+    those of D3's trees, over any number of pairs.
     """
+    if method == "tree":
+        lines = {"content": (pairs, F.col("hdf5_sha256")), **{split: (pairs.filter(F.col("split") == split), F.col("feature_relpath")) for split in ("train", "test")}}
+        parts = [metrics.digest_of_set(df, line, "tree").select(F.lit(name).alias("name"), F.col("digest").alias("found")) for name, (df, line) in lines.items()]
+        return _identities(parts[0].unionByName(parts[1]).unionByName(parts[2]), stated)
     if (n := pairs.count()) > metrics.EXACT_UPTO:
         raise ValueError(f"exact digests take {metrics.EXACT_UPTO} pairs, not {n}")
     of = lambda split: F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(F.col("split") == split, F.concat("feature_relpath", F.lit("\n"))))), ""), 256)
     found = pairs.agg(F.sha2(json_list(F.array_sort(F.collect_list("hdf5_sha256")), True), 256).alias("content"), of("train").alias("train"), of("test").alias("test"))
-    rows = found.unpivot([], ["content", "train", "test"], "name", "found")
-    wanted = F.create_map(*(F.lit(x) for kv in stated.items() for x in kv))[F.col("name")]
+    return _identities(found.unpivot([], ["content", "train", "test"], "name", "found"), stated)
+
+
+def _identities(rows: DataFrame, stated: dict[str, str]) -> DataFrame:
+    wanted = F.create_map(*(F.lit(x) for kv in stated.items() for x in kv))[F.col("name")] if stated else F.lit(None).cast("string")
     return rows.select("name", wanted.alias("stated"), "found", wanted.eqNullSafe(F.col("found")).alias("ok"))
 
 
@@ -189,6 +197,23 @@ def compare_contract(report: DataFrame, current: DataFrame, key: str, columns: l
     return both.filter(~same).select(key, "field", "reported", "found")
 
 
+def compare_records(report: DataFrame, current: DataFrame, key: str, column: str = "record", depth: int = trees.DEPTH) -> DataFrame:
+    """I4: key, path, difference, reported and found (kinds and values) of every place where two nested JSON records differ.
+
+    The difference is ``value``, ``kind`` (1 and "1" differ, 1 and 1.0 don't),
+    ``missing`` (reported only) or ``extra`` (found only). Of a subtree that one
+    side lacks, or that has another kind, its highest node stands for all. A
+    record that one side lacks is its root. Keys are distinct on each side.
+    """
+    sides = [trees.walk(d.select(key, column), column, depth=depth).select(key, "path", "parent", F.struct("kind", "value").alias(name)) for d, name in ((report, "reported"), (current, "found"))]
+    both = sides[0].join(sides[1].withColumnRenamed("parent", "__parent"), [key, "path"], "full_outer").withColumn("parent", F.coalesce("parent", "__parent")).drop("__parent")
+    difference = F.when(F.col("found").isNull(), "missing").when(F.col("reported").isNull(), "extra").when(F.col("reported.kind") != F.col("found.kind"), "kind").when(~F.col("reported.value").eqNullSafe(F.col("found.value")), "value")
+    differ = both.withColumn("difference", difference).filter("difference is not null")
+    above = differ.filter("difference <> 'value'").select(F.col(key).alias("__key"), F.col("path").alias("__path"))
+    highest = differ.join(above, (F.col(key) == F.col("__key")) & (F.col("parent") == F.col("__path")), "left_anti")
+    return highest.select(key, "path", "difference", F.col("reported.kind").alias("reported_kind"), F.col("reported.value").alias("reported"), F.col("found.kind").alias("found_kind"), F.col("found.value").alias("found"))
+
+
 def run_identity(df: DataFrame, settings: list[str]) -> DataFrame:
     """``df`` with the digest of the settings that define its run."""
     return df.withColumn("identity", digests.json_digest({s: F.col(s) for s in settings}))

@@ -25,13 +25,28 @@ def global_rank(df: DataFrame, order: list[Column], bucket: Column, out: str = "
     return df.withColumn("__in", inside).join(starts, df["__bucket"].eqNullSafe(starts["__bucket"])).withColumn(out, (F.col("__start") + F.col("__in")).cast("long")).drop("__bucket", "__start", "__in")
 
 
-def number_bucket(df: DataFrame, column: str, buckets: int = 64) -> Column:
-    """Buckets of about equal size for the natural order of a number: boundaries are read once and then literals."""
-    cuts = df.select(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+#: Rows that a bucket of numbers is to hold.
+BUCKET_ROWS = 1_000_000
+
+
+def number_bucket(df: DataFrame, column: str, cuts: int = 64) -> Column:
+    """Buckets of about ``BUCKET_ROWS`` rows for the natural order of a number, as many as the table needs.
+
+    One aggregate reads the count and ``cuts`` even quantiles, which become
+    literals; between two quantiles buckets are of even width.
+    """
+    row = df.agg(F.count(column), F.min(column), F.max(column), F.percentile_approx(column, [i / cuts for i in range(1, cuts)], 1000)).first()
+    inner = sorted(set(row[3] or []))
+    edges = [row[1], *inner, row[2]]
     bucket = F.lit(0)
-    for cut in sorted(set(cuts)):
+    for cut in inner:
         bucket = bucket + (F.col(column) > F.lit(cut)).cast("int")
-    return bucket
+    steps = max(1, -(-row[0] // (cuts * BUCKET_ROWS)))
+    if steps == 1:
+        return bucket
+    low, high = (F.get(F.array(*(F.lit(e).cast("double") for e in edges)), bucket + k) for k in (0, 1))
+    step = F.floor(F.coalesce(F.try_divide((F.col(column).cast("double") - low) * steps, high - low), F.lit(0.0)))
+    return bucket * F.lit(steps).cast("long") + F.greatest(F.lit(0), F.least(step, F.lit(steps - 1)))
 
 
 def seeded_rank(df: DataFrame, key: str, seed: int, out: str = "position") -> DataFrame:
@@ -73,22 +88,31 @@ def group_split(df: DataFrame, group: str, ratio: float, seed: int) -> DataFrame
     The target is clamped to leave both sides a row; the last group is never
     in train; of equally near cuts the smaller one is taken.
     """
-    groups = df.groupBy(group).agg(F.count("*").alias("n"))
-    facts = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    if facts["groups"] < 2:
-        raise ValueError("a split needs two groups")
-    target = max(1, min(int(facts["rows"] * ratio), facts["rows"] - 1))
-    # Groups are summed inside a bucket of their key; a bucket's start comes from the 4096 buckets' sums.
-    seeded = groups.withColumn("__k", seeded_key(F.col(group), seed)).withColumn("__bucket", F.substring("__k", 1, 3))
-    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = seeded.groupBy("__bucket").agg(F.sum("n").alias("rows"), F.count("*").alias("groups"))
-    starts = sums.select("__bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("__rows"), F.coalesce(F.sum("groups").over(earlier), F.lit(0)).alias("__groups"))
-    up_to = Window.partitionBy("__bucket").orderBy("__k", group).rowsBetween(Window.unboundedPreceding, 0)
-    inside = seeded.withColumns({"__cut": F.sum("n").over(up_to), "__nth": F.count("*").over(up_to)}).join(starts, "__bucket")
-    placed = inside.select(group, (F.col("__cut") + F.col("__rows")).alias("cut"), (F.col("__nth") + F.col("__groups")).alias("nth"))
-    best = placed.filter(F.col("nth") < facts["groups"]).agg(F.min_by("nth", F.struct(F.abs(F.col("cut") - target), F.col("nth")))).first()[0]
-    labels = placed.select(F.col(group).alias("__g"), F.when(F.col("nth") <= best, "train").otherwise("test").alias("split"))
-    return df.join(labels, df[group].eqNullSafe(labels["__g"])).drop("__g")
+    key = F.coalesce(seeded_key(F.col(group), seed), F.lit(""))
+    groups = df.groupBy(group).agg(F.count("*").alias("n")).select(key.alias("key"), "n").withColumn("bucket", F.substring("key", 1, 3)).persist()
+    try:
+        # Down to the bucket in which the target falls, by the sums of 4096 of them; only its groups are sorted.
+        sums = sorted(groups.groupBy("bucket").agg(F.sum("n"), F.count("*")).collect())
+        if sum(s[2] for s in sums) < 2:
+            raise ValueError("a split needs two groups")
+        total = sum(s[1] for s in sums)
+        target = max(1, min(int(total * ratio), total - 1))
+        before = 0
+        for bucket, rows, _ in sums:
+            if before + rows >= target:
+                break
+            before += rows
+        cut = F.sum("n").over(Window.partitionBy("bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
+        # The last of all groups has the cut ``total``; the end of the bucket before is a cut, too.
+        inside = groups.filter(F.col("bucket") == bucket).select("key", cut.alias("cut")).filter(F.col("cut") < total)
+        best = inside.agg(F.min(F.struct(F.abs(F.col("cut") - target).alias("off"), "cut", "key"))).first()[0]
+    finally:
+        groups.unpersist()
+    if best is None or before and target - before <= best["off"]:
+        train = F.substring(key, 1, 3) < bucket
+    else:
+        train = key <= best["key"]
+    return df.withColumn("split", F.when(train, "train").otherwise("test"))
 
 
 def split_bounds(total: int, bounds: tuple | None = None, ratio: float = 0.9) -> tuple[int, int]:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions import arrays, geometry
+from framewright.operators import scans
 
 
 def number_frames(df: DataFrame, episode: str, order: list[str], out: str = "t") -> DataFrame:
-    """Each row's frame number from 0 in its episode; ``order`` has to be total."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(episode).orderBy(*order)) - 1).cast("long"))
+    """Each row's frame number from 0 in its episode, however long; ``order`` has to be total."""
+    return scans.numbered(df, episode, order, out)
 
 
 def episode_lengths(frames: DataFrame, episode: str = "episode_id", readable: Column | None = None) -> DataFrame:
@@ -68,38 +69,35 @@ def nearest_match(targets: DataFrame, sources: DataFrame, by: str, key: str, val
 
     Keys count as float32. Before the first and after the last source row the
     end is taken. Source rows of equal key are ordered by ``tie``: the first
-    serves keys from below and the exact hit, the last those from above. One
-    shuffle of both tables; the look ahead is a look back in the reverse order,
-    so every frame grows by one row at a time.
+    serves keys from below and the exact hit, the last those from above. Both
+    sides are reduced to distinct keys before any row is ordered, so rows of
+    one key meet in partial aggregates only, and an episode of any length is
+    scanned in ranges. Targets of a ``by`` without sources have no row.
     """
     number = lambda c: F.col(c).cast("float").cast("double")
     packed = F.struct(number(key).alias("k"), *(F.col(v) for v in values))
-    s = sources.select(F.col(by).alias("__by"), number(key).alias("__k"), F.lit(0).alias("__kind"), F.col(tie).alias("__tie"), packed.alias("__source"))
-    t = targets.select(F.col(by).alias("__by"), number(key).alias("__k"), F.lit(1).alias("__kind"), F.struct(*targets.columns).alias("__target"))
-    rows = s.unionByName(t, allowMissingColumns=True)
-    w = Window.partitionBy("__by").orderBy("__k", "__kind", "__tie")
-    # A target stands after the sources of its own key: looking back it takes the last, looking on the next key's first.
-    back = Window.partitionBy("__by").orderBy(F.desc("__k"), F.desc("__kind"), F.desc("__tie")).rowsBetween(Window.unboundedPreceding, 0)
-    exact = F.first("__source", ignorenulls=True).over(Window.partitionBy("__by", "__k").orderBy("__kind", "__tie").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"__left": F.last("__source", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__right": F.last("__source", ignorenulls=True).over(back), "__same": exact})
-    rows = rows.filter("__kind = 1")
-    right = F.coalesce("__same", "__right", "__left")
-    left = F.coalesce("__left", "__right")
+    s = sources.select(F.col(by).alias("__by"), number(key).alias("__k"), packed.alias("__source"), F.struct(F.col(tie), packed).alias("__tie"))
+    ends = s.groupBy("__by", "__k").agg(F.min_by("__source", "__tie").alias("__low"), F.max_by("__source", "__tie").alias("__high"), F.lit(False).alias("__wanted"))
+    asked = targets.select(F.col(by).alias("__by"), number(key).alias("__k")).distinct().withColumns({"__low": F.lit(None).cast(ends.schema["__low"].dataType), "__high": F.lit(None).cast(ends.schema["__high"].dataType), "__wanted": F.lit(True)})
+    points = ends.unionByName(asked).groupBy("__by", "__k").agg(F.first("__low", ignorenulls=True).alias("__low"), F.first("__high", ignorenulls=True).alias("__high"), F.bool_or("__wanted").alias("__wanted"))
+    found = scans.neighbours(points, "__by", "__k", "__low", "__high").filter("__wanted")
+    right, left = F.coalesce("__low", "right", "left"), F.coalesce("left", "right")
     best = F.when(F.abs(right["k"] - F.col("__k")) <= F.abs(left["k"] - F.col("__k")), right).otherwise(left)
-    return rows.withColumn("__best", best).filter("__best is not null").select("__target.*", F.col("__best.k").alias("match_key"), *(F.col(f"__best.{v}").alias(f"match_{v}") for v in values))
+    found = found.select("__by", F.col("__k").alias("__of"), best.alias("__best")).filter("__best is not null")
+    rows = targets.withColumn("__k", number(key)).join(found, scans.same(F.col(by), F.col("__by")) & scans.same(F.col("__k"), F.col("__of")))
+    return rows.select(*(F.col(f"`{c}`") for c in targets.columns), F.col("__best.k").alias("match_key"), *(F.col(f"__best.{v}").alias(f"match_{v}") for v in values))
 
 
 def to_camera_frame(poses: DataFrame, cameras: DataFrame) -> DataFrame:
     """poses(episode_id, frame_idx, joint, m) in the frame of cameras(episode_id, frame_idx, ext); null where a camera is singular."""
-    both = poses.join(cameras.select("episode_id", "frame_idx", "ext"), ["episode_id", "frame_idx"])
-    return both.withColumn("m", geometry.let(geometry.affine_inverse(F.col("ext")), lambda inverse: geometry.compose(inverse, F.col("m")))).drop("ext")
+    inverted = geometry.with_inverse(cameras.select("episode_id", "frame_idx", "ext"), "ext", "ext")
+    return poses.join(inverted, ["episode_id", "frame_idx"]).withColumn("m", F.when(F.col("ext").isNotNull(), geometry.compose(F.col("ext"), F.col("m")))).drop("ext")
 
 
 def uniform_resample(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """``n`` even rows of each sequence with their new place pos; one of ``n`` rows passes as it is."""
-    rows = number_frames(df, by, order, "__t").withColumn("__n", F.count("*").over(Window.partitionBy(by)))
-    wanted = rows.groupBy(by).agg(F.max("__n").alias("__n")).select(by, F.posexplode(arrays.uniform_positions(F.col("__n"), n)).alias("pos", "__t"))
-    return wanted.join(rows.drop("__n"), [by, "__t"]).drop("__t")
+    wanted = df.groupBy(by).agg(F.count("*").alias("__n")).select(by, F.posexplode(arrays.uniform_positions(F.col("__n"), n)).alias("pos", "__t"))
+    return wanted.join(number_frames(df, by, order, "__t"), [by, "__t"]).drop("__t")
 
 
 def temporal_stride(df: DataFrame, step: int, t: str = "t") -> DataFrame:
@@ -127,39 +125,52 @@ def frame_times(df: DataFrame, by: str, order: list[str], start: Column, end: Co
     Where an episode spans no time, times are frame numbers over ``fps``.
     """
     rate = max(fps, 1.0)
-    w = Window.partitionBy(by)
     rows = number_frames(df, by, order, "__t").withColumns({"__c": (start + end) / 2, "__s": start, "__e": end})
-    rows = rows.withColumns({"__n": F.count("*").over(w), "__from": F.min_by("__s", "__t").over(w), "__to": F.max_by("__e", "__t").over(w), "__last": F.lag("__c").over(w.orderBy("__t"))})
-    rows = rows.withColumn("__bad", F.max(F.coalesce(~arrays.finite(F.col("__c")) | (F.col("__c") < F.col("__last")), F.lit(False))).over(w))
+    # A frame meets the one before it by its number, and its episode in sums, so no task needs a whole episode.
+    last = rows.select(F.col(by).alias("__by"), (F.col("__t") + 1).alias("__after"), F.col("__c").alias("__last"))
+    rows = rows.join(last, scans.same(F.col(by), F.col("__by")) & (F.col("__t") == F.col("__after")), "left").drop("__by", "__after")
+    bad = F.coalesce(~arrays.finite(F.col("__c")) | (F.col("__c") < F.col("__last")), F.lit(False))
+    facts = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"), F.min_by("__s", "__t").alias("__from"), F.max_by("__e", "__t").alias("__to"), F.max(bad).alias("__bad"))
     flat = ~arrays.finite(F.col("__from")) | ~arrays.finite(F.col("__to")) | (F.col("__to") <= F.col("__from"))
-    rows = rows.withColumn("centre", F.when(flat, F.col("__t") / rate).otherwise(F.col("__c")))
+    facts = facts.withColumn("__flat", F.coalesce(flat, F.lit(True)))
+    rows = rows.join(facts, scans.same(F.col(by), F.col("__by"))).drop("__by")
+    rows = rows.withColumn("centre", F.when(F.col("__flat"), F.col("__t") / rate).otherwise(F.col("__c")))
     half = F.floor(F.col("__n") / 2)
-    near = F.when((F.col("__t") == half - 1) | (F.col("__t") == half), F.col("centre"))
-    rows = rows.withColumns({"boundary": F.avg(near).over(w), "reason": F.when(F.col("__bad"), "times are not finite and rising")})
-    return rows.drop("__t", "__c", "__s", "__e", "__n", "__from", "__to", "__last", "__bad")
+    middle = rows.filter((F.col("__t") == half - 1) | (F.col("__t") == half)).groupBy(F.col(by).alias("__by")).agg(F.avg("centre").alias("boundary"))
+    rows = rows.join(middle, scans.same(F.col(by), F.col("__by")), "left").withColumn("reason", F.when(F.col("__bad"), "times are not finite and rising"))
+    return rows.select(*df.columns, "centre", "boundary", "reason")
 
 
-def select_best(epochs: DataFrame, epoch: str, score: str, policy: str = "best") -> DataFrame:
-    """``epochs`` with improved (strictly under every score before it) and chosen (the last improved, or with ``last`` the last).
+def select_best(epochs: DataFrame, epoch: str, score: str, policy: str = "best", by: str | None = None) -> DataFrame:
+    """``epochs`` with improved (strictly under every score before it) and chosen (the last improved, or with ``last`` the last), for each run ``by``.
 
     NaN and null never improve; ties keep the earlier epoch. ``validation`` is
-    the same as ``best``. A log has a row for each epoch: one window orders it.
+    the same as ``best``. Without ``by`` all rows are one run. Runs of any
+    number and length: the least score so far is scanned in ranges.
     """
     if policy not in ("best", "validation", "last"):
         raise ValueError(f"unknown policy {policy!r}")
+    run = by or "__run"
+    rows = epochs if by else epochs.withColumn(run, F.lit(0))
     value = F.when(~F.isnan(F.col(score)), F.col(score))
-    before = F.min(value).over(Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1))
-    rows = epochs.withColumn("improved", F.coalesce(value < F.coalesce(before, F.lit(float("inf"))), F.lit(False)))
-    whole = Window.partitionBy(F.lit(0))
-    last = F.max(F.col(epoch) if policy == "last" else F.when(F.col("improved"), F.col(epoch))).over(whole)
-    return rows.withColumn("chosen", F.coalesce(F.col(epoch) == last, F.lit(False)))
+    rows = scans.least_before(rows, run, epoch, value, "__before")
+    rows = rows.withColumn("improved", F.coalesce(value < F.coalesce("__before", F.lit(float("inf"))), F.lit(False)))
+    last = rows.groupBy(F.col(run).alias("__of")).agg(F.max(F.col(epoch) if policy == "last" else F.when(F.col("improved"), F.col(epoch))).alias("__chosen"))
+    rows = rows.join(last, scans.same(F.col(run), F.col("__of")))
+    return rows.select(*epochs.columns, "improved", F.coalesce(F.col(epoch) == F.col("__chosen"), F.lit(False)).alias("chosen"))
 
 
 def audit_epoch_log(epochs: DataFrame, by: str, epoch: str, order: str, expected: Column | None = None) -> DataFrame:
-    """For each log whether its epochs are positive and strictly rising, its last (0 if it has none), and whether that is the expected one."""
+    """For each log whether its epochs are positive and strictly rising, its last (0 if it has none), and whether that is the expected one.
+
+    ``order`` is a distinct number in each log. A row meets the one before it
+    by its place, so a log of any length is spread over tasks.
+    """
     e = F.col(epoch).try_cast("long")
-    rising = e > F.coalesce(F.lag(e).over(Window.partitionBy(by).orderBy(order)), F.lit(0))
-    rows = epochs.withColumns({"__e": e, "__ok": F.coalesce(rising, F.lit(False)), "__x": expected if expected is not None else F.lit(None).cast("long")})
+    rows = number_frames(epochs.select(by, order, e.alias("__e"), (expected if expected is not None else F.lit(None).cast("long")).alias("__x")), by, [order], "__t")
+    before = rows.select(F.col(by).alias("__by"), (F.col("__t") + 1).alias("__after"), F.col("__e").alias("__last"))
+    rows = rows.join(before, scans.same(F.col(by), F.col("__by")) & (F.col("__t") == F.col("__after")), "left").drop("__by", "__after")
+    rows = rows.withColumn("__ok", F.coalesce(F.col("__e") > F.coalesce("__last", F.lit(0)), F.lit(False)))
     out = rows.groupBy(by).agg(F.bool_and("__ok").alias("rising"), F.coalesce(F.max("__e"), F.lit(0)).alias("last_epoch"), F.max("__x").alias("__x"))
     return out.withColumn("ends_as_expected", F.col("__x").isNull() | (F.col("__x") == F.col("last_epoch"))).drop("__x")
 
@@ -172,15 +183,31 @@ def visible_segments(points: DataFrame, chain: DataFrame, by: list[str], width:
     return both.filter(seen("a") | seen("b"))
 
 
-def camera_per_frame(cameras: DataFrame, lengths: DataFrame, by: str, n: int, static: DataFrame | None = None) -> DataFrame:
-    """One inverted ``ext`` for each of ``n`` frames: a dynamic camera of ``n`` rows as it is, another by nearest frame id, without any the static one."""
-    count = cameras.groupBy(by).agg(F.count("*").alias("__n"))
-    tagged = cameras.join(count, by)
-    same = number_frames(tagged.filter(F.col("__n") == n), by, ["frame_id"], "pos").select(by, F.col("pos").cast("int").alias("pos"), "ext")
-    wanted = lengths.join(count.filter(F.col("__n") != n), by).select(by, F.posexplode(arrays.target_positions(n, F.col("n_frames"))).alias("pos", "frame_id"))
-    near = nearest_match(wanted, tagged.filter(F.col("__n") != n), by, "frame_id", ["ext"], "frame_id").select(by, "pos", F.col("match_ext").alias("ext"))
-    out = same.unionByName(near)
+def camera_per_frame(cameras: DataFrame, lengths: DataFrame, by: str, n: int, static: DataFrame | None = None, value: str = "ext", invert: bool = True, place: str = "place") -> DataFrame:
+    """By, pos and ``value``, a camera matrix for each of ``n`` frames of an episode.
+
+    ``cameras(by, place, frame_id, value)`` are the dynamic ones: with ``n`` rows
+    they are taken as they are; another number is matched by the nearest frame
+    id, if all rows have one, or else thinned out evenly by place. Frames are
+    even over ``lengths(by, n_frames)``; without a length over two frames or
+    more, from the first to the last known id; else 0 to n - 1. An episode
+    without dynamic rows has the one of ``static(by, value)`` in every frame.
+    Extrinsics are 12 or 16 values and are inverted; for intrinsics, say
+    ``invert=False``: any number of values, as they are.
+    """
+    rows = cameras.select(by, place, F.col("frame_id").cast("double").alias("frame_id"), value)
+    facts = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"), (F.count("frame_id") == F.count("*")).alias("__ids"), F.min_by("frame_id", place).alias("__low"), F.max_by("frame_id", place).alias("__high"))
+    facts = facts.join(lengths.select(F.col(by).alias("__of"), "n_frames"), F.col("__by") == F.col("__of"), "left").drop("__of")
+    branch = lambda which: rows.join(facts.filter(which), F.col(by) == F.col("__by")).drop("__by")
+    same, ids = F.col("__n") == n, F.col("__ids")
+    taken = number_frames(branch(same), by, [place], "pos").select(by, F.col("pos").cast("int").alias("pos"), value)
+    known = F.col("__n") >= 2
+    places = arrays.target_positions(n, F.coalesce("n_frames", F.lit(0)), F.when(known, F.col("__low")), F.when(known, F.col("__high")))
+    wanted = facts.filter(~same & ids).select(F.col("__by").alias(by), F.posexplode(places).alias("pos", "frame_id"))
+    near = nearest_match(wanted, branch(~same & ids), by, "frame_id", [value], place).select(by, "pos", F.col(f"match_{value}").alias(value))
+    even = uniform_resample(branch(~same & ~ids).select(by, place, value), by, [place], n).select(by, "pos", value)
+    out = taken.unionByName(near).unionByName(even)
     if static is not None:
-        alone = static.join(count, by, "left_anti").select(by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"), "ext")
+        alone = static.join(facts.select(F.col("__by").alias(by)), by, "left_anti").select(by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"), value)
         out = out.unionByName(alone)
-    return out.withColumn("ext", geometry.let(geometry.as_4x4(F.col("ext")), geometry.affine_inverse))
+    return geometry.with_inverse(out.withColumn(value, geometry.as_4x4(F.col(value))), value, value).select(by, "pos", value) if invert else out

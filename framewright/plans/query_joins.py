@@ -10,7 +10,7 @@ from framewright.operators import joins, quality, ranking
 from framewright.plans.query_paths import scratch
 from framewright.plans.query_sequences import _SPLIT
 from framewright.plans.registry import page_paths, query, r6, table
-from framewright.streaming import increment
+from framewright.streaming import increment, outcomes
 
 
 @query("C1_pair_episodes", "SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -243,6 +243,24 @@ def i4(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
+@query("I4_compare_records", """
+WITH k AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+SELECT k, '$.id' AS path, 'kind' AS difference, 'number' AS reported_kind, k::VARCHAR AS reported, 'string' AS found_kind, k::VARCHAR AS found FROM k WHERE k % 7 = 1
+UNION ALL SELECT k, '$.meta.files', 'missing', 'array', NULL, NULL, NULL FROM k WHERE k % 7 = 2
+UNION ALL SELECT k, '$.meta.files[2]', 'extra', NULL, NULL, 'object', NULL FROM k WHERE k % 7 = 3
+UNION ALL SELECT k, '$.meta.customer', 'value', 'number', c::VARCHAR, 'number', (c + 1)::VARCHAR FROM k WHERE k % 7 IN (3, 4)
+UNION ALL SELECT k, '$', 'missing', 'object', NULL, NULL, NULL FROM k WHERE k % 7 = 5
+UNION ALL SELECT k, '$.meta', 'kind', 'object', NULL, 'array', NULL FROM k WHERE k % 7 = 6""")
+def i4_records(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    case = k % 7
+    json = lambda i, size, files, end="}": F.concat(F.lit('{"id":'), i, F.lit(',"meta":{"customer":'), size.cast("string"), files, F.lit("}" + end))
+    plain, two = k.cast("string"), F.lit(',"files":["a.npz",{"n":"b.npz"}]')
+    rows = table(spark, d, "orders").select(k.cast("long").alias("k"), json(plain, c, two).alias("record"), json(F.when(case == 1, F.concat(F.lit('"'), plain, F.lit('"'))).when(case == 0, F.concat(plain, F.lit(".0"))).otherwise(plain), F.when(case.isin(3, 4), c + 1).otherwise(c), F.when(case == 2, F.lit("")).when(case == 3, F.lit(',"files":["a.npz",{"n":"b.npz"},{"n":"c.npz"}]')).otherwise(two)).alias("now"), case.alias("case"))
+    now = rows.filter("case <> 5").select("k", F.when(F.col("case") == 6, F.concat(F.lit('{"id":'), F.col("k").cast("string"), F.lit(',"meta":[1,2]}'))).otherwise(F.col("now")).alias("record"))
+    return quality.compare_records(rows.select("k", "record"), now, "k")
+
+
 @query("I5_run_identity", """
 SELECT c_custkey, 'c_nationkey' AS field FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT c_custkey, 'c_mktsegment' FROM customer WHERE c_custkey % 10 = 0""")
 def i5(spark: SparkSession, d: str) -> DataFrame:
@@ -274,24 +292,85 @@ def j1_summary(spark: SparkSession, d: str) -> DataFrame:
     return increment.increment_summary(increment.plan_increment(orders, orders.filter("o_orderkey % 3 <> 0"), "o_orderkey", ["size"]))
 
 
+_OUTCOME = """p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'build' WHEN o_orderkey % 5 = 0 THEN 'rebuild' ELSE 'skip' END AS s FROM orders),
+o AS (SELECT k, CASE WHEN s = 'skip' THEN 'skipped' WHEN k % 11 = 0 THEN 'failed' WHEN s = 'build' THEN 'saved' ELSE 'rebuilt' END AS outcome,
+      CASE WHEN s = 'skip' THEN 0 WHEN k % 11 = 0 THEN 3 WHEN k % 7 = 0 THEN 2 ELSE 1 END AS tries FROM p)"""
+
+
+def _run(spark: SparkSession, d: str) -> tuple[str, outcomes.Outcome]:
+    """A plan over orders, of which some fail at every try and some at the first."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("size"))
+    done = orders.filter("o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.lit(-1)).otherwise(F.col("size")).alias("size"))
+    plan = increment.plan_increment(orders, done, "o_orderkey", ["size"])
+    tried: set[int] = set()
+
+    def build(row: dict) -> dict:
+        k = row["o_orderkey"]
+        if k % 11 == 0 or k % 7 == 0 and k not in tried:
+            tried.add(k)
+            raise ValueError(f"cannot read /data/x/{k}")
+        return {"twice": 2 * k}
+
+    out = scratch(spark, "run")
+    return out, outcomes.run_plan(plan, build, "twice long", out, "/data/x")
+
+
+@query("J1_run_outcome", f"WITH {_OUTCOME} SELECT outcome, count(*) AS n, sum(tries)::BIGINT AS tries, (sum(2 * k) FILTER (outcome IN ('saved', 'rebuilt')))::BIGINT AS built, (SELECT (count(*) > 0)::INTEGER FROM o WHERE outcome = 'failed') AS exit_code FROM o GROUP BY outcome")
+def j1_outcome(spark: SparkSession, d: str) -> DataFrame:
+    out, outcome = _run(spark, d)
+    counts = spark.createDataFrame([(c, getattr(outcome, c)) for c in outcomes.OUTCOMES], "outcome string, n long")
+    rows = spark.read.parquet(f"{out}/rows").groupBy("outcome").agg(F.sum("tries").alias("tries"), F.sum("built.twice").alias("built"))
+    return counts.join(rows, "outcome").withColumn("exit_code", F.lit(outcome.exit_code))
+
+
+@query("J1_failures", f"WITH {_OUTCOME} SELECT k AS o_orderkey, tries, 'ValueError: cannot read <DATASET_ROOT>/' || k AS message FROM o WHERE outcome = 'failed'")
+def j1_failures(spark: SparkSession, d: str) -> DataFrame:
+    out, _ = _run(spark, d)
+    return spark.read.schema("o_orderkey long, tries int, message string").json(f"{out}/failures")
+
+
+_ORDERS = "o_orderkey long, o_custkey long, note string"
+
+
+def _streamed(spark: SparkSession, d: str) -> str:
+    """Orders published in three steps: half of them, the others with some that are there already, and some with a new customer. A customer number that ends in 0 is broken."""
+    root = scratch(spark, "stream")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), F.concat(F.lit(f"{root}/in/"), F.col("o_orderkey").cast("string")).alias("note"))
+    changed = orders.filter("o_orderkey % 4 = 0").withColumn("o_custkey", -F.col("o_custkey"))
+    for part in (orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1 or o_orderkey % 3 = 0"), changed):
+        part.write.mode("append").parquet(f"{root}/in")
+        increment.stream_increment(spark, f"{root}/in", _ORDERS, f"{root}/out", f"{root}/log", "o_orderkey", {"broken": F.col("o_custkey") % 10 == 0}).awaitTermination()
+    return root
+
+
 @query("J2_stream_increment", "SELECT version, count(*) AS n, sum(o_custkey)::BIGINT AS total FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN o_orderkey % 4 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey FROM orders WHERE o_custkey % 10 <> 0) GROUP BY version")
 def j2(spark: SparkSession, d: str) -> DataFrame:
-    root = scratch(spark, "stream")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    drop = lambda c: orders.filter(c).write.mode("append").parquet(f"{root}/in")
-    rules = {"broken": F.col("o_custkey") % 10 == 0}
-    kind = "o_orderkey long, o_custkey long"
-    step = lambda: increment.stream_increment(spark, f"{root}/in", kind, f"{root}/out", f"{root}/log", "o_orderkey", rules).awaitTermination()
-    drop("o_orderkey % 2 = 0")
-    step()
-    drop("o_orderkey % 2 = 1 or o_orderkey % 3 = 0")  # some are there already: skipped
-    step()
-    orders.filter("o_orderkey % 4 = 0").withColumn("o_custkey", -F.col("o_custkey")).write.mode("append").parquet(f"{root}/in")  # changed: rebuilt
-    step()
-    newest = increment.published(spark, f"{root}/out", "o_orderkey", spark.createDataFrame([], kind).schema)
+    newest = increment.published(spark, f"{_streamed(spark, d)}/out", "o_orderkey", spark.createDataFrame([], _ORDERS).schema)
     return newest.groupBy("version").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
 
 
+@query("J2_rejected", """
+WITH b AS (SELECT o_orderkey, o_custkey, 0::BIGINT AS batch FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, 1 FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, -o_custkey, 2 FROM orders WHERE o_orderkey % 4 = 0)
+SELECT o_orderkey, o_custkey, '<DATASET_ROOT>/' || o_orderkey AS note, 'broken' AS reasons, batch FROM b WHERE o_custkey % 10 = 0""")
+def j2_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return increment.rejected(spark, f"{_streamed(spark, d)}/out", _ORDERS).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@query("J2_replayed_batches", """
+WITH b AS (SELECT 0::BIGINT AS batch, o_custkey % 10 = 0 AS bad, 'saved' AS o FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, o_custkey % 10 = 0, CASE WHEN o_orderkey % 2 = 0 THEN 'skipped' ELSE 'saved' END FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0 UNION ALL SELECT 2, o_custkey % 10 = 0, 'rebuilt' FROM orders WHERE o_orderkey % 4 = 0)
+SELECT batch, count(*) FILTER (NOT bad AND o = 'saved') AS saved, count(*) FILTER (NOT bad AND o = 'skipped') AS skipped, count(*) FILTER (NOT bad AND o = 'rebuilt') AS rebuilt, count(*) FILTER (bad) AS failed, 0::BIGINT AS new_files FROM b GROUP BY batch""")
+def j2_replayed(spark: SparkSession, d: str) -> DataFrame:
+    # Every batch comes once more: its outcome is the one that was committed, and no file is added.
+    out = f"{_streamed(spark, d)}/out"
+    n_files = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).count()
+    before, rows = n_files(), []
+    for m in increment.manifests(spark, out).select("stream", "batch").collect():
+        again = increment.publish_batch(table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.lit(1).cast("long").alias("o_custkey"), F.lit("").alias("note")), m["batch"], out, "o_orderkey", stream=m["stream"])
+        rows.append((m["batch"], again.saved, again.skipped, again.rebuilt, again.failed))
+    replayed = spark.createDataFrame(rows, "batch long, saved long, skipped long, rebuilt long, failed long")
+    return replayed.withColumn("new_files", F.lit(n_files() - before).cast("long"))
+
+
 @query("G2_page_groups", """
 WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages)
 SELECT 'task:' || regexp_replace(path, '/?[^/]*$', '') AS "group", count(DISTINCT page_id % 2) AS n_splits, count(*) AS n FROM p GROUP BY 1 HAVING count(DISTINCT page_id % 2) > 1""")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import arrays
 from framewright.operators import metrics
 from framewright.plans.registry import DAILY, FRAMES, daily, frames, query, r6, table
+from framewright.sources import shared
 
 
 @query("D2_length_histogram", "SELECT n AS length, count(*) AS n FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id) GROUP BY n")
@@ -20,12 +21,36 @@ _LINES = "(SELECT DISTINCT doc_id || chr(9) || md5(text) || chr(10) AS line FROM
 
 @query("D3_set_digest", f"SELECT sha256(string_agg(line, '' ORDER BY line)) AS digest, count(*) AS n, 'exact' AS method FROM {_LINES}")
 def d3(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.digest_of_set(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"), F.lit("\n")), "exact")
+    return metrics.digest_of_set(table(spark, d, "documents"), _line(), "exact")
 
 
 @query("D3_additive_digest", f"SELECT count(*) || ':' || sum(('0x' || substr(sha256(line), 1, 15))::BIGINT::HUGEINT) AS digest, count(*) AS n, 'additive' AS method FROM {_LINES}")
 def d3_additive(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.digest_of_set(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"), F.lit("\n")), "additive")
+    return metrics.digest_of_set(table(spark, d, "documents"), _line(), "additive")
+
+
+_TREE = f"""l AS (SELECT sha256(line) AS h FROM {_LINES}), n4 AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY h)) AS g, count(*) AS n FROM l GROUP BY 1),
+{", ".join(f"n{k} AS (SELECT substr(p, 1, {k}) AS p, sha256(string_agg(substr(p, {k + 1}, 1) || g, '' ORDER BY p)) AS g, sum(n)::BIGINT AS n FROM n{k + 1} GROUP BY 1)" for k in (3, 2, 1, 0))}"""
+
+
+def _line() -> Column:
+    return F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text"), F.lit("\n"))
+
+
+@query("D3_tree_digest", f"WITH {_TREE} SELECT g AS digest, n, 'tree' AS method FROM n0")
+def d3_tree(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.digest_of_set(table(spark, d, "documents"), _line(), "tree")
+
+
+@query("D3_tree_update", f"WITH {_TREE} SELECT level, count(*) AS n_nodes, sum(n)::BIGINT AS n_lines, md5(string_agg(p || g, '' ORDER BY p)) AS digests FROM ({' UNION ALL '.join(f'SELECT {k} AS level, * FROM n{k}' for k in range(5))}) GROUP BY level")
+def d3_tree_update(spark: SparkSession, d: str) -> DataFrame:
+    # The tree of half of the documents, brought up to all of them.
+    docs = table(spark, d, "documents")
+    more = F.xxhash64("doc_id") % 2 == 0
+    before = shared.stored(metrics.digest_tree(docs.filter(~more), _line()), "tree")
+    tree = metrics.update_tree(before, docs, _line(), docs.filter(more), _line())
+    whole = F.md5(F.array_join(F.array_sort(F.collect_list(F.concat("prefix", "digest"))), ""))  # 65,536 nodes at most
+    return tree.groupBy("level").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_lines"), whole.alias("digests"))
 
 
 @query("D4_single_valued", "SELECT 'n_regionkey' AS \"column\", count(DISTINCT n_regionkey) AS n_values, count(DISTINCT n_regionkey) = 1 AS ok FROM nation UNION ALL SELECT 'one', 1, true UNION ALL SELECT 'n_name', count(DISTINCT n_name), count(DISTINCT n_name) = 1 FROM nation")

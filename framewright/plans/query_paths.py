@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import digests, paths
 from framewright.plans.registry import PAGE_PATH, page_paths, query, table
 from framewright.sources import files
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="framewright-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from framewright.sources.shared import shared_path as scratch
 
 
 _NAME = "concat('v', page_id, CASE page_id % 3 WHEN 0 THEN '_L12_nf32_res256_new8_s1of4' WHEN 1 THEN '_L12_nf32_res256_new8_s1of4_cv2' ELSE '_raw' END)"
@@ -137,6 +126,23 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
     return page_paths(spark, d).select("page_id", value.alias("value")).filter(paths.is_host_path(F.col("value")))
 
 
+_HOME = "CASE page_id % 7 WHEN 0 THEN 'D:/home' WHEN 1 THEN '' WHEN 2 THEN 'file://x' ELSE 'home' END"
+
+
+@query("B10_paths_in_records", f"""
+WITH v AS (SELECT page_id, url, {_HOME} AS home, CASE page_id % 5 WHEN 0 THEN '/' || {PAGE_PATH} WHEN 1 THEN chr(92) || chr(92) || 'host' WHEN 2 THEN 'file://' || {PAGE_PATH} ELSE url END AS v FROM pages),
+j AS (SELECT page_id, json_object('id', page_id, '/key', 1, 'meta', json_object('items', json_array(json_object('ref', v), json_array(url, v, NULL, page_id % 2 = 0)), 'home', home)) AS j FROM v)
+SELECT page_id, replace(fullkey, '"', '') AS path, atom->>'$' AS value FROM j, json_tree(j) t WHERE t.type = 'VARCHAR' AND regexp_matches(atom->>'$', '^(/|\\\\\\\\|[A-Za-z]:[\\\\/]|file://)')""")
+def b10_records(spark: SparkSession, d: str) -> DataFrame:
+    c, h = F.col("page_id") % 5, F.col("page_id") % 7
+    v = F.when(c == 0, F.concat(F.lit("/"), "path")).when(c == 1, F.lit("\\\\host")).when(c == 2, F.concat(F.lit("file://"), "path")).otherwise(F.col("url"))
+    home = F.when(h == 0, "D:/home").when(h == 1, "").when(h == 2, "file://x").otherwise("home")
+    text = lambda x: F.to_json(F.struct(x.alias("x")))
+    inner = lambda x: F.substring(text(x), F.lit(6), F.length(text(x)) - 6)  # noqa: E731  the JSON of a value alone
+    record = F.concat(F.lit('{"id":'), F.col("page_id").cast("string"), F.lit(',"/key":1,"meta":{"items":[{"ref":'), inner(v), F.lit("},["), inner(F.col("url")), F.lit(","), inner(v), F.lit(",null,"), (F.col("page_id") % 2 == 0).cast("string"), F.lit(']],"home":'), inner(home), F.lit("}}"))
+    return paths.host_paths(page_paths(spark, d).select("page_id", record.alias("record")), "record").select("page_id", "path", "value")
+
+
 @query("B11_portable_ref", f"""
 SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {PAGE_PATH} WHEN page_id % 3 = 1 THEN regexp_extract({PAGE_PATH}, '([^/]+)/*$', 1) ELSE '' END AS ref FROM pages""")
 def b11(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +189,11 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.regexp_extract("relpath", "source=([^/]+)/", 1).alias("folder")).agg(F.count_distinct("stem").alias("n_files"))
 
 
+@query("A1_duplicate_stems", f"WITH p AS (SELECT {PAGE_PATH} AS p FROM pages) SELECT regexp_replace(p, '/[^/]*$', '') AS stem, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1")
+def a1_stems(spark: SparkSession, d: str) -> DataFrame:
+    return files.duplicate_stems(page_paths(spark, d).select(F.regexp_replace("path", "/[^/]*$", "").alias("stem")))
+
+
 @query("A2_manifest", f"""
 WITH p AS (SELECT page_id, {PAGE_PATH} || CASE WHEN page_id % 10 = 0 THEN '.txt' ELSE '.mp4' END AS path FROM pages)
 SELECT page_id, path, CASE WHEN path NOT LIKE '%.mp4' THEN 'suffix' END AS reason FROM p WHERE page_id % 6 NOT IN (4, 5)""")
@@ -201,7 +212,9 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
     values = {"string": F.concat(F.lit("s"), F.col("doc_id").cast("string")), "bigint": F.col("n_chars"), "array<bigint>": F.array("doc_id", "n_chars"), "boolean": F.col("doc_id") % 2 == 0}
     row = lambda keys: F.to_json(F.struct(*(values[kinds[k]].alias(k) for k in keys)), {"ignoreNullFields": "false"})
     line = F.when(c == 1, row(names[1:])).when(c == 2, row(names[::-1])).otherwise(row(names))
-    found = files.pair_records(table(spark, d, "documents").select(line.alias("value"), "doc_id"))
+    root = scratch(spark, "records")
+    table(spark, d, "documents").select(line.alias("value")).write.text(root)
+    found = files.read_pair_records(spark, root)
     return found.select(F.regexp_extract("sample_id", r"(\d+)", 1).cast("long").alias("doc_id"), F.array_join("reasons", "|").alias("reasons"))
 
 

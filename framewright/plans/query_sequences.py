@@ -90,6 +90,15 @@ def e9(spark: SparkSession, d: str) -> DataFrame:
     return sequences.select_best(daily(spark, d), "epoch", "val").withColumn("val", F.nanvl("val", F.lit(None).cast("double")))
 
 
+@query("E9_best_of_runs", """
+WITH m AS (SELECT user_id, event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM events),
+i AS (SELECT *, coalesce(low IS NULL OR value < low, false) AND value IS NOT NULL AS improved FROM m)
+SELECT user_id, event_id, improved, coalesce(event_id = max(event_id) FILTER (improved) OVER (PARTITION BY user_id), false) AS chosen FROM i""")
+def e9_runs(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("user_id", "event_id", "value")
+    return sequences.select_best(events, "event_id", "value", by="user_id").select("user_id", "event_id", "improved", "chosen")
+
+
 @query("E10_audit_epoch_log", """
 WITH r AS (SELECT conv_id, turn, (turn + 1) > coalesce(lag(turn + 1) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS ok FROM conversations)
 SELECT conv_id, bool_and(ok) AS rising, max(turn + 1) AS last_epoch, max(turn + 1) = 4 AS ends_as_expected FROM r GROUP BY conv_id""")
@@ -198,8 +207,12 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("F2_preview", "WITH o AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) SELECT string_agg(k::VARCHAR, ', ' ORDER BY k) || ' (+' || ((SELECT count(*) FROM o) - 2) || ' more)' AS preview FROM (SELECT o_orderkey AS k FROM o ORDER BY 1 LIMIT 2)")
 def f2(spark: SparkSession, d: str) -> DataFrame:
-    dear = ranking.preview(table(spark, d, "orders").filter("o_totalprice > 100000"), ["o_orderkey"], 1 << 30)
-    return ranking.preview_text(dear, "o_orderkey", 2)
+    return ranking.preview_text(table(spark, d, "orders").filter("o_totalprice > 100000"), "o_orderkey", 2)
+
+
+@query("F2_first_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def f2_rows(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.preview(table(spark, d, "orders").filter("o_totalprice > 100000").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 20)
 
 
 @query("F3_latest_valid", "SELECT 'run_epoch_' || max(o_orderkey) AS name, max(o_orderkey)::INTEGER AS epoch FROM orders WHERE o_orderstatus = 'F'")
@@ -236,7 +249,7 @@ a AS (SELECT *, (m[6] * m[11] - m[7] * m[10]) / det AS a, (m[3] * m[10] - m[2] *
 SELECT l_orderkey, l_linenumber, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(-(a * m[4] + b * m[8] + c * m[12]), 6) AS tx FROM a""")
 def h2(spark: SparkSession, d: str) -> DataFrame:
     at = lambda i: r6(F.get("inv", F.lit(i)))
-    return _poses(spark, d).withColumn("inv", geometry.let(F.col("m"), geometry.affine_inverse)).select("l_orderkey", "l_linenumber", at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), at(3).alias("tx"))
+    return geometry.with_inverse(_poses(spark, d), "m", "inv").select("l_orderkey", "l_linenumber", at(0).alias("a"), at(1).alias("b"), at(2).alias("c"), at(3).alias("tx"))
 
 
 # A camera for each order and line: another matrix than the pose.
@@ -344,6 +357,18 @@ def h12(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("conv_id", F.size(F.filter(mask, lambda m: m)).cast("long").alias("n_dropped"))
 
 
+@query("H12_apply_drop", """
+WITH v AS (SELECT vec_id, i, embedding[i + 1] AS a, embedding[i + 2] AS b FROM embeddings, range(0, 60, 2) AS r(i))
+SELECT vec_id, round(sum(CASE WHEN (vec_id + i // 2) % 3 = 0 AND i < 40 THEN 0 ELSE a::DOUBLE + 2 * b::DOUBLE END), 6) AS total FROM v GROUP BY vec_id""")
+def h12_apply(spark: SparkSession, d: str) -> DataFrame:
+    # Features of two values each; the mask is shorter than they are.
+    features = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.slice("embedding", 2 * k + 1, F.lit(2)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: (F.col("vec_id") + k) % 3 == 0)
+    kept = arrays.apply_drop(features, mask)
+    total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x[0].cast("double") + 2 * x[1].cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", r6(total).alias("total"))
+
+
 @query("H13_align_tubelets", "SELECT vec_id, vec_id * 2 + j AS t FROM embeddings, range(0, 2) AS r(j)")
 def h13(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.explode(arrays.align_tubelets(F.col("vec_id"), 2)).alias("t"))
@@ -369,13 +394,56 @@ def h16(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).select("event_id", r6(out["perhand"]).alias("perhand"), r6(out["both"]).alias("both_hands"), r6(out["avg"]).alias("average"))
 
 
-@query("H17_camera_per_frame", f"""
-WITH {LENGTHS}, src AS (SELECT episode_id, t, event_id FROM f WHERE t % 5 = 0), w AS (SELECT episode_id, pos, (pos * (n - 1)::DOUBLE / 31)::FLOAT AS k FROM l, range(0, 32) AS r(pos)),
-c AS (SELECT w.episode_id, pos, event_id, row_number() OVER (PARTITION BY w.episode_id, pos ORDER BY abs(t::DOUBLE - k::DOUBLE), t DESC) AS o FROM w JOIN src USING (episode_id))
-SELECT episode_id, pos::INTEGER AS pos, -event_id::DOUBLE AS tx FROM c WHERE o = 1""")
-def h17(spark: SparkSession, d: str) -> DataFrame:
+# Episodes have n cameras with ids (c = 0), too many with ids (1), too many without (2), none but a static one (3).
+_CAMERAS = """c AS (SELECT *, episode_id % 4 AS c FROM f JOIN l USING (episode_id) WHERE n >= 20), d AS (SELECT *, CASE WHEN c = 0 THEN t < 16 ELSE t % 3 = 0 END AS kept FROM c WHERE c <> 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY t) - 1 AS place, count(*) OVER (PARTITION BY episode_id) AS m FROM d WHERE kept),
+w AS (SELECT DISTINCT episode_id, c, n, pos, (pos * (n - 1)::DOUBLE / 15)::FLOAT::DOUBLE AS id FROM c, range(0, 16) AS r(pos)),
+h AS (SELECT w.episode_id, pos, event_id, row_number() OVER (PARTITION BY w.episode_id, pos ORDER BY abs(k.t::DOUBLE - id), k.t DESC) AS o FROM w JOIN k ON w.episode_id = k.episode_id WHERE w.c = 1 AND k.m <> 16),
+p AS (SELECT episode_id, place AS pos, event_id FROM k WHERE m = 16
+      UNION ALL SELECT episode_id, pos, event_id FROM h WHERE o = 1
+      UNION ALL SELECT w.episode_id, pos, event_id FROM w JOIN k ON w.episode_id = k.episode_id AND k.place = (pos * (k.m - 1)) // 15 WHERE w.c = 2 AND k.m <> 16
+      UNION ALL SELECT episode_id, pos, -episode_id FROM w WHERE c = 3)"""
+
+
+def _cameras(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dynamic cameras, lengths and static cameras: event_id is what a matrix is made of."""
     f = frames(spark, d)
-    ext = geometry.pose_from_point(F.array(F.col("event_id").cast("double"), F.lit(0.0), F.lit(0.0)))
-    cameras = f.filter("t % 5 = 0").select("episode_id", F.col("t").alias("frame_id"), F.slice(ext, 1, 12).alias("ext"))
-    out = sequences.camera_per_frame(cameras, sequences.episode_lengths(f), "episode_id", 32)
+    lengths = sequences.episode_lengths(f).filter("n_frames >= 20")
+    c, t = F.col("episode_id") % 4, F.col("t")
+    rows = f.join(lengths.select("episode_id"), "episode_id", "left_semi").filter((c != 3) & F.when(c == 0, t < 16).otherwise(t % 3 == 0))
+    dynamic = rows.select("episode_id", t.alias("place"), F.when(c != 2, t).alias("frame_id"), F.col("event_id").cast("double").alias("x"))
+    return dynamic, lengths, lengths.filter(c == 3).select("episode_id", (-F.col("episode_id")).cast("double").alias("x"))
+
+
+@query("H17_camera_per_frame", f"WITH {LENGTHS}, {_CAMERAS} SELECT episode_id, pos::INTEGER AS pos, -event_id::DOUBLE AS tx FROM p")
+def h17(spark: SparkSession, d: str) -> DataFrame:
+    dynamic, lengths, static = _cameras(spark, d)
+    ext = F.slice(geometry.pose_from_point(F.array("x", F.lit(0.0), F.lit(0.0))), 1, 12).alias("ext")
+    out = sequences.camera_per_frame(dynamic.select("episode_id", "place", "frame_id", ext), lengths, "episode_id", 16, static.select("episode_id", ext))
     return out.select("episode_id", "pos", F.get("ext", F.lit(3)).alias("tx"))
+
+
+@query("H17_intrinsics_per_frame", f"WITH {LENGTHS}, {_CAMERAS} SELECT episode_id, pos::INTEGER AS pos, event_id::DOUBLE AS fx, event_id::DOUBLE + 1 AS cx FROM p")
+def h17_intrinsics(spark: SparkSession, d: str) -> DataFrame:
+    dynamic, lengths, static = _cameras(spark, d)
+    k = F.array(*(F.col("x") + v if v is not None else F.lit(0.0) for v in (0, None, 1, None, 0, 1, None, None, None))).alias("intr")
+    out = sequences.camera_per_frame(dynamic.select("episode_id", "place", "frame_id", k), lengths, "episode_id", 16, static.select("episode_id", k), "intr", invert=False)
+    return out.select("episode_id", "pos", F.get("intr", F.lit(0)).alias("fx"), F.get("intr", F.lit(2)).alias("cx"))
+
+
+@query("C5_match_by_type", """
+WITH s AS (SELECT event_type, event_id, (event_id % 97)::DOUBLE AS k, event_id % 3 = 0 AS src FROM events),
+lo AS (SELECT event_type, k, min(event_id) AS lo, max(event_id) AS hi FROM s WHERE src GROUP BY ALL),
+t AS (SELECT s.event_type, event_id, s.k, max(lo.k) FILTER (lo.k < s.k) AS below, min(lo.k) FILTER (lo.k >= s.k) AS above FROM s JOIN lo USING (event_type) WHERE NOT src GROUP BY ALL)
+SELECT t.event_type, t.event_id, CASE WHEN above IS NOT NULL AND (below IS NULL OR above - t.k <= t.k - below) THEN a.lo ELSE b.hi END AS match_event_id
+FROM t LEFT JOIN lo a ON a.event_type = t.event_type AND a.k = above LEFT JOIN lo b ON b.event_type = t.event_type AND b.k = below""")
+def c5_by_type(spark: SparkSession, d: str) -> DataFrame:
+    # A few groups hold all rows, and keys repeat.
+    events = table(spark, d, "events").select("event_type", "event_id", (F.col("event_id") % 97).alias("k"))
+    found = sequences.nearest_match(events.filter("event_id % 3 <> 0"), events.filter("event_id % 3 = 0"), "event_type", "k", ["event_id"], "event_id")
+    return found.select("event_type", "event_id", "match_event_id")
+
+
+@query("D1_numbers_by_type", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t FROM events")
+def d1_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.number_frames(table(spark, d, "events").select("event_id", "event_type", "ts"), "event_type", ["ts", "event_id"]).select("event_id", "event_type", "t")

@@ -75,7 +75,7 @@ def read_manifest(spark: SparkSession, path: str, suffix: str, strict: bool = Tr
     return found.select("path", "reason")
 
 
-#: The closed schema of a pair record.
+#: The closed schema of a pair record.
 PAIR_SCHEMA = T.StructType([
     *(T.StructField(c, T.StringType()) for c in ("bundle_schema", "feature_schema", "feature_extractor_version", "sample_id", "split", "group", "feature_relpath", "raw_video_relpath", "supervision_relpath", "source_video_relpath", "frame_indices_sha256", "feature_config_fingerprint", "hdf5_sha256", "query_tf_names_sha256")),
     *(T.StructField(c, T.LongType()) for c in ("source_total_frames", "feature_size_bytes", "hdf5_size_bytes")),
@@ -164,7 +164,7 @@ def load_feature_archives(spark: SparkSession, root: str, tensors: bool = False)
 
 def load_pose_table(poses: DataFrame, joints: DataFrame) -> DataFrame:
     """A5: poses of the query joints only, with reason where an episode has confidences for some rows and not for others."""
-    kept = poses.join(F.broadcast(joints.select("joint")), "joint", "left_semi")
+    kept = poses.join(joints.select("joint"), "joint", "left_semi")
     some = kept.groupBy("episode_id").agg(F.count("conf").alias("k"), F.count("*").alias("n")).filter("k not in (0, n)").select("episode_id", F.lit("confidences are partial").alias("reason"))
     return kept.join(some, "episode_id", "left")
 
