@@ -125,25 +125,16 @@ def test_extract_keeps_rows(spark):
 # 2
 
 
-def test_line_chunks(docs, empty):
-    out = line_dedup.remove_repeated_chunks(docs)
-    seen: dict[bytes, int] = {}
-    for i, t, *_ in sorted(corpus(), key=lambda r: -math.inf if r[0] is None else r[0]):
-        for c, n in line_dedup.chunks((t or "").encode()) if t is not None else ():
-            if n >= 2:
-                seen[c] = min(seen.get(c, math.inf), -math.inf if i is None else i)
-    want = []
-    for i, t, *_ in corpus():
-        mine, kept = set(), []
-        for c, n in line_dedup.chunks(t.encode()) if t is not None else ():
-            if n >= 2 and (c in mine or seen[c] < (-math.inf if i is None else i)):
-                continue
-            mine.add(c)
-            kept.append(c)
-        want.append((i, b"\n".join(kept).decode() if t is not None else None))
-    assert rows_of(out, "doc_id", "text") == sorted(want, key=repr)
-    assert set(docs.columns) <= set(out.columns)
-    assert line_dedup.remove_repeated_chunks(empty).count() == 0
+def test_chunk_ends_move_with_the_lines():
+    """Chunks of a passage are the same wherever it stands, but for its first and last lines; a chunk's windows are its own."""
+    rng = random.Random(3)
+    passage = [f"line {rng.random()}".encode() for _ in range(60)]
+    of = lambda lines: [tuple(lines[a:b]) for ends in [line_dedup.chunk_ends(line_dedup.line_hashes(lines)).tolist()] for a, b in zip([0, *ends], ends)]
+    plain = of(passage)
+    assert sum(map(len, plain)) == 60 and 6 <= len(plain) <= 30
+    for n in (1, 2, 7):
+        moved = of([f"other {k}".encode() for k in range(n)] + passage + [b"end"])
+        assert set(plain[1:-1]) <= set(moved)
 
 
 def brute_lines(rows, n=2):
@@ -172,11 +163,28 @@ def test_repeated_lines(spark, docs, empty, bits):
         new = [[line() for _ in range(rng.randrange(4))] for _ in range(3)]
         rows.append((300 + i, "\n".join([*new[0], *rng.choice(passages), *new[1], *rng.choice(passages), *new[2]])))
     rows += [(400, "a\na\na"), (401, "b\nb\nb\nb\nb"), (402, "c\n\n\nc\n\n"), (403, "one"), (404, "one"), (None, "\n".join(passages[0]))]
-    out = line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bits=bits)
+    out = line_dedup.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bits=bits)
     got = rows_of(out, "doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text")
     assert got == brute_lines(rows)
-    assert line_dedup.remove_repeated_lines(empty, bits=bits).count() == 0
-    assert set(docs.columns) <= set(line_dedup.remove_repeated_lines(docs.limit(3)).columns)
+    assert line_dedup.remove_repeated_chunks(empty, bits=bits).count() == 0
+    assert set(docs.columns) <= set(line_dedup.remove_repeated_chunks(docs.limit(3)).columns)
+
+
+def test_chunks_take_what_they_hold(spark, docs, monkeypatch):
+    """Windows of chunks that are gone aren't compared again, and without chunks the result is the same."""
+    rng = random.Random(8)
+    passage = [f"line {rng.random()}" for _ in range(200)]
+    rows = [(i, "\n".join([f"own {i}", *passage[i:], f"end {i}"])) for i in range(6)]
+    sent = {}
+    owned = line_dedup._owned
+    monkeypatch.setattr(line_dedup, "_owned", lambda keyed, hashes, n, bits, whole, scratch: sent.__setitem__(whole, hashes.count()) or owned(keyed, hashes, n, bits, whole, scratch))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = rows_of(line_dedup.remove_repeated_chunks(df), "doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text")
+    assert out == brute_lines(rows)
+    assert sent[True] > 100 and sent[False] < 6 * 200 / 2
+    monkeypatch.setattr(line_dedup, "MEAN", 1 << 40)
+    monkeypatch.setattr(line_dedup.chunk_ends, "__defaults__", (2, 1 << 40))
+    assert rows_of(line_dedup.remove_repeated_chunks(df), "doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text") == out
 
 
 def test_line_query_takes_short_passages(spark, tmp_path):
