@@ -240,6 +240,37 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
     return meta.join(total, "label")
 
 
+@query("A4_archive_source", """
+WITH v AS (SELECT label, vec_id, embedding FROM embeddings)
+SELECT label, count(*) AS n_vectors, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 3) AS total, count(*) FILTER (vec_id % 2 = 0) AS n_even FROM v GROUP BY label""")
+def a4_source(spark: SparkSession, d: str) -> DataFrame:
+    from framewright.sources import archives
+
+    root = scratch(spark, "archives")
+
+    def write(batches):
+        """Vectors of a batch as archives in the shared folder, one for each label; a task that runs again writes the same ones."""
+        import numpy as np
+        import pandas as pd
+        from pyarrow.fs import FileSystem
+
+        system, inner = FileSystem.from_uri(root)
+        for pdf in batches:
+            for label, rows in pdf.groupby("label"):
+                system.create_dir(f"{inner}/{label}")
+                with system.open_output_stream(f"{inner}/{label}/{rows['vec_id'].min()}.npz") as out:
+                    np.savez(out, vectors=np.stack(rows["embedding"].to_numpy()), even=(rows["vec_id"].to_numpy() % 2 == 0)[:, None])
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    table(spark, d, "embeddings").select("vec_id", "label", "embedding").mapInPandas(write, "n long").agg(F.sum("n")).first()
+    spark.dataSource.register(archives.ArchiveSource)
+    label = F.element_at(F.split("path", "/"), -2).cast("int").alias("label")
+    of = lambda name: spark.read.format("npz").option("names", name).load(root)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    vectors = of("vectors").groupBy(label).agg(F.count("*").alias("n_vectors"), F.round(F.sum(total), 3).alias("total"))
+    return vectors.join(of("even").groupBy(label).agg(F.sum(F.col("vec")[0]).cast("long").alias("n_even")), "label")
+
+
 _JOINTS = ("click", "view")
 
 
