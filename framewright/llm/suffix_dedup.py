@@ -11,7 +11,9 @@ Burrows-Wheeler transform with the suffix positions at the ends of runs. From
 these alone the matching statistics of the whole text are streamed: next to
 which suffix every suffix stands, and how far they agree. Run heads and lengths
 aren't kept, since no backward step is taken: inside a run a neighbour moves
-along with its position, so positions at run ends say all. Windows that agree
+along with its position, so positions at run ends say all. An anchor with more
+strings and places than a task should hold has its windows spread over tasks
+instead. Windows that agree
 over their whole length are one class; what a smaller doc_id of the class has
 is marked in the other documents.
 """
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from framewright.llm.common import Scratch, document_key, stored, table, width
 ANCHOR = 16
 #: Bytes of text that an index holds, at least one anchor's.
 INDEX_BYTES = 1 << 21
+#: Bytes of one anchor's strings and places that a task holds; a larger group is spread over tasks by its windows.
+HOT_BYTES = 1 << 25
 
 #: Windows of a text whose anchors are chosen together; positions in such a piece are below 2^24.
 PIECE = 1 << 22
@@ -230,8 +235,8 @@ def _own_spans(groups: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return _span_rows([places["doc"][later]], [places["check"][later]], [places["at"][later]], [size[later]])
 
 
-def meeting(group: dict[bytes, tuple[int, bytes]], length: int) -> tuple[list[tuple[bytes, bytes]], list[tuple[int, bytes]]]:
-    """Of an anchor's strings (with the anchor's offset and places) those that may share a window with another, and the others that have several places.
+def meeting(group: dict[bytes, tuple[int, list[bytes]]], length: int) -> tuple[list[tuple[bytes, bytes]], list[tuple[int, bytes]]]:
+    """Of an anchor's strings (with the anchor's offset and blobs of places) those that may share a window with another, and the others that have several places.
 
     A window is the anchor, some bytes before it and some after it: of these
     the larger part is half of them or more, so strings that share a window
@@ -247,7 +252,8 @@ def meeting(group: dict[bytes, tuple[int, bytes]], length: int) -> tuple[list[tu
         for x in mine:
             seen[x] = seen.get(x, 0) + 1
     together, alone = [], []
-    for k, (segment, (_, places)) in enumerate(group.items()):
+    for k, (segment, (_, blobs)) in enumerate(group.items()):
+        places = b"".join(blobs)
         if halves and any(seen[x] > 1 for x in halves[k]):
             together.append((segment, places))
         elif len(places) > _PLACE.itemsize:
@@ -335,13 +341,26 @@ def _segments(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def _marked(segments: DataFrame, length: int) -> DataFrame:
-    """key, check, span: what is to be removed, from an index for each INDEX_BYTES of segments of whole anchors."""
+    """key, check, span: what is to be removed, from an index for each INDEX_BYTES of segments of whole anchors; and id, segment, places of anchors whose group is over HOT_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes]] = []
         own: list[tuple[int, bytes]] = []
-        group: dict[bytes, tuple[int, bytes]] = {}
-        size, last = 0, None
+        group: dict[bytes, tuple[int, list[bytes]]] = {}
+        hot: list[tuple[bytes, bytes]] = []
+        size, weight, last = 0, 0, None
+        number = TaskContext.get().partitionId() << 40
+
+        def passed_on() -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.RecordBatch.from_arrays([*(pa.nulls(len(hot), pa.int64()) for _ in range(3)), pa.array(np.arange(len(hot)) + number), pa.array([s for s, _ in hot], pa.binary()), pa.array([p for _, p in hot], pa.binary())], _MARKED)
+            number += len(hot)
+            hot.clear()
+            return rows
+
+        def found(spans: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*spans.columns, pa.nulls(len(spans), pa.int64()), *(pa.nulls(len(spans), pa.binary()) for _ in range(2))], _MARKED)
+
         for batch in batches:
             for anchor, segment, lead, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != last:
@@ -349,18 +368,62 @@ def _marked(segments: DataFrame, length: int) -> DataFrame:
                     held += together
                     own += alone
                     size += sum(len(t) + 1 + len(p) for t, p in together) + sum(len(p) for _, p in alone)
-                    group, last = {}, anchor
+                    group, weight, last = {}, 0, anchor
                     if size >= INDEX_BYTES:
-                        yield _spans(held, length)
-                        yield _own_spans(own)
+                        yield found(_spans(held, length))
+                        yield found(_own_spans(own))
                         held, own, size = [], [], 0
-                group[segment] = (lead, group[segment][1] + places if segment in group else places)
+                weight += len(segment) + len(places)
+                if weight <= HOT_BYTES:
+                    group.setdefault(segment, (lead, []))[1].append(places)
+                    continue
+                hot += [(s, p) for s, (_, blobs) in group.items() for p in blobs] + [(segment, places)]
+                group = {}
+                if len(hot) >= 1000:
+                    yield passed_on()
+            if hot:
+                yield passed_on()
         together, alone = meeting(group, length)
-        yield _spans(held + together, length)
-        yield _own_spans(own + alone)
+        yield found(_spans(held + together, length))
+        yield found(_own_spans(own + alone))
 
     parts = segments.repartition(width(segments.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return parts.mapInArrow(run, "key long, check long, span long")
+    return parts.mapInArrow(run, "key long, check long, span long, id long, segment binary, places binary")
+
+
+_MARKED = ["key", "check", "span", "id", "segment", "places"]
+
+
+def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
+    """key, check, span of the strings of hot anchors, ``hot(id, segment, places)``: their windows meet by their bytes, least keys are found by partial aggregates, and places never leave their rows."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segments = batch.column(1).to_pylist()
+            n = [len(s) - length + 1 for s in segments]
+            least = [int(np.frombuffer(p, _PLACE)["doc"].min()) for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)), pa.array([s[k : k + length] for s, m in zip(segments, n, strict=True) for k in range(m)], pa.binary()), pa.array(np.repeat(least, n))], ["id", "at", "window", "least"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for blob, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                places = np.frombuffer(blob, _PLACE)
+                first = np.array([p["first"] for p in sorted(pairs, key=lambda p: p["at"])], np.int64)
+                at = np.array(sorted(p["at"] for p in pairs), np.int64)
+                for k, doc in enumerate(places["doc"].tolist()):
+                    hit = at[first < doc]
+                    if len(hit):
+                        begins = hit[np.append(True, np.diff(hit) != 1)]
+                        ends = hit[np.append(np.diff(hit) != 1, True)]
+                        for x, v in zip(out, ([doc] * len(begins), [int(places["check"][k])] * len(begins), int(places["at"][k]) + begins, ends - begins + length), strict=True):
+                            x.append(np.array(v, np.int64))
+            yield _span_rows(*out)
+
+    each = hot.select("id", "segment", "places").mapInArrow(windows, "id long, at int, window binary, least long")
+    first = each.groupBy("window").agg(F.min("least").alias("first"))
+    known = each.select("id", "at", "window").join(first, "window").groupBy("id").agg(F.collect_list(F.struct("at", "first")).alias("pairs"))
+    return hot.select("id", "places").join(known, "id").select("places", "pairs").mapInArrow(spans, "key long, check long, span long")
 
 
 def _cut(data: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -403,7 +466,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, scratch: Scratch | None =
     own = keyed.join(copies, "key", "left").filter(~is_copy).select("key", "text")
     shared = _shared_anchors(_anchor_rows(own, length)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     marked = _marked(_segments(own.join(shared, "key"), length), length)
-    spans = scratch.stored(marked, "spans").groupBy("key").agg(F.collect_list(F.struct("check", "span")).alias("spans"))
+    marked = scratch.stored(marked, "spans")
+    hot = marked.filter("id is not null")
+    spans = marked.filter("id is null").select("key", "check", "span")
+    if not hot.isEmpty():
+        spans = spans.unionByName(_hot_spans(hot, length))
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("check", "span")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,6 +82,26 @@ def test_repeats_at_cuts(spark, monkeypatch):
     assert {(r["doc_id"], tuple(r["run_starts"]), tuple(r["run_ends"])) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("hot", [1 << 25, 3000, 0])
+def test_repeats_of_hot_anchors(spark, monkeypatch, hot):
+    """A passage in a third of the documents, with other bytes around it in each: the same result when its windows are spread over tasks."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 100, n)))
+    passage = letters(120)
+    docs = [(i, letters(60) + (passage[: 120 - i % 7] if i % 3 == 0 else "") + letters(60)) for i in range(90)] + [(None, letters(80) + passage), (4, passage)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), 50)
+    seen: dict[str, float] = {}
+    for i, t in docs:
+        for k in range(len(t) - 49):
+            seen[t[k : k + 50]] = min(seen.get(t[k : k + 50], 1e9), -1 if i is None else i)
+    want = []
+    for i, t in docs:
+        hit = {k + x for k in range(len(t) - 49) if seen[t[k : k + 50]] < (-1 if i is None else i) for x in range(50)}
+        want.append((i, "".join(c for k, c in enumerate(t) if k not in hit).encode()))
+    assert sorted(((r["doc_id"], bytes(r["kept"])) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_nothing_is_left_behind(spark):
     docs = spark.createDataFrame([(1, LONG), (2, LONG + "x")], "doc_id long, text string")
     before = {t.name for t in spark.catalog.listTables()}
