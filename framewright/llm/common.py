@@ -70,6 +70,17 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch between Spark and Python: texts are long, and both sides hold a batch several times over.
+BATCH_ROWS = 1000
+
+
+def smaller_batches(spark: SparkSession) -> None:
+    """From now on the session sends ``BATCH_ROWS`` rows at a time to Python at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

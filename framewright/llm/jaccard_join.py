@@ -1,14 +1,16 @@
 """N-gram Jaccard join by multiple global orders.
 
 If two sets are similar enough, then under any total order of all tokens their
-first few tokens, their prefixes, share one. So candidates must share a prefix
-token under each of three orders. All orders put rare tokens first, by how
-often a token is repeated in the corpus, and break ties by a hash of their own.
+first few tokens, their prefixes, share one, and prefixes that are longer by
+some tokens share so many more. So candidates must share several prefix tokens
+under each of three orders. All orders put rare tokens first, by how often a
+token is repeated in the corpus, and break ties by a hash of their own.
 
 Prefixes meet by token under the first order. Classes (equal sets are one
 class) that meet nobody are done; the others' prefixes meet under the second
-and the third order, and a class that meets nobody there is done too. What is
-left are, for each class, the tokens it shares with others under each order.
+and the third order, and a class that meets nobody there is done too. Meeting
+by a few tokens, as unrelated classes do by chance, isn't enough. What is left
+are, for each class, the tokens it shares with others under each order.
 Sizes that allow no link don't meet. All classes that share a token of the
 first order are a group with two of them as its centres. First each class is compared to its centres; linked classes are
 joined to components. Then pairs of different components are looked for among
@@ -46,6 +48,8 @@ SKETCH = 128
 REMEMBERED = 1 << 17
 #: Tokens of sets whose rows are sent together.
 SENT = 1 << 20
+#: Prefixes are longer by a part of their length, and so many more tokens have to be shared: one in so many.
+LONGER = 4
 #: Bits of a token's slot in the table that rules out rare tokens.
 SLOT_BITS = 22
 
@@ -108,6 +112,30 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def longer_prefix(n: int, num: int, den: int) -> int:
+    """A prefix that is longer by one token in LONGER, as far as the tokens go that any similar set has too."""
+    length, common = prefix_length(n, num, den), -(-num * n // den)
+    return length + min(length // LONGER, common - 1)
+
+
+def shared_least(n: int, num: int, den: int) -> int:
+    """How many tokens the longer prefixes of a set of ``n`` and of any set of similarity num/den or more share.
+
+    A prefix that is longer by k holds the first k + 1 of the tokens that both
+    have. The smaller the other set, the less its prefix is longer: the
+    smallest has -(-num * n // den) tokens.
+    """
+    least = -(-num * n // den)
+    return 1 + longer_prefix(least, num, den) - prefix_length(least, num, den)
+
+
+def shared_enough(met: Column, n: Column, num: int, den: int) -> Column:
+    """Whether ``met`` shared tokens are as many as shared_least says for a set of ``n``."""
+    part = lambda k: F.floor((num * k + den - 1) / den)
+    least, common = part(n), part(part(n))
+    return met >= 1 + F.least(F.floor((least - common + 1) / LONGER), common - 1)
+
+
 def size_level(n: int, num: int, den: int) -> int:
     """A size's level: sizes that allow a link are at most one level apart."""
     return int(np.log(n) / (1.0001 * np.log(den / num)))
@@ -242,7 +270,7 @@ def _prefix_rows(texts: DataFrame, size: int, num: int, den: int, orders, which:
                 cls = _class_of(s)
                 if seen.new(cls):
                     level = size_level(len(s), num, den)
-                    for rank, tokens, times in known.prefixes(s, prefix_length(len(s), num, den), which):
+                    for rank, tokens, times in known.prefixes(s, longer_prefix(len(s), num, den), which):
                         rows.append((rank, tokens.view(np.int64), np.where(times >= HOT, cls % (times // HOT + 1), -1), cls, None, level))
                     if sketched:
                         rows.append((-1, np.array([cls]), np.array([-1]), cls, _sketch(s), level))
@@ -432,12 +460,15 @@ def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     classes = members.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").cast("int").alias("n"), F.min("at").alias("at"))
 
     met = scratch.stored(_shared(_prefix_rows(docs, size, num, den, orders, (0,), False).drop("sketch")).drop("first"), "met")
-    some = classes.join(met.select("cls").distinct(), "cls")
+    several = met.groupBy("cls").agg(F.count_distinct("token").alias("met"))
+    some = classes.join(several, "cls").filter(shared_enough(F.col("met"), F.col("n"), num, den)).drop("met")
     texts = _texts_of(docs, scratch.stored(some.select("at").distinct(), "keys"))
     other = _shared(_prefix_rows(texts, size, num, den, orders, (1, 2), True))
     # A class has as many tokens as its prefix at most.
-    shared = other.groupBy("cls").agg(*(F.collect_set(F.when(F.col("rank") == k, F.pmod("token", F.lit((1 << 31) - 1)).cast("int"))).alias(f"p{k}") for k in (1, 2)), F.first("sketch", True).alias("sketch"))
-    known = scratch.stored(classes.join(shared.filter("size(p1) > 0 and size(p2) > 0"), "cls"), "classes")
+    shared = other.groupBy("cls").agg(*(F.collect_set(F.when(F.col("rank") == k, F.col("token"))).alias(f"p{k}") for k in (1, 2)), F.first("sketch", True).alias("sketch"))
+    enough = [shared_enough(F.size(f"p{k}"), F.col("n"), num, den) for k in (1, 2)]
+    short = {f"p{k}": F.transform(f"p{k}", lambda x: F.pmod(x, F.lit((1 << 31) - 1)).cast("int")) for k in (1, 2)}
+    known = scratch.stored(classes.join(shared, "cls").filter(enough[0] & enough[1]).withColumns(short), "classes")
 
     groups = _meeting(met.join(known.select("cls"), "cls", "left_semi"))
     second = F.min(F.when(F.col("cls") != F.col("first"), F.col("cls"))).over(Window.partitionBy("rank", "token", "salt", "level"))

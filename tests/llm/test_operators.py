@@ -469,9 +469,22 @@ def test_similar_sets_share_a_prefix_token(rank):
     for _ in range(50):
         x = np.sort(rng.choice(tokens, rng.integers(1, 200), False))
         y = np.unique(np.append(rng.choice(x, max(1, len(x) - int(rng.integers(0, 9))), False), rng.choice(tokens, int(rng.integers(0, 5)))))
-        prefix = [set(t.tolist()) for s in (x, y) for _, t, _ in orders.prefixes(s, jaccard_join.prefix_length(len(s), 4, 5), (rank,))]
+        prefix = [set(t.tolist()) for s in (x, y) for _, t, _ in orders.prefixes(s, jaccard_join.longer_prefix(len(s), 4, 5), (rank,))]
         both = len(np.intersect1d(x, y))
-        assert 5 * both < 4 * (len(x) + len(y) - both) or prefix[0] & prefix[1]
+        least = max(jaccard_join.shared_least(len(s), 4, 5) for s in (x, y))
+        assert 5 * both < 4 * (len(x) + len(y) - both) or len(prefix[0] & prefix[1]) >= least >= 1
+
+
+@pytest.mark.parametrize("num, den", [(4, 5), (9, 10), (1, 1), (1, 2)])
+def test_shared_prefix_tokens_of_all_sizes(spark, num, den):
+    """The least number is that of the worst partner, and the column says the same."""
+    longer = lambda n: jaccard_join.longer_prefix(n, num, den) - jaccard_join.prefix_length(n, num, den)
+    least = {n: jaccard_join.shared_least(n, num, den) for n in range(1, 400)}
+    for n, k in least.items():
+        partners = [m for m in range(1, 800) if den * min(n, m) >= num * max(n, m)]
+        assert 1 <= k <= 1 + min(longer(m) for m in [n, *partners])
+    df = spark.createDataFrame([(n, k, d) for n, k in least.items() for d in (-1, 0, 1)], "n int, k long, d int")
+    assert df.filter(jaccard_join.shared_enough(F.col("k") + F.col("d"), F.col("n"), num, den) != (F.col("d") >= 0)).count() == 0
 
 
 def test_shingles_of_long_texts(monkeypatch):
