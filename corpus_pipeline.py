@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, jaccard_join, language_id, mixing, token_files
-from framewright.llm.common import Scratch, stored, table
+from framewright.llm.common import Scratch, smaller_batches, stored, table
 
 
 def _carried(docs: DataFrame, *needed: str) -> DataFrame:
@@ -29,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The columns stay as they are: lang is what the corpus says, and empty ones
     take the prediction.
     """
+    smaller_batches(spark)
     profiles = language_id.learn(docs.filter(~language_id.held_out()).select("doc_id", "text", "lang"))
     found = language_id.predict(_carried(docs, "text", "lang"), profiles).filter(F.col("lang_pred") != language_id.UNKNOWN)
     return _restored(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs, "text", "lang")
@@ -41,6 +42,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     same doc_id, or none, and other texts are judged each by its own text; rows
     without a word are linked with nothing and all stay.
     """
+    smaller_batches(spark)
     scratch = Scratch(spark, "copies")
     rows = scratch.stored(jaccard_join.linked(docs.select("doc_id", "text"), 5, 4, 5, scratch).filter("label is not null"), "rows")
     groups = rows.groupBy("label", "doc_id", "at").count().withColumn("key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at"))
@@ -64,6 +66,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage worth a twentieth of their words."""
+    smaller_batches(spark)
     found = decontaminate.locate(_carried(docs, "text"), table(spark, sf_dir, "benchmark"))
     return _restored(found.withColumn("n_hit", decontaminate.n_hit()).filter(~decontaminate.contaminated()), docs, "text")
 
@@ -76,6 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the token files hold of each row: doc_id, start, n_tokens, ids_crc32."""
+    smaller_batches(spark)
     return token_files.token_table(docs)
 
 
