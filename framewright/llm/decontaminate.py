@@ -276,8 +276,10 @@ def locate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wo
     are never shuffled. A null or empty text has no words and no span, and so
     has every text if the benchmark is empty. Items with the same item_id are
     searched each and named once; so are items without an item_id, as a null at
-    the end of item_ids. Repeated documents are searched each. Columns
-    of these names in ``docs`` are replaced; all others stay.
+    the end of item_ids. Repeated documents are searched each; a document
+    longer than a shard is a shard of its own and is searched whole. Columns of
+    these names in ``docs`` are replaced; all others stay. An empty table of
+    documents gives no row.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

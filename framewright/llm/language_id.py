@@ -98,7 +98,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int = RANKS
     score is 1 less the distance as a share of the largest one, 0 for ``und``.
     A null text, one without a letter, and any text when nothing was learned
     are ``und``. Of equally near languages the first in the alphabet is taken.
-    Columns lang_pred and score of ``docs`` are replaced; all others stay.
+    Texts of any length are judged whole, repeated rows each for itself.
+    Columns lang_pred and score of ``docs`` are replaced; all others stay. An
+    empty table gives no row.
     """
     langs = sorted(profiles)
     known = np.unique(np.concatenate([np.empty(0, np.int64), *profiles.values()]))

@@ -131,7 +131,10 @@ def realise(docs: DataFrame, mixture: DataFrame, seed: int = 0, blocks: int = 16
     A source's passes, one after another, are cut by place into ``blocks``, so
     that each block has about the planned weights; inside one, order by place
     is the pass's permutation. Rows with the same doc_id and source stand at
-    the same place and go together. Columns pass and block are replaced.
+    the same place and go together, and so do those without a doc_id. A null
+    text, like any without words, has no tokens and is there in every whole
+    pass; texts of any length count whole. Columns pass and block are replaced;
+    an empty table gives no row.
     """
     docs = docs.drop("pass", "block")
     plan = mixture.select(F.col("source").alias("__source"), "whole", "last_place")

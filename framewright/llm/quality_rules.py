@@ -74,8 +74,9 @@ def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and ``failed``, a bigint with the bit of every failed rule, for each row of ``docs(doc_id, text)``.
 
     A null or empty text measures 0 everywhere and fails ``few_words``.
-    Repeated rows are judged each on its own. Other columns are left out; an
-    empty table gives an empty ledger. Nothing is shuffled.
+    Texts of any length are measured whole. Repeated rows, and rows without a
+    doc_id, are judged each on its own. Other columns are left out; an empty
+    table gives an empty ledger. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,9 +113,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: dict[int, float]
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs(doc_id, text)``.
 
     The law is ``key``: doc_id and the tree decide. grown_shard is the shard
-    with one more in the tree. A null text has no bytes, size 8 and crc 0;
-    rows with the same doc_id go to the same shard and each has its own slot,
-    ordered by crc and size. Other columns are left out.
+    with one more in the tree. A null text has no bytes, size 8 and crc 0, like
+    an empty one; texts of any length are measured whole. Rows with the same
+    doc_id, or without one, go to the same shard and each has its own slot,
+    ordered by crc and size. Other columns are left out; an empty table gives
+    no row.
     """
     rows = docs.select("doc_id", (text_bytes() + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     rows = assign(rows, "doc_id", tree(shards, weights=weights), grown=tree(shards + 1, weights=weights))

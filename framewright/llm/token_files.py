@@ -27,9 +27,9 @@ from framewright.llm.common import shared_path, table, width
 
 BLOCK_IDS = 1 << 16
 #: Bytes of text whose words are looked up together.
-CHUNK = 1 << 20
-#: Distinct words whose ids a worker remembers; then it starts again.
-REMEMBERED = 1 << 20
+CHUNK = 1 << 19
+#: Distinct words, and bytes of them, whose ids a worker remembers; then it starts again.
+REMEMBERED, SPELLED = 1 << 20, 1 << 26
 BLOCKS = "shard int, block int, bits int, first long, n_ids long, payload binary, doc_ids array<bigint>, doc_starts array<bigint>, doc_ends array<bigint>"
 
 
@@ -117,9 +117,9 @@ class WordIds:
 
     def _forget(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.first, self.count = np.empty(0, np.int32), np.empty(0, np.int32)
         self.pool = np.empty(0, "<u4")
-        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
         self.spelled = np.empty(0, np.uint8)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -152,7 +152,7 @@ class WordIds:
         """The ids of texts that follow each other, how many each has, and whether all words are spelled as those whose ids they got."""
         h, start, last = words.word_hashes(data, begins)
         each, sample, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(each) > REMEMBERED:
+        if len(self.keys) + len(each) > REMEMBERED or len(self.spelled) > SPELLED:
             self._forget()
         at = np.searchsorted(self.keys, each)
         new = np.flatnonzero(each != self.keys[np.minimum(at, len(self.keys) - 1)]) if len(self.keys) else np.arange(len(each))
@@ -160,23 +160,24 @@ class WordIds:
             lower = data.tobytes().translate(_LOWER)
             spelled = [lower[a : b + 1] for a, b in zip(start[sample[new]].tolist(), last[sample[new]].tolist(), strict=True)]
             found = self._new_words(spelled)
-            count = np.array([len(x) // 4 for x in found])
+            count = np.array([len(x) // 4 for x in found], np.int32)
             keys = np.append(self.keys, each[new])
             order = np.argsort(keys, kind="stable")
-            self.first = np.append(self.first, len(self.pool) + np.cumsum(count) - count)[order]
+            after = lambda held, sizes: (len(held) + np.cumsum(sizes) - sizes).astype(np.int32)
+            self.first = np.append(self.first, after(self.pool, count))[order]
             self.count, self.keys = np.append(self.count, count)[order], keys[order]
             self.pool = np.append(self.pool, np.frombuffer(b"".join(found), "<u4"))
-            size = np.array([len(x) for x in spelled])
-            self.at = np.append(self.at, len(self.spelled) + np.cumsum(size) - size)[order]
+            size = np.array([len(x) for x in spelled], np.int32)
+            self.at = np.append(self.at, after(self.spelled, size))[order]
             self.size = np.append(self.size, size)[order]
             self.spelled = np.append(self.spelled, np.frombuffer(b"".join(spelled), np.uint8))
             at = np.searchsorted(self.keys, each)
-        size = self.size[at][which]
+        size = self.size[at][which].astype(np.int64)
         same = bool((size == last - start + 1).all())
         if same and len(size):
             held = self.spelled[np.repeat(self.at[at][which] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             same = np.array_equal(held, words.spelled(data))
-        n = self.count[at][which]
+        n = self.count[at][which].astype(np.int64)
         total = np.cumsum(n)
         ids = self.pool[np.repeat(self.first[at][which] - total + n, n) + np.arange(total[-1] if len(n) else 0)]
         ends = np.append(0, total)[np.cumsum(words.counts(start, begins))]
