@@ -40,7 +40,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows that have both in common are copies: one of them stays. Rows with the
     same doc_id, or none, and other texts are judged each by its own text; rows
-    without a word are linked with nothing and all stay.
+    without a word are linked with nothing and all stay. Of copies, the one
+    whose other columns are least as JSON stays. An empty table gives no row.
     """
     smaller_batches(spark)
     scratch = Scratch(spark, "copies")
@@ -59,13 +60,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     bare = _carried(docs, "doc_id", "text")
     rest = bare.join(*like(gone), "left_anti")
     if not repeated.isEmpty():
-        again = rest.join(*like(repeated), "left_semi").groupBy("doc_id", "text").agg(F.first("others").alias("others"))
+        again = rest.join(*like(repeated), "left_semi").groupBy("doc_id", "text").agg(F.min_by("others", F.to_json("others")).alias("others"))
         rest = rest.join(*like(repeated), "left_anti").unionByName(again)
     return _restored(rest, docs, "doc_id", "text")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage worth a twentieth of their words."""
+    """Documents that hold no benchmark passage worth a twentieth of their words. Null and empty texts hold none and stay."""
     smaller_batches(spark)
     found = decontaminate.locate(_carried(docs, "text"), table(spark, sf_dir, "benchmark"))
     return _restored(found.withColumn("n_hit", decontaminate.n_hit()).filter(~decontaminate.contaminated()), docs, "text")
@@ -96,8 +97,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, in turn."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, in turn; what a stage kept is deleted when the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        scratch = Scratch(spark, name)
+        docs = scratch.stored(stage(spark, docs, sf_dir), name)
+        if before:
+            before.clear()
+        before = scratch
+    tokens = STAGES[-1][1](spark, docs, sf_dir)  # they are written by now
+    before.clear()
+    return tokens
