@@ -203,7 +203,8 @@ def publish_batch(batch: DataFrame, number: int, target: str, key: str, rules: d
         if len(indexes) > MERGE_AFTER:
             indexes = _merged(spark, indexes, at("merged"), index_kind)
     manifest = {"number": before[0]["number"] + 1 if before else 0, "stream": stream, "batch": number, "attempt": attempt, "indexes": indexes, **{c: getattr(counts, c) for c in ("saved", "skipped", "rebuilt", "failed")}}
-    spark.createDataFrame([manifest], MANIFEST).coalesce(1).write.mode("errorifexists").json(where)
+    # A writer that died here left a folder without a file.
+    spark.createDataFrame([manifest], MANIFEST).coalesce(1).write.mode("append").json(where)
     return counts
 
 

@@ -240,6 +240,7 @@ def test_an_attempt_without_a_manifest_is_not_there(spark, tmp_path, monkeypatch
         with pytest.raises(ZeroDivisionError):
             increment.publish_batch(batch(spark, (1, 2, 2), (2, 2, 2)), 1, target, "id")
     assert newest(spark, target) == {(1, 1, 1)}
+    (tmp_path / "t" / "commits" / "stream=" / "batch=1" / "_temporary" / "0").mkdir(parents=True)
     assert increment.publish_batch(batch(spark, (1, 2, 2), (2, 2, 2)), 1, target, "id") == outcomes.Outcome(saved=1, rebuilt=1)
     assert newest(spark, target) == {(1, 2, 2), (2, 2, 1)}
 
