@@ -38,8 +38,8 @@ INDEX_BYTES = 1 << 21
 #: Bytes of one anchor's strings and places that a task holds; a larger group is spread over tasks by its windows.
 HOT_BYTES = 1 << 25
 
-#: Windows of a text whose anchors are chosen together; positions in such a piece are below 2^24.
-PIECE = 1 << 22
+#: Windows of a text whose anchors are chosen together, and bytes of shorter texts that are; positions in such a piece are below 2^24.
+PIECE, TOGETHER = 1 << 22, 1 << 18
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -69,18 +69,45 @@ def anchors(b: np.ndarray, length: int, size: int = ANCHOR) -> tuple[np.ndarray,
     if len(b) < length:
         return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
     windows = len(b) - length + 1
+    if windows <= PIECE:
+        return _anchors(b, length, size)
     parts = []
     for cut in range(0, windows, PIECE):
         h, first, last, at = _anchors(b[cut : min(windows, cut + PIECE) + length - 1], length, size)
         parts.append((h, first + cut, last + cut, at + cut))
-    if len(parts) == 1:
-        return parts[0]
     h, first, last, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     new = np.append(True, at[1:] != at[:-1])
     return h[new], first[new], last[np.append(new[1:], True)], at[new]
 
 
-def _anchors(b: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors_of(texts: list[bytes], length: int, size: int = ANCHOR) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The anchors of many texts: the first text's number, then as columns the text (from that one on) and what ``anchors`` gives; short texts are taken together."""
+    at = 0
+    while at < len(texts):
+        upto, room = at + 1, len(texts[at])
+        while upto < len(texts) and room + len(texts[upto]) <= min(TOGETHER, PIECE):
+            room += len(texts[upto])
+            upto += 1
+        if upto == at + 1 or room < length:
+            for k in range(at, upto):
+                h, first, last, place = anchors(np.frombuffer(texts[k], np.uint8), length, size)
+                yield k, np.zeros(len(h), np.int64), h, first, last, place
+        else:
+            ends = np.cumsum([len(t) for t in texts[at:upto]])
+            begins = np.append(0, ends[:-1])
+            inside = np.zeros(room + 1, np.int8)
+            # Windows that cross the end of a text are none.
+            windows = np.maximum(ends - begins - length + 1, 0)
+            np.add.at(inside, begins, windows > 0)
+            np.subtract.at(inside, begins + windows, windows > 0)
+            inside = np.cumsum(inside[:-1])[: room - length + 1].astype(bool)
+            h, first, last, place = _anchors(np.frombuffer(b"".join(texts[at:upto]), np.uint8), length, size, inside)
+            text = np.searchsorted(ends, first, "right")
+            yield at, text, h, first - begins[text], last - begins[text], place - begins[text]
+        at = upto
+
+
+def _anchors(b: np.ndarray, length: int, size: int, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = _grams(b, size)
     places = length - size + 1
     # The order is a hash's upper 40 bits; the position in the lower ones settles ties.
@@ -91,9 +118,12 @@ def _anchors(b: np.ndarray, length: int, size: int) -> tuple[np.ndarray, np.ndar
         have *= 2
     if have < places:
         low = np.minimum(low[: len(low) - (places - have)], low[places - have :])
-    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-    last = np.append(first[1:], len(low)) - 1
+    which = np.arange(len(low)) if inside is None else np.flatnonzero(inside)
+    low = low if inside is None else low[which]
+    first = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)])
+    last = which[np.append(first[1:], len(low)) - 1] if len(first) else first
     at = (low[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    first = which[first]
     return h[at], first, last, at
 
 
@@ -273,9 +303,12 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(np.frombuffer(_bytes(t.as_py()), np.uint8), length)[0]) for t in batch.column(1)]
-            h = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
-            key = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+            found = [(h.view(np.int64), at + text) for at, text, h, *_ in anchors_of([_bytes(t.as_py()) for t in batch.column(1)], length)]
+            h, text = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            order = np.lexsort((text, h))
+            h, text = h[order], text[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
+            h, key = h[new], batch.column(0).to_numpy(zero_copy_only=False)[text[new]]
             order = np.lexsort((key, h))
             h, key = h[order], key[order]
             group = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
@@ -326,13 +359,17 @@ def _segments(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[int, bytes, int], list[tuple[int, int, int]]] = {}
-            for key, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = _bytes(text.as_py())
-                h, first, last, at = anchors(np.frombuffer(data, np.uint8), length)
-                hit = np.flatnonzero(np.isin(h.view(np.int64), shared.values.to_numpy()))
-                check = zlib.crc32(data)
-                for a, f, e, lead in zip(h.view(np.int64)[hit].tolist(), first[hit].tolist(), (last[hit] + length).tolist(), (at - first)[hit].tolist(), strict=True):
-                    found.setdefault((a, data[f:e], lead), []).append((key, check, f))
+            keys, texts = batch.column(0).to_pylist(), [_bytes(t.as_py()) for t in batch.column(1)]
+            for at, text, h, first, last, place in anchors_of(texts, length):
+                h, cuts = h.view(np.int64), np.searchsorted(text, np.arange(text[-1] + 2 if len(text) else 1))
+                for k, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if low == high:
+                        continue
+                    data, key = texts[at + k], keys[at + k]
+                    hit = low + np.flatnonzero(np.isin(h[low:high], batch.column(2)[at + k].values.to_numpy()))
+                    check = zlib.crc32(data)
+                    for a, f, e, lead in zip(h[hit].tolist(), first[hit].tolist(), (last[hit] + length).tolist(), (place - first)[hit].tolist(), strict=True):
+                        found.setdefault((a, data[f:e], lead), []).append((key, check, f))
             if found:
                 places = [np.array(p, _PLACE).tobytes() for p in found.values()]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in found], pa.int64()), pa.array([s for _, s, _ in found], pa.binary()), pa.array([x for _, _, x in found], pa.int32()), pa.array(places, pa.binary())], ["anchor", "segment", "lead", "places"])

@@ -65,6 +65,21 @@ def test_anchors_hang_on_the_window_alone(fill, monkeypatch):
         assert (first[1:] == last[:-1] + 1).all() and first[0] == 0 and last[-1] == len(b) - 50 and (np.diff(place) > 0).all()
 
 
+@pytest.mark.parametrize("together, piece", [(1 << 18, 1 << 22), (200, 1 << 22), (1, 1 << 22), (500, 300)])
+def test_anchors_of_many_texts(monkeypatch, together, piece):
+    """Texts taken together have the anchors that each has by itself."""
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (0, 49, 50, 51, 0, 400, 120, 10, 50, 49, 90, 1000, 60, 0)]
+    got = {}
+    for at, text, *columns in suffix_dedup.anchors_of(texts, 50):
+        for k, *row in zip(text.tolist(), *(c.tolist() for c in columns)):
+            got.setdefault(at + k, []).append(tuple(row))
+    want = {k: list(zip(*(c.tolist() for c in suffix_dedup.anchors(np.frombuffer(t, np.uint8), 50)))) for k, t in enumerate(texts)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_repeats_at_cuts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 300)
     rng = np.random.default_rng(2)
