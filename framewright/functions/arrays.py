@@ -30,11 +30,19 @@ def mask_nonfinite(camera: Column, world: Column, confidence: Column, missing_is
 
 
 def pad_lossless(a: Column, n: int, fill: Column) -> Column:
-    """Struct of values (``n`` of them), mask and length; null if there are more than ``n``, which the caller has to reject."""
-    size = F.coalesce(F.size(a), F.lit(0))
-    values = F.concat(F.coalesce(a, F.slice(F.array(fill), 1, 0)), F.array_repeat(fill, F.greatest(F.lit(n) - size, F.lit(0))))
-    mask = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i <= size)
-    return F.when(size <= n, F.struct(values.alias("values"), mask.alias("mask"), size.alias("length")))
+    """Struct of values (``n`` of them), mask and length; null if there are more than ``n``, which the caller has to reject.
+
+    ``a`` is worked out once for a row, and nothing of it is named for each element.
+    """
+
+    def padded(a: Column) -> Column:
+        size = F.coalesce(F.size(a), F.lit(0))
+        room = F.greatest(F.lit(n) - size, F.lit(0))
+        values = F.concat(F.coalesce(a, F.slice(F.array(fill), 1, 0)), F.array_repeat(fill, room))
+        mask = F.concat(F.array_repeat(F.lit(True), F.least(size, F.lit(n))), F.array_repeat(F.lit(False), room))
+        return F.when(size <= n, F.struct(values.alias("values"), mask.alias("mask"), size.alias("length")))
+
+    return F.transform(F.array(a), padded)[0]
 
 
 def last_step(a: Column) -> Column:

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import trees
+from framewright.functions import arrays, trees
 from framewright.operators import joins, metrics, quality, ranking, scans, sequences
+from framewright.plans import catalogue
 from framewright.streaming import increment, outcomes
 
 NAN = float("nan")
@@ -292,3 +293,14 @@ def test_runs_go_on_after_failures(spark, tmp_path):
     log = spark.read.json(f"{tmp_path}/run/failures").collect()
     assert [(r.id, r.message) for r in log] == [(4, "KeyError: '<DATASET_ROOT>/x'")] and "Traceback" in log[0].trace
     assert outcomes.run_plan(plan.filter("status = 'skip'"), build, "twice long", f"{tmp_path}/again").exit_code == 0
+
+
+# Work of one row
+
+
+def test_padding_splits_a_text_once(spark):
+    """The split isn't worked out again for each element of the mask."""
+    plan = catalogue.QUERIES["H10_pad_lossless"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    df = spark.createDataFrame([(None,), ([1, 2],), ([1, 2, 3, 4],)], "a array<int>").select(arrays.pad_lossless(F.col("a"), 3, F.lit(0)).alias("p"))
+    assert [r.p and (r.p["values"], r.p.mask, r.p.length) for r in df.collect()] == [([0, 0, 0], [False] * 3, 0), ([1, 2, 0], [True, True, False], 2), None]
