@@ -91,7 +91,9 @@ def nearest_match(targets: DataFrame, sources: DataFrame, by: str, key: str, val
 def to_camera_frame(poses: DataFrame, cameras: DataFrame) -> DataFrame:
     """poses(episode_id, frame_idx, joint, m) in the frame of cameras(episode_id, frame_idx, ext); null where a camera is singular."""
     inverted = geometry.with_inverse(cameras.select("episode_id", "frame_idx", "ext"), "ext", "ext")
-    return poses.join(inverted, ["episode_id", "frame_idx"]).withColumn("m", F.when(F.col("ext").isNotNull(), geometry.compose(F.col("ext"), F.col("m")))).drop("ext")
+    # In a function of its own the product's 64 terms stay out of the join's generated method, which they made too large to be compiled.
+    moved = geometry.let(F.struct("ext", "m"), lambda p: F.when(p["ext"].isNotNull(), geometry.compose(p["ext"], p["m"])))
+    return poses.join(inverted, ["episode_id", "frame_idx"]).withColumn("m", moved).drop("ext")
 
 
 def uniform_resample(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:

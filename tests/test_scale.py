@@ -304,3 +304,14 @@ def test_padding_splits_a_text_once(spark):
     assert plan.count("split(") == 1
     df = spark.createDataFrame([(None,), ([1, 2],), ([1, 2, 3, 4],)], "a array<int>").select(arrays.pad_lossless(F.col("a"), 3, F.lit(0)).alias("p"))
     assert [r.p and (r.p["values"], r.p.mask, r.p.length) for r in df.collect()] == [([0, 0, 0], [False] * 3, 0), ([1, 2, 0], [True, True, False], 2), None]
+
+
+def test_camera_frames_are_compiled(spark):
+    """No generated method is larger than 8,000 bytes, beyond which the JVM interprets it."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = catalogue.QUERIES["C7_to_camera_frame"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) <= 8000
