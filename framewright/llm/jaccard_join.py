@@ -16,7 +16,10 @@ first order are a group with two of them as its centres. First each class is com
 joined to components. Then pairs of different components are looked for among
 the rest of a group, those outside its largest component against all others,
 cut into blocks. A pair has to share a token under the other two orders as well;
-sizes and sketches rule out most of the rest before any set is sent.
+sizes and sketches rule out most of the rest before sets are compared. Blocks
+hold their sets, so pairs are decided where they meet, and pairs of what is
+joined by then are passed over: a pair of blocks gives fewer links than it has
+rows, whatever the number of its similar pairs.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ from framewright.llm.words import MIX, mixed
 HEAVY_TOKENS, COUNTED = 1 << 18, 1 << 21
 #: Repeats from which a token's group is salted, a salt for each so many.
 HOT = 1 << 13
-#: Classes in a block of a group; larger groups are paired block by block.
-BLOCK = 512
+#: Classes in a block of a group, and about as many tokens of theirs at most; larger groups are paired block by block.
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Documents up to which their keys are broadcast to pick texts; beyond, texts are shuffled.
 BROADCAST_IDS = 1 << 20
 #: Classes of tokens in a sketch.
@@ -386,7 +389,7 @@ def sketches_allow(num: int, den: int) -> Column:
     return (num + den) * apart <= (den - num) * (F.col("n") + F.col("m"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     """``rows(centre, level, cls, label, own)`` of groups with several labels, each for every pair of blocks (i, j) that it belongs to.
 
     A group's rows outside its largest label are in the blocks from 0 on, the
@@ -394,8 +397,11 @@ def _blocks(rows: DataFrame) -> DataFrame:
     with all that follow.
     """
     group = ["centre", "level"]
+    # As size_level has it, sets of a level have fewer tokens than this.
+    size = F.exp((F.col("level") + 1) * (1.0001 * np.log(den / num)))
+    block_of = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK_TOKENS)) / size))
     labels = rows.groupBy(*group, "label").count().groupBy(*group).agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels"))
-    labels = labels.filter("labels > 1").select(*group, F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.count")) / BLOCK).cast("int").alias("minor"), F.ceil(F.col("top.count") / BLOCK).cast("int").alias("major"))
+    labels = labels.filter("labels > 1").select(*group, F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.count")) / block_of).cast("int").alias("minor"), F.ceil(F.col("top.count") / block_of).cast("int").alias("major"))
     rows = rows.join(labels, group)
     spread = F.xxhash64("cls")
     block = F.when(F.col("label") == F.col("top"), F.col("minor") + F.pmod(spread, F.col("major"))).otherwise(F.pmod(spread, F.col("minor"))).cast("int")
@@ -406,33 +412,44 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of different labels in a pair of blocks that sizes, both other orders and sketches allow."""
+    """a, b: labels that links join, of rows in a pair of blocks that sizes, both other orders and sketches allow.
+
+    Of the links in a pair of blocks only those are returned that join what
+    isn't joined yet by labels and by links found there before.
+    """
     key = ["centre", "level", "i", "j"]
-    columns = [*key, "right", "cls", "label", "own", "n", "p1", "p2", "sketch"]
+    columns = [*key, "right", "cls", "label", "own", "n", "p1", "p2", "sketch", "tokens"]
 
     def of_group(g: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         right, cls, label, own, n = (g.column(k).to_numpy(zero_copy_only=False) for k in range(4, 9))
         right, own, every = right.astype(bool), own.astype(bool), np.arange(len(cls))
+        joined = np.unique(label, return_inverse=True)[1]
+        ends, tokens = (x.to_numpy() for x in (g.column(12).offsets, g.column(12).values))
+        set_of = lambda k: tokens[ends[k] : ends[k + 1]]
         within = g.column(2)[0].as_py() == g.column(3)[0].as_py()
         flat = []
         for k in (9, 10):
-            ends = g.column(k).offsets.to_numpy() - g.column(k).offsets[0].as_py()
-            flat.append((np.unique(g.column(k).flatten().to_numpy(), return_inverse=True)[1], ends))
+            starts = g.column(k).offsets.to_numpy() - g.column(k).offsets[0].as_py()
+            flat.append((np.unique(g.column(k).flatten().to_numpy(), return_inverse=True)[1], starts))
         sketch = None
         for i in every[:-1] if within else every[~right]:
             others = every[i + 1 :] if within else every[right]
-            others = others[(label[others] != label[i]) & (own[others] | own[i]) & (den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i]))]
-            for ids, ends in flat if len(others) else ():
+            others = others[(joined[others] != joined[i]) & (own[others] | own[i]) & (den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i]))]
+            for ids, starts in flat if len(others) else ():
                 mine = np.zeros(ids.max() + 1, bool)
-                mine[ids[ends[i] : ends[i + 1]]] = True
-                others = others[np.logical_or.reduceat(mine[ids], ends[:-1])[others]]
+                mine[ids[starts[i] : starts[i + 1]]] = True
+                others = others[np.logical_or.reduceat(mine[ids], starts[:-1])[others]]
             if len(others):
                 if sketch is None:
                     sketch = g.column(11).flatten().to_numpy().reshape(-1, SKETCH).astype(np.int16)
                 # As in sketches_allow.
                 apart = np.abs(sketch[others] - sketch[i]).sum(1)
-                others = others[(num + den) * apart <= (den - num) * (n[others] + n[i])]
-                yield np.minimum(cls[others], cls[i]), np.maximum(cls[others], cls[i])
+                for k in others[(num + den) * apart <= (den - num) * (n[others] + n[i])].tolist():
+                    if joined[k] != joined[i]:
+                        both = len(np.intersect1d(set_of(i), set_of(k), assume_unique=True))
+                        if den * both >= num * (int(n[i]) + int(n[k]) - both):
+                            joined[joined == joined[k]] = joined[i]
+                            yield np.array([min(label[i], label[k])]), np.array([max(label[i], label[k])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -486,27 +503,21 @@ def linked(docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) ->
     starred = starred.join(known.select(F.col("cls").alias("a"), F.col("sketch").alias("s")), "a").join(known.select(F.col("cls").alias("b"), F.col("sketch").alias("t")), "b")
     starred = scratch.stored(starred.filter(sketches_allow(num, den)).select("a", "b"), "pairs")
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        at = scratch.stored(known.join(nodes, "cls", "left_semi").select("at").distinct(), "keys")
+    def sets_for(nodes: DataFrame) -> DataFrame:
+        at = scratch.stored(known.join(nodes.distinct(), "cls", "left_semi").select("at").distinct(), "keys")
         return scratch.stored(_sets(_texts_of(docs, at), size), "sets")
 
-    edges = scratch.stored(_verified(starred, sets_for(starred), num, den), "links")
+    edges = scratch.stored(_verified(starred, sets_for(starred.select(F.explode(F.array("a", "b")).alias("cls"))), num, den), "links")
     labels = components(edges, scratch)
 
     # Pairs of different labels in a group, without the two that all were compared to.
     rows = groups.filter("hot or cls <> first and cls <> second").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     rows = rows.select("centre", "level", "cls", F.coalesce("label", "cls").alias("label"), "own")
-    blocks = scratch.stored(_blocks(rows), "blocks")
-    across = _across(blocks.join(known, "cls"), num, den)
-    across = scratch.stored(across.join(starred.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = _verified(across, sets_for(across), num, den)
+    blocks = scratch.stored(_blocks(rows, num, den), "blocks")
+    # Links between components join their labels.
+    more = scratch.stored(_across(blocks.join(known, "cls").join(sets_for(blocks.select("cls")), "cls"), num, den), "links")
 
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    own = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-    # Links between components join their labels.
-    more = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    more = scratch.stored(more.distinct(), "links")
     if not more.isEmpty():
         further = components(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("least"))
         named = named.join(further, "label", "left").withColumn("label", F.coalesce("least", "label"))

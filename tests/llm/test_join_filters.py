@@ -1,5 +1,6 @@
 """What the join's filters leave, counted on the way."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -54,3 +55,27 @@ def test_chance_meetings_are_not_enough(spark):
     assert len({x for _, x in got}) == 20 and len({x for i, x in got if i in (0, 100)}) == 1
     assert scratch.counts["keys"][0] == 2
     scratch.clear()
+
+
+def test_links_of_near_copies_stay_few(spark):
+    """In a large group of near copies the pairs that go on don't grow with its square, and its components are those of all pairs."""
+    rng = random.Random(4)
+    sets = []
+    for k in range(300):
+        places = set(rng.sample(range(13), 10))
+        sets.append({f"w{i}" if i not in places else f"edit{k}x{i}" for i in range(100)})
+    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    label = list(range(len(sets)))
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if near(sets[a], sets[b])]
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    assert len(links) > 10 * len(sets)
+    scratch = Counting(spark)
+    rows = jaccard_join.linked(spark.createDataFrame([(k, " ".join(sorted(s))) for k, s in enumerate(sets)], "doc_id long, text string"), 1, 4, 5, scratch).collect()
+    least = {}
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        least.setdefault(r["label"], r["doc_id"])
+    assert [least[r["label"]] for r in sorted(rows, key=lambda r: r["doc_id"])] == label
+    assert sum(scratch.counts["pairs"] + scratch.counts["links"]) <= 6 * len(sets)
+    scratch.clear()
