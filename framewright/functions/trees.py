@@ -52,4 +52,57 @@ def walk(df: DataFrame, column: str, root: str = "$", depth: int = DEPTH) -> Dat
     return rows.select(*kept, "path", "parent", kind.alias("kind"), F.when(kind == "number", plain_number(text)).otherwise(text).alias("value"))
 
 
+_SIDE = "struct<kind:string,value:string,members:map<string,variant>,elements:array<variant>>"
+_PAIR = f"struct<path:string,difference:string,a:{_SIDE},b:{_SIDE}>"
+
+
+def _side(node: Column) -> Column:
+    """A node's kind, value (of leaves) and children; null where there is no node."""
+
+    def known(n: Column) -> Column:
+        kind = F.when(n["m"].isNotNull(), "object").when(n["l"].isNotNull(), "array").otherwise(kind_of(n["v"]))
+        text = F.when(n["m"].isNull() & n["l"].isNull(), n["v"].cast("string"))
+        return F.when(n["v"].isNotNull(), F.struct(kind.alias("kind"), F.when(kind == "number", plain_number(text)).otherwise(text).alias("value"), n["m"].alias("members"), n["l"].alias("elements")).cast(_SIDE))
+
+    parts = F.struct(node.alias("v"), F.try_variant_get(node, "$", "map<string,variant>").alias("m"), F.try_variant_get(node, "$", "array<variant>").alias("l"))
+    return F.transform(F.array(parts), known)[0]
+
+
+def _pair(path: Column, a: Column, b: Column) -> Column:
+    """Two sides of a place with their difference, null if there is none as yet."""
+    kinds = F.when(b.isNull(), "missing").when(a.isNull(), "extra").when(a["kind"] != b["kind"], "kind")
+    return F.struct(path.alias("path"), F.coalesce(kinds, F.when(~a["value"].eqNullSafe(b["value"]), "value")).alias("difference"), a.alias("a"), b.alias("b")).cast(_PAIR)
+
+
+def _holds(pair: Column) -> Column:
+    """Whether a pair without a difference has children to compare."""
+    sizes = [F.coalesce(F.size(pair[s][c]), F.lit(0)) for s in ("a", "b") for c in ("members", "elements")]
+    return pair["difference"].isNull() & (F.greatest(*sizes) > 0)
+
+
+def differences(a: Column, b: Column, there_a: Column, there_b: Column, root: str = "$", depth: int = DEPTH) -> Column:
+    """The highest places where two JSON texts differ: path, difference, a and b with kind and value. Both trees are walked together, and no subtree that only one has.
+
+    Places to compare below ``depth`` levels are an error.
+    """
+    invalid = F.struct(F.lit("invalid").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("map<string,variant>").alias("members"), F.lit(None).cast("array<variant>").alias("elements")).cast(_SIDE)
+    top = lambda text, there: F.when(there, F.coalesce(_side(F.try_parse_json(text)), invalid))
+    sides = lambda path, x, y: F.struct(path.alias("path"), _side(x).alias("a"), _side(y).alias("b"))
+
+    def below(n: Column) -> Column:
+        members = F.map_values(F.map_zip_with(n["a"]["members"], n["b"]["members"], lambda k, x, y: sides(F.concat(n["path"], F.lit("."), k), x, y)))
+        both = F.zip_with(n["a"]["elements"], n["b"]["elements"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        elements = F.transform(both, lambda e, i: sides(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), e["x"], e["y"]))
+        return F.transform(F.coalesce(members, elements), lambda c: _pair(c["path"], c["a"], c["b"]))
+
+    def step(found: Column, _: Column) -> Column:
+        further = F.flatten(F.transform(found, lambda n: F.when(_holds(n), below(n)).otherwise(F.array(n))))
+        return F.when(F.exists(found, _holds), F.filter(further, lambda n: n["difference"].isNotNull() | _holds(n))).otherwise(found)
+
+    start = F.transform(F.array(F.struct(top(a, there_a).alias("a"), top(b, there_b).alias("b"))), lambda r: _pair(F.lit(root), r["a"], r["b"]))
+    found = F.reduce(F.sequence(F.lit(1), F.lit(depth)), start.cast(f"array<{_PAIR}>"), step)
+    deep = lambda n: F.raise_error(F.concat(F.lit(f"more than {depth} levels at "), n["path"])).cast("string")
+    return F.filter(F.transform(found, lambda n: F.struct(n["path"].alias("path"), F.when(_holds(n), deep(n)).otherwise(n["difference"]).alias("difference"), *(F.struct(n[s]["kind"].alias("kind"), n[s]["value"].alias("value")).alias(s) for s in ("a", "b")))), lambda n: n["difference"].isNotNull())
+
+
 _NODE = "struct<path:string,parent:string,node:variant,open:boolean>"

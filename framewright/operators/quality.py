@@ -203,15 +203,14 @@ def compare_records(report: DataFrame, current: DataFrame, key: str, column: str
     The difference is ``value``, ``kind`` (1 and "1" differ, 1 and 1.0 don't),
     ``missing`` (reported only) or ``extra`` (found only). Of a subtree that one
     side lacks, or that has another kind, its highest node stands for all. A
-    record that one side lacks is its root. Keys are distinct on each side.
+    record that one side lacks is its root. Keys are distinct on each side. Places
+    below ``depth`` levels are an error only where both sides have to be compared.
     """
-    sides = [trees.walk(d.select(key, column), column, depth=depth).select(key, "path", "parent", F.struct("kind", "value").alias(name)) for d, name in ((report, "reported"), (current, "found"))]
-    both = sides[0].join(sides[1].withColumnRenamed("parent", "__parent"), [key, "path"], "full_outer").withColumn("parent", F.coalesce("parent", "__parent")).drop("__parent")
-    difference = F.when(F.col("found").isNull(), "missing").when(F.col("reported").isNull(), "extra").when(F.col("reported.kind") != F.col("found.kind"), "kind").when(~F.col("reported.value").eqNullSafe(F.col("found.value")), "value")
-    differ = both.withColumn("difference", difference).filter("difference is not null")
-    above = differ.filter("difference <> 'value'").select(F.col(key).alias("__key"), F.col("path").alias("__path"))
-    highest = differ.join(above, (F.col(key) == F.col("__key")) & (F.col("parent") == F.col("__path")), "left_anti")
-    return highest.select(key, "path", "difference", F.col("reported.kind").alias("reported_kind"), F.col("reported.value").alias("reported"), F.col("found.kind").alias("found_kind"), F.col("found.value").alias("found"))
+    sides = [d.select(key, F.col(column).alias(name), F.lit(True).alias(f"__{name}")) for d, name in ((report, "reported"), (current, "found"))]
+    both = sides[0].join(sides[1], key, "full_outer")
+    there = [F.coalesce(F.col(f"__{name}"), F.lit(False)) for name in ("reported", "found")]
+    rows = both.select(key, F.explode(trees.differences(F.col("reported"), F.col("found"), *there, depth=depth)).alias("__d"))
+    return rows.select(key, "__d.path", "__d.difference", F.col("__d.a.kind").alias("reported_kind"), F.col("__d.a.value").alias("reported"), F.col("__d.b.kind").alias("found_kind"), F.col("__d.b.value").alias("found"))
 
 
 def run_identity(df: DataFrame, settings: list[str]) -> DataFrame:

@@ -315,3 +315,9 @@ def test_camera_frames_are_compiled(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sizes and max(sizes) <= 8000
+
+
+def test_records_meet_once(spark):
+    """Both records of a key meet in one join, and places are made rows only where they differ."""
+    plan = catalogue.QUERIES["I4_compare_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Generate ") == 1
